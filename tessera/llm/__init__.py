@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from tessera.llm.fingerprints import op10_document_fingerprints
+from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.packing import op3_packing
 from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op3_packing, op8_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
