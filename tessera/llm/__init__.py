@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.fingerprints import op10_document_fingerprints
+from tessera.llm.language_id import op4_language_id
 from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.packing import op3_packing
 from tessera.llm.simhash import op7_simhash_near_dedup
@@ -10,7 +11,7 @@ from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op7_simhash_near_dedup, op8_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_language_id, op7_simhash_near_dedup, op8_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
