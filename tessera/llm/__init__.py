@@ -7,12 +7,13 @@ from tessera.llm.language_id import op4_language_id
 from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op2_pii
+from tessera.llm.secrets import op9_secret_scans
 from tessera.llm.simhash import op7_simhash_near_dedup
 from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op7_simhash_near_dedup, op8_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
