@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.fingerprints import op10_document_fingerprints
 from tessera.llm.language_id import op4_language_id
 from tessera.llm.mixing import op8_source_mixing
+from tessera.llm.nearest import op6_exact_topk, op6_sql
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op2_pii
 from tessera.llm.secrets import op9_secret_scans
@@ -13,8 +14,8 @@ from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op6_exact_topk, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": op6_sql()}
