@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.fingerprints import op10_document_fingerprints
+from tessera.llm.html_text import op5_html_extraction
 from tessera.llm.language_id import op4_language_id
 from tessera.llm.mixing import op8_source_mixing
 from tessera.llm.nearest import op6_exact_topk, op6_sql
@@ -14,7 +15,7 @@ from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op6_exact_topk, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op5_html_extraction, op6_exact_topk, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
