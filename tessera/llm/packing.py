@@ -26,54 +26,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_or_empty
-from tessera.llm.token_counts import vocabulary_path
+from tessera.llm.token_counts import merger, vocabulary_path
 
 #: Characters of text that are cut up at a time, and chunks whose ids a worker remembers.
-BLOCK_CHARS, REMEMBERED = 1_000_000, 400_000
+BLOCK_CHARS, REMEMBERED = 1_000_000, 600_000
 PLAIN = re.compile("[\\x00-\u024f]*")
+#: The one letter below U+0250 whose lower case is more than letters.
+DOTTED_I = "\u0130"
+#: Marks that are often a word's end.
+MARKS = (",", ".")
 ID_BYTES = 4
 
 
 class ChunkIds:
-    """Token ids of texts under a lower-case vocabulary that drops white space, so that no token crosses a space.
+    """Token ids of texts under a lower-case vocabulary that drops white space.
 
-    Each distinct chunk between spaces goes through the tokenizer once; a text's ids are its chunks' ids in order. No token holds both a letter
-    and a comma or full stop, so a word that ends in one has the word's ids and the mark's.
+    No token crosses a space, so a text's ids are the ids of its chunks between spaces in order, and each distinct chunk is tokenized once:
+    chunks of letters alone many at a time by rank-synchronous merging, others by the tokenizer itself. No token holds both a letter and a
+    comma or full stop, so a word that ends in one has the word's ids and the mark's.
     """
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary_path(vocab)), {}
+        path = vocabulary_path(vocab)
+        self.tokenizer, self.bpe, self.known = Tokenizer.from_file(path), merger(path), {}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        held, chars = [], 0
+        held, plain, odd, chars = [], set(), set(), 0
         for text in texts:
             # below U+0250 nothing combines, and lower case doesn't depend on what stands around a letter
-            held.append((text.lower() if PLAIN.fullmatch(text) else text).replace("\n", " ").split(" "))
+            simple = PLAIN.fullmatch(text)
+            chunks = (text.lower() if simple and DOTTED_I not in text else text).replace("\n", " ").split(" ")
+            (plain if simple and DOTTED_I not in text else odd).update(chunks)
+            held.append(chunks)
             chars += len(text)
             if chars >= BLOCK_CHARS:
-                yield from self.block(held)
-                held, chars = [], 0
-        yield from self.block(held)
+                yield from self.block(held, plain, odd)
+                held, plain, odd, chars = [], set(), set(), 0
+        yield from self.block(held, plain, odd)
 
-    def block(self, held: list[list[str]]) -> Iterator[bytes]:
+    def block(self, held: list[list[str]], plain: set[str], odd: set[str]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn({w for chunks in held for w in chunks})
+        self.learn(plain, odd)
         get = self.known.__getitem__
         for chunks in held:
             yield b"".join(map(get, chunks))
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, plain: set[str], odd: set[str]) -> None:
         known = self.known
-        new = chunks.difference(known)
-        marked = {w: w[:-1] for w in new if w[-1:] in (",", ".") and PLAIN.fullmatch(w) and w[:-1].lower().isalpha()}
-        plain = list((new.difference(marked) | set(marked.values()) | {",", "."}).difference(known))
-        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        known.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(plain, found, strict=True))
-        known.update((w, known[word] + known[w[-1]]) for w, word in marked.items())
+        words = plain.difference(known)
+        single = {w for w in words if not w.isalpha()}
+        words -= single
+        marked = [w for w in single if w[-1:] in MARKS and w[:-1].isalpha()]
+        words.update(w for w in (x[:-1] for x in marked) if w not in known)
+        single.difference_update(marked)
+        single |= odd.difference(known, words, marked)
+        single.update(MARKS)
+        ordered = list(words)
+        ids, sizes = self.bpe.merge([w.encode() for w in ordered], symbols_too=True)
+        raw, cuts = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * ID_BYTES).tolist()
+        known.update(zip(ordered, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+        alone = list(single)
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        known.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(alone, found, strict=True))
+        ids_of = {m: known[m] for m in MARKS}
+        known.update([(w, known[w[:-1]] + ids_of[w[-1]]) for w in marked])
 
 
 class Level:

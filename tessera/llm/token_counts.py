@@ -41,7 +41,7 @@ def byte_characters() -> dict[int, str]:
 
 
 class RankMerger:
-    """Counts the tokens of many pre-tokens at once."""
+    """Merges the symbols of many pre-tokens at once."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,7 +49,10 @@ class RankMerger:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.size = len(vocab) + 1
-        self.of_byte = np.array([vocab[c] for _, c in sorted(byte_characters().items())], dtype=np.int64)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        characters = [c for _, c in sorted(byte_characters().items())]
+        self.of_byte = np.array([vocab[c] for c in characters], dtype=np.int64)
+        self.of_last_byte = np.array([vocab[c + suffix] for c in characters], dtype=np.int64)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
@@ -65,9 +68,16 @@ class RankMerger:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each non-empty byte string."""
+        return self.merge(words)[1]
+
+    def merge(self, words: list[bytes], symbols_too: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of non-empty byte strings one after another (if ``symbols_too``), and the number of each string's."""
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        out = length.copy()
-        symbols = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        out, done = length.copy(), []
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbols = self.of_byte[raw]
+        last = np.cumsum(length) - 1
+        symbols[last] = self.of_last_byte[raw[last]]
         owner = np.repeat(np.arange(len(words)), length)
         # ranks[i] belongs to the pair (i, i + 1); the last symbol of a sequence has no pair
         ranks = np.full(len(symbols), NO_RANK, dtype=np.int32)
@@ -81,6 +91,8 @@ class RankMerger:
             if not live.all():
                 out[owner[starts[~live]]] = sizes[~live]
                 stay = np.repeat(live, sizes)
+                if symbols_too:
+                    done.append((owner[~stay], symbols[~stay]))
                 symbols, owner, ranks = symbols[stay], owner[stay], ranks[stay]
                 sizes, lowest = sizes[live], lowest[live]
                 if not len(symbols):
@@ -105,7 +117,10 @@ class RankMerger:
             near[:-1] &= owner[1:] == owner[:-1]
             fresh = np.flatnonzero(near)
             ranks[fresh] = self.rank(symbols[fresh], symbols[fresh + 1])
-        return out
+        if not done:
+            return symbols, out
+        order = np.argsort(np.concatenate([o for o, _ in done]), kind="stable")
+        return np.concatenate([x for _, x in done])[order], out
 
 
 @lru_cache(maxsize=4)
