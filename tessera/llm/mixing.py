@@ -16,6 +16,7 @@ are each laid on the axis; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ from tessera.llm.common import table, written
 
 #: Words of a block, slots ranked in one task at a time, and rows of a bucket about.
 BLOCK_WORDS, CHUNK_SLOTS, BUCKET_ROWS = 256, 1 << 14, 2_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Weights of the sources by code point, repeating, and the share of all sizes that the mix has.
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2.0
 
@@ -159,15 +161,53 @@ def mix_pieces(laid: DataFrame, mix: Recipe, block: int = BLOCK_WORDS, keep: Seq
     return met.select("row", *keep, "k", "slot", "turn", (F.greatest("lo", "first") - F.col("first")).alias("from_word"), (F.least("hi", "last") - F.col("first")).alias("to_word"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, Recipe]:
-    """(documents with row, size and place; the stretches that the mix takes of them; the recipe). Texts are read once and not shuffled."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS, row: str | None = None
+) -> tuple[DataFrame, DataFrame, Recipe]:
+    """(documents with row, size and place; the stretches that the mix takes of them; the recipe). Texts are read once and not shuffled.
+
+    ``row`` names a column that tells rows apart; without one they are numbered.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), number.alias("row"))
+    sized = written(sized, "sizes")
     mix = recipe(sized, weights, share, most)
     laid = laid_out(sized, mix)
     return laid, mix_pieces(laid, mix, block), mix
 
 
+@F.pandas_udf(T.StringType())
+def words_between(texts: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """The part of a text from one of its words up to another (exclusive), as it stands."""
+
+    def part(text: str, i: int, j: int) -> str:
+        spans = [m.span() for m in WORD.finditer(text)]
+        return text if i == 0 and j >= len(spans) else text[spans[i][0] : spans[min(j, len(spans)) - 1][1]]
+
+    return pd.Series([part(t, i, j) for t, i, j in zip(texts, first, last, strict=True)], dtype=object)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for every pass over a document, with the part of its text that the pass takes.
+
+    What the mix doesn't take is left out; a document of which it takes more than the whole is there twice. n_chars, if there, follows.
+    """
+    ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
+    columns, row = docs.columns, "doc_id"
+    if ids[0] not in (None, 1) or ids[1]:  # ids that repeat or are null don't tell rows apart
+        row = "__row"
+        docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, pieces, _ = mixed(docs, weights, share, most, block, row)
+    # what a pass takes of a document is one stretch of it
+    passes = pieces.groupBy("row", "turn").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
+    rows = docs.join(passes.withColumnRenamed("row", "__of").drop("turn"), F.col(row).eqNullSafe(F.col("__of")))
+    text = words_between(F.col("text").cast("string"), "__from", "__to")
+    rows = rows.withColumn("text", text)
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*columns)
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target (the source's) and taken, the words that the mix takes of each document."""
     laid, pieces, mix = mixed(docs, weights, share, most, block)

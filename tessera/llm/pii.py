@@ -238,7 +238,7 @@ def personal_data(docs: DataFrame, model: Model | None = None, text: str = "text
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in angle brackets; where spans meet, the first one's. A null text stays null."""
+    """``docs`` with every span of personal data replaced by its kind in angle brackets; where spans meet, the first one's. A null text becomes empty; n_chars, if there, follows."""
     base = ", ".join(f"'{k}'" for k in BASE)
     rows = proposals(docs, text, docs.columns)
     rows = rows.withColumn("__added", added(model)).withColumn("__taken", F.expr(f"array_sort(transform(concat(filter(__votes, c -> c.kind in ({base})), __added), c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"))
@@ -246,7 +246,10 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         f"aggregate(__taken, named_struct('at', 0, 'out', ''), (a, c) -> if(c.s < a.at, named_struct('at', greatest(a.at, c.e), 'out', a.out),"
         f" named_struct('at', c.e, 'out', concat(a.out, substring({text}, a.at + 1, c.s - a.at), '<', upper(c.kind), '>'))), a -> concat(a.out, substring({text}, a.at + 1)))"
     )
-    return rows.withColumn(text, F.expr(f"case when size(__taken) = 0 then {text} else {clean} end")).select(*docs.columns)
+    rows = rows.withColumn(text, F.expr(f"case when size(__taken) = 0 then {text} else {clean} end"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
