@@ -14,7 +14,7 @@ CRITERIA = ("ensemble_tpr", "tp_delta", "tp_count", "max_disagreement")
 
 def max_disagreement(models: Sequence[str], ensembles: Sequence[str]) -> Column:
     """The largest absolute difference between a model's rate and an ensemble's."""
-    return F.greatest(*[F.abs(F.col(f"tpr_{m}") - F.col(f"tpr_{e}")) for m in models for e in ensembles])
+    return F.array_max(F.array(*[F.abs(F.col(f"tpr_{m}") - F.col(f"tpr_{e}")) for m in models for e in ensembles]))
 
 
 def slide_table(scored: DataFrame, models: Sequence[str], ensembles: Sequence[str], hard: str | None = None, slide: str = "slide_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def read_records(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 def decode_records(rows: DataFrame) -> DataFrame:
     """key, label, slide_id and the mean of each of the first three channels of raw 8-bit images; gray images count as three equal channels."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def means(image: pd.Series, shape: pd.Series) -> pd.Series:
         import numpy as np
@@ -67,8 +66,6 @@ def write_tiles(df: DataFrame, path: str) -> None:
 
 def read_gray(spark: SparkSession, path: str) -> DataFrame:
     """name and pixels (0 to 1, row by row) of binary PGM files, read with ``binaryFile``."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def pixels(content: pd.Series) -> pd.Series:
         import re
