@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, a local one for tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or os.path.join(tempfile.gettempdir(), "tessera-shared")).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
