@@ -24,6 +24,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts: at 10,000, Spark's default, a few thousand characters a text make tens of MB in each worker.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session, unless it has a setting of its own, hands Python BATCH_ROWS rows at a time from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == DEFAULT_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 
 #: Families of languages by code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -133,7 +133,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled_sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """lang and text of at most ``most`` rows of each language outside the held-out part: those whose ids have the lowest hashes."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     counts = rows.groupBy("lang").count()
     hashed = F.xxhash64("doc_id", F.lit(7))
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             batch["lang_pred"], batch["score"] = shared.value.predict(batch.pop("text").tolist())
             yield batch
 
-    given = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    given = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     return given.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -198,7 +198,7 @@ def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFra
         labels, scores = shared.value.predict(texts.tolist())
         return pd.Series(np.where(np.array(labels, dtype=object) == "und", -1.0, scores))
 
-    return docs.where(score(F.col("text").cast("string")) >= least_score)
+    return small_batches(docs).where(score(F.col("text").cast("string")) >= least_score)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import table, written
+from tessera.llm.common import small_batches, table, written
 
 #: Words of a block, slots ranked in one task at a time, and rows of a bucket about.
 BLOCK_WORDS, CHUNK_SLOTS, BUCKET_ROWS = 256, 1 << 14, 2_000
@@ -169,7 +169,7 @@ def mixed(
     ``row`` names a column that tells rows apart; without one they are numbered.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), number.alias("row"))
+    sized = small_batches(docs).select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), number.alias("row"))
     sized = written(sized, "sizes")
     mix = recipe(sized, weights, share, most)
     laid = laid_out(sized, mix)

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_or_empty
+from tessera.llm.common import small_batches, table, text_or_empty
 from tessera.llm.token_counts import merger, vocabulary_path
 
 #: Characters of text that are cut up at a time, and chunks whose ids a worker remembers.
-BLOCK_CHARS, REMEMBERED = 1_000_000, 600_000
+BLOCK_CHARS, REMEMBERED = 1_000_000, 400_000
 PLAIN = re.compile("[\\x00-\u024f]*")
 #: The one letter below U+0250 whose lower case is more than letters.
 DOTTED_I = "\u0130"
@@ -228,7 +228,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int = 2048, en
         frame = pd.DataFrame(rows, columns=names, dtype=object)
         return frame.astype(dict.fromkeys(names[1:], "int64"))
 
-    given = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    given = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     return given.mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
