@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_rows(given: DataFrame, run: Callable, columns: str, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``given.mapInPandas(run)`` with the columns ``ids``, which ``run`` hands on, and then ``columns``.
+
+    Whole-number ids go as text: beside a null, pandas holds such a column as floats, which round what is above 2^53.
+    """
+    kinds = {c: given.schema[c].dataType for c in ids}
+    whole = {c: k for c, k in kinds.items() if isinstance(k, T.IntegralType)}
+    sent = given.withColumns({c: F.col(c).cast("string") for c in whole})
+    schema = [f"{c} {'string' if c in whole else k.simpleString()}" for c, k in kinds.items()]
+    done = sent.mapInPandas(run, ", ".join([*schema, columns]))
+    return done.withColumns({c: F.col(c).cast(k) for c, k in whole.items()})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import map_rows, small_batches, table
 
 #: Families of languages by code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -185,8 +185,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield batch
 
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_rows(given, run, "held_out boolean, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFrame:

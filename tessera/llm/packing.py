@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table, text_or_empty
+from tessera.llm.common import map_rows, small_batches, table, text_or_empty
 from tessera.llm.token_counts import merger, vocabulary_path
 
 #: Characters of text that are cut up at a time, and chunks whose ids a worker remembers.
@@ -229,8 +229,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int = 2048, en
         return frame.astype(dict.fromkeys(names[1:], "int64"))
 
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_rows(given, run, "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

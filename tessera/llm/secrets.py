@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table, text_or_empty, written
+from tessera.llm.common import map_rows, small_batches, table, text_or_empty, written
 
 #: Fixed base patterns, each with the group that is measured and its least length. A run below the length can't hold another match.
 BASE = {
@@ -97,8 +97,7 @@ def scan(docs: DataFrame, owner: str | None = "source", id_col: str = "doc_id",
     named = F.lit(None).cast("string") if owner is None else F.col(owner).cast("string")
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), named.alias("owner"), text_or_empty(text_col).alias("text"))
     given = given.select("doc_id", "owner", F.xxhash64("text").alias("repository"), "text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInPandas(run, f"doc_id {kind}, owner string, repository long, found array<struct<kind:int,s:int,e:int,hash:string>>")
+    return map_rows(given, run, "owner string, repository long, found array<struct<kind:int,s:int,e:int,hash:string>>")
 
 
 def ownership(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table, written
+from tessera.llm.common import map_rows, small_batches, table, written
 from tessera.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc
             yield batch
 
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_rows(given, run, "fp long")
 
 
 def _list_keys(fp: Column, sets: list[tuple[int, ...]]) -> Column:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table, text_or_empty
+from tessera.llm.common import map_rows, small_batches, table, text_or_empty
 
 #: Fixed value: the byte-level pre-token pattern that the vocabulary was made with.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,8 +193,7 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
 
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     given = given.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    counted = given.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = map_rows(given, run, "n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
