@@ -123,7 +123,7 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
         raise ValueError("the keys of posting lists don't fit in 63 bits; use more bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held_keys, held_fps, handed_on = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
 
         def tables(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(keys):
@@ -146,16 +146,28 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()), *map(pa.array, columns)], ["key", "a", "b"])
             for key, fp in late:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.nulls(len(fp), pa.int64())], ["key", "a", "b"])
+                yield for_later(key, fp)
+
+        def for_later(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps), pa.nulls(len(fps), pa.int64())], ["key", "a", "b"])
 
         for batch in batches:
-            keys = np.r_[held_keys, batch.column(0).to_numpy()]
-            fps = np.r_[held_fps, batch.column(1).to_numpy()]
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if handed_on is not None:  # what else the list has that was handed on; keys are sorted
+                more = int(np.searchsorted(keys, handed_on, side="right"))
+                if more:
+                    yield for_later(keys[:more], fps[:more])
+                keys, fps = keys[more:], fps[more:]
+            keys, fps = np.r_[held_keys, keys], np.r_[held_fps, fps]
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1], side="left"))
             held_keys, held_fps = keys[last:], fps[last:]
             yield from tables(keys[:last], fps[:last])
+            if len(held_keys) > long:  # known to be long: no need to hold the whole list
+                handed_on = int(held_keys[0])
+                yield for_later(held_keys, held_fps)
+                held_keys, held_fps = held_keys[:0], held_fps[:0]
         yield from tables(held_keys, held_fps)
 
     index = distinct.select("fp", F.explode(_list_keys(F.col("fp"), sets)).alias("key")).select("key", "fp")

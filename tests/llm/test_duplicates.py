@@ -152,3 +152,19 @@ def test_containment_and_merging(spark):
     s = lambda c: fingerprints.sketch(fingerprints.plain_words(F.col(c)))
     r = df.select(fingerprints.containment(s("part"), s("whole")).alias("c"), (fingerprints.merged(F.array(s("part"), s("rest"))) == s("whole")).alias("m"), fingerprints.likeness(s("part"), s("whole")).alias("j")).first()
     assert r["c"] == 1.0 and r["m"] and abs(r["j"] - 0.2) < 0.06
+
+
+def test_list_over_many_batches(spark):
+    """A list that streams in over many Arrow batches is linked like one that is held whole."""
+    r = np.random.default_rng(1)
+    fps = sorted({int(x) << 32 | 7 for x in r.integers(0, 2**12, 900)} | {int(x) for x in r.integers(0, 2**63, 300)})
+    df = spark.createDataFrame(pd.DataFrame({"fp": np.array(fps, dtype=np.int64)}))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        got = {x["node"]: x["root"] for x in components.components(simhash.links(df, 4, 120)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    roots = plain_components(fps, 4)
+    assert got == {f: fps[k] for f, k in zip(fps, roots, strict=True) if roots.count(k) > 1}
