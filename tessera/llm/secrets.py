@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,13 +71,15 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         if kind == "assign" and not key_words(text) or kind == "access" and "AKIA" not in text:
             continue
         out += [(m.start(), number, m.end(), m.group(group)) for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    base = [(s, e) for s, _, e, _ in out]
+    starts, ends = map(list, zip(*sorted((s, e) for s, _, e, _ in out), strict=True)) if out else ([], [])
+    reach = list(accumulate(ends, max))
     for number, (kind, pattern) in enumerate(EXTRA.items(), len(BASE)):
         if kind in NEEDS and not NEEDS[kind].search(text):
             continue
         for m in pattern.finditer(text):
             s, e, secret = m.start(), m.end(), m.group(1) if pattern.groups else m.group()
-            if any(s < y and x < e for x, y in base):
+            before = bisect_left(starts, e)  # base spans that begin before this one ends
+            if before and reach[before - 1] > s:
                 continue
             if kind == "random" and (entropy(secret) < RANDOM_BITS or not (re.search("[0-9]", secret) and re.search("[a-z]", secret) and re.search("[A-Z]", secret))):
                 continue
