@@ -65,20 +65,25 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
-    """A linear support vector machine (squared hinge) for y in -1, 1, by dual coordinate descent; each class weighs the same."""
-    x = np.c_[x, np.ones(len(x), dtype=np.float32)]
-    w, alpha = np.zeros(x.shape[1], dtype=np.float32), np.zeros(len(y))
+    """A linear support vector machine (squared hinge) for y in -1, 1, by dual coordinate descent; each class weighs the same.
+
+    The last weight is the bias. Apart from ``x`` nothing of its size is held.
+    """
+    w, alpha = np.zeros(x.shape[1] + 1, dtype=np.float32), np.zeros(len(y))
+    of_x = w[:-1]
     ones = max(1, int((y > 0).sum()))
     cost = np.where(y > 0, len(y) / (2 * ones), len(y) / (2 * max(1, len(y) - ones))) * penalty
     diagonal = 1 / (2 * cost)
-    norm = (x * x).sum(axis=1) + diagonal
+    norm = np.einsum("ij,ij->i", x, x) + 1 + diagonal
     random = np.random.default_rng(42)
     for _ in range(epochs):
         for i in random.permutation(len(y)):
-            slope = y[i] * float(w @ x[i]) - 1 + diagonal[i] * alpha[i]
+            slope = y[i] * float(of_x @ x[i] + w[-1]) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / norm[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = np.float32((new - alpha[i]) * y[i])
+                of_x += step * x[i]
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -163,9 +168,12 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, most: int = S
         return Model(groups, {}, buckets)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(rows["x"]), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
-        order = np.lexsort((rows["x"].to_numpy(), rows["lang"].to_numpy()))  # the same model whatever the order of rows
-        w = train_machine(x[order], rows["y"].to_numpy()[order])
+        packed = rows["x"].to_numpy()
+        order = np.lexsort((packed, rows["lang"].to_numpy()))  # the same model whatever the order of rows
+        x = np.empty((len(rows), buckets), dtype=np.float32)
+        for r, k in enumerate(order):
+            x[r] = np.frombuffer(packed[k], dtype=np.float16)
+        w = train_machine(x, rows["y"].to_numpy()[order])
         return rows[["level", "a", "b"]].head(1).assign(w=[w.tobytes()])
 
     spark = docs.sparkSession
