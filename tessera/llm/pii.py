@@ -38,7 +38,7 @@ PATTERNS = {
 EXTRA = tuple(k for k in PATTERNS if k not in BASE)
 KINDS = (*BASE, *EXTRA)
 #: A character that every match of a kind has, looked for first.
-HAS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": "]", "ssn": "-"}
+HAS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 DIGITS = "regexp_replace(m, '[^0-9]', '')"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CHECKS = {

@@ -75,6 +75,18 @@ def test_redaction(make):
     assert got == [(1, "Mail <EMAIL>, call <PHONE> or <IP>!", 35), (2, "nothing", 7), (3, "", 0), (3, "🙂 <EMAIL> <EMAIL>", 17)]
 
 
+def test_spelled_out_addresses_in_either_bracket(make):
+    spelled = ["jane (at) example (dot) com", "jane [at] example [dot] com", "jane(AT)example(DOT)com", "jane [AT] mail (dot) example [DOT] com"]
+    docs = make([(k, f"Contact me by email: {t}") for k, t in enumerate(spelled * 30)])
+    proposed = pii.proposals(docs)
+    for r in proposed.collect():
+        text = spelled[r["doc_id"] % 4]
+        assert [(v["kind"], v["s"], v["e"]) for v in r["__votes"]] == [("email_spelled", 21, 21 + len(text))]
+    model = pii.fit(proposed)
+    assert all(r["n_added"] == 1 for r in pii.personal_data(docs, model).collect())
+    assert {r["text"] for r in pii.redact(docs, model).collect()} == {"Contact me by email: <EMAIL_SPELLED>"}
+
+
 def test_expectation_maximisation_finds_the_poor_labeler():
     r, patterns = random.Random(7), {}
     for _ in range(4000):
