@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Colour of each confusion class (red, green, blue, alpha 0 to 1).
 COLOURS = {"TP": (0, 255, 0, 0.4), "FN": (255, 0, 0, 0.4), "FP": (0, 0, 255, 0.4), "TN": (0, 0, 0, 0.0)}
 
 
+def _with_extent(patches: DataFrame) -> DataFrame:
+    """``patches`` with the least and greatest coordinates of their slide, which come from partial aggregates as one row a slide."""
+    of = [f(c).alias(f"__{name}_{c}") for c in ("x", "y") for name, f in (("min", F.min), ("max", F.max))]
+    extents = patches.groupBy(F.col("slide_id").alias("__slide")).agg(*of)
+    return patches.join(F.broadcast(extents), F.col("slide_id").eqNullSafe(F.col("__slide"))).drop("__slide")
+
+
 def coordinate_mode(patches: DataFrame, tile: float) -> DataFrame:
     """mode of each slide: 'center' if offsets from the slide's least coordinates, modulo the tile, lie nearer to half a tile than to 0."""
-    w = Window.partitionBy("slide_id")
     t = F.lit(float(tile))
-    off = lambda c: F.pmod(F.col(c) - F.min(c).over(w), t)
-    rows = patches.select("slide_id", off("x").alias("ox"), off("y").alias("oy"))
+    off = lambda c: F.pmod(F.col(c) - F.col(f"__min_{c}"), t)
+    rows = _with_extent(patches).select("slide_id", off("x").alias("ox"), off("y").alias("oy"))
     near = lambda o, to: F.avg(F.abs(F.col(o) - to))
     sums = rows.groupBy("slide_id").agg((near("ox", F.lit(0.0)) + near("oy", F.lit(0.0))).alias("to_corner"), (near("ox", t / 2) + near("oy", t / 2)).alias("to_centre"))
     return sums.select("slide_id", "to_corner", "to_centre", F.when(F.col("to_centre") + 1e-6 < F.col("to_corner"), "center").otherwise("topleft").alias("mode"))
@@ -28,10 +33,10 @@ def to_corner(c: Column, mode: Column, tile: float) -> Column:
 
 def grid_snap(patches: DataFrame, tile: float) -> DataFrame:
     """``patches`` with col and row, half-even rounded steps from the slide's least coordinates, and the grid's n_cols and n_rows."""
-    w = Window.partitionBy("slide_id")
-    step = lambda c: F.rint((F.col(c) - F.min(c).over(w)) / float(tile)).cast("int")
-    rows = patches.withColumns({"col": step("x"), "row": step("y")})
-    return rows.withColumns({"n_cols": F.max("col").over(w) + 1, "n_rows": F.max("row").over(w) + 1})
+    step = lambda v, c: F.rint((F.col(v) - F.col(f"__min_{c}")) / float(tile)).cast("int")
+    rows = _with_extent(patches).withColumns({"col": step("x", "x"), "row": step("y", "y")})
+    rows = rows.withColumns({"n_cols": step("__max_x", "x") + 1, "n_rows": step("__max_y", "y") + 1})
+    return rows.drop(*[f"__{name}_{c}" for name in ("min", "max") for c in ("x", "y")])
 
 
 def confusion_class(pred: Column, truth: Column) -> Column:

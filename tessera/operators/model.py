@@ -5,6 +5,7 @@ A network is linear layers with ReLU between them; batch normalisation is folded
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HIDDEN = (512, 512, 256)
+#: Rows that are scored at a time when a network is validated.
+BLOCK = 4096
 
 
 @dataclass
@@ -77,7 +80,22 @@ def score(df: DataFrame, network: Network, features: str = "features", name: str
     return rows.withColumns({f"pred{name}": F.col("__s.pred"), f"prob{name}": F.col("__s.prob")}).drop("__s")
 
 
-def fit(x: np.ndarray, y: np.ndarray, validate: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42) -> tuple[Network, list[tuple[int, float, float]]]:
+@dataclass
+class Rows:
+    """Some rows of a matrix on disk, in a given order, which are read as they are asked for."""
+
+    stored: np.ndarray
+    places: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.places), self.stored.shape[1]
+
+    def __getitem__(self, i) -> np.ndarray:
+        return np.asarray(self.stored[self.places[i]])
+
+
+def fit(x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42) -> tuple[Network, list[tuple[int, float, float]]]:
     """The network of the best epoch by validation accuracy (the earliest of equal ones), by Adam on weighted cross-entropy; and (epoch, loss, acc)."""
     random, net = np.random.default_rng(seed), initial(x.shape[1], hidden, 2, seed)
     params = [*net.weights, *net.biases]
@@ -110,8 +128,11 @@ def fit(x: np.ndarray, y: np.ndarray, validate: tuple[np.ndarray, np.ndarray], w
                 mm += 0.1 * (g - mm)
                 vv += 0.001 * (g * g - vv)
                 q -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-        z = net.logits(validate[0])
-        acc = float(((z[:, 1] > z[:, 0]).astype(int) == validate[1]).mean()) if len(validate[1]) else 0.0
+        right = 0
+        for at in range(0, len(validate[1]), BLOCK):
+            z = net.logits(validate[0][at : at + BLOCK])
+            right += int(((z[:, 1] > z[:, 0]).astype(int) == validate[1][at : at + BLOCK]).sum())
+        acc = right / len(validate[1]) if len(validate[1]) else 0.0
         log.append((epoch, float(np.mean(losses)) if losses else 0.0, acc))
         if acc > best_acc:
             best, best_acc = Network([w.copy() for w in net.weights], [b.copy() for b in net.biases]), acc
@@ -121,18 +142,33 @@ def fit(x: np.ndarray, y: np.ndarray, validate: tuple[np.ndarray, np.ndarray], w
 def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42) -> DataFrame:
     """One model for each source_id, trained side by side, from (source_id, row_idx, split, features, label).
 
-    Rows: model, layer, inputs, outputs, w, b, best_acc. A source's training rows are one task's, as for any model that is trained in
-    one place; ``hidden`` and ``epochs`` bound the work and the caller samples larger sources.
+    Rows: model, layer, inputs, outputs, w, b, best_acc. All training rows of a source are one task's, as for any model that is trained in
+    one place. Their features stream to a temporary file of the worker, from which batches are read, so memory holds a batch of them and
+    a few numbers of each row; the time grows with the source's rows.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        x, y = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["label"].to_numpy(np.int64)
-        train, val = (pdf["split"] == "train").to_numpy(), (pdf["split"] == "validation").to_numpy()
-        counts = np.maximum(1, np.bincount(y[train], minlength=2)[:2])
-        net, log = fit(x[train], y[train], (x[val], y[val]), counts.sum() / (2 * counts), hidden, epochs, batch, rate, seed)
-        table = pd.DataFrame(weights_table({str(pdf["source_id"].iloc[0]): net}), columns=["model", "layer", "inputs", "outputs", "w", "b"])
-        return table.assign(best_acc=max(a for _, _, a in log))
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tempfile.TemporaryFile() as stored:
+            labels, splits, numbers, source, width = [], [], [], None, 0
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                part = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+                stored.write(part.tobytes())
+                source, width = str(pdf["source_id"].iloc[0]), part.shape[1]
+                labels.append(pdf["label"].to_numpy(np.int64))
+                splits.append(pdf["split"].map({"train": 0, "validation": 1}).fillna(2).to_numpy(np.int8))
+                numbers.append(pdf["row_idx"].to_numpy())
+            stored.flush()
+            y, which = np.concatenate(labels), np.concatenate(splits)
+            order = np.argsort(np.concatenate(numbers), kind="stable")
+            x = np.memmap(stored, dtype=np.float64, mode="r", shape=(len(y), width))
+            train, val = order[which[order] == 0], order[which[order] == 1]
+            counts = np.maximum(1, np.bincount(y[train], minlength=2)[:2])
+            net, log = fit(Rows(x, train), y[train], (Rows(x, val), y[val]), counts.sum() / (2 * counts), hidden, epochs, batch, rate, seed)
+            del x
+        table = pd.DataFrame(weights_table({source: net}), columns=["model", "layer", "inputs", "outputs", "w", "b"])
+        yield table.assign(best_acc=max(a for _, _, a in log))
 
     return rows.groupBy("source_id").applyInPandas(one, WEIGHTS_SCHEMA + ", best_acc double")
 

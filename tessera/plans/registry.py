@@ -548,12 +548,12 @@ def bilinear_resize(s, d):
 
 @query(None)
 def train_and_vote(s, d):
-    """Nine small networks, one a source, trained on aligned rows, and their majority on the test rows."""
+    """Nine networks of the reference's layers and epochs, one a source, trained on all aligned rows, and their majority on the test rows."""
     rows = align.align_keys(keyed(s, d), 9, ("label", "row_idx", "vec_id"))
     rows = rows.select("key", "label", F.explode("parts").alias("p")).select("key", "label", "p.source_id", "p.row_idx", "p.vec_id")
-    features = views.base(s, d).select("vec_id", F.expr("transform(slice(e, 1, 16), v -> v)").alias("features"))
+    features = views.base(s, d).select("vec_id", F.col("e").alias("features"))
     rows = split.three_way(rows.join(features, "vec_id"), F.col("vec_id"), ["source_id", "label"])
-    trained = model.train_by_source(rows, hidden=(8,), epochs=3).select("model", "layer", "inputs", "outputs", "w", "b").persist()
+    trained = model.train_by_source(rows, hidden=model.HIDDEN, epochs=30, batch=256).select("model", "layer", "inputs", "outputs", "w", "b").persist()
     networks = model.networks_of(trained)
     out = rows.where("split = 'test'").where("source_id = 0").select("key", "label", "features")
     for name, net in sorted(networks.items()):

@@ -181,3 +181,29 @@ def test_injected_encoder(spark):
     df = spark.createDataFrame([(1, bytearray(b"ab")), (2, bytearray(b"abc"))], "id int, image binary")
     got = model.embed(df, lambda images: np.array([[len(i)] for i in images])).orderBy("id").collect()
     assert [r["features"] for r in got] == [[2.0], [3.0]]
+
+
+def test_grids_take_extents_from_partial_aggregates(spark):
+    df = spark.createDataFrame([("s", 10.0, 0.0), ("s", 1034.0, 512.0), ("s", 522.0, 1536.0), (None, 3.0, 3.0), (None, 259.0, 3.0)], "slide_id string, x double, y double")
+    snapped = grid.grid_snap(df, 512)
+    assert snapped.columns == ["slide_id", "x", "y", "col", "row", "n_cols", "n_rows"]
+    got = sorted(snapped.select("x", "col", "row", "n_cols", "n_rows").collect())
+    assert got == [(3.0, 0, 0, 1, 1), (10.0, 0, 0, 3, 4), (259.0, 0, 0, 1, 1), (522.0, 1, 3, 3, 4), (1034.0, 2, 1, 3, 4)]
+    mode = grid.coordinate_mode(df, 512)
+    assert {r["slide_id"]: r["mode"] for r in mode.collect()} == {"s": "topleft", None: "topleft"}
+    for out in (snapped, mode):
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_train_and_vote_trains_the_whole_job(spark, sf, monkeypatch):
+    from tessera.plans import registry
+
+    seen, train = {}, model.train_by_source
+
+    def small(rows, **how):
+        seen.update(how, widths={r[0] for r in rows.select(F.size("features")).distinct().collect()})
+        return train(rows, hidden=(2,), epochs=1)
+
+    monkeypatch.setattr(model, "train_by_source", small)
+    registry.queries()["train_and_vote"](spark, sf)
+    assert seen["hidden"] == model.HIDDEN and seen["epochs"] == 30 and seen["widths"] == {64}
