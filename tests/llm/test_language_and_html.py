@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +72,57 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+LONG = "A paragraph, long enough, with commas, to be scored as text of an article, indeed it is."
+#: What stands in an article, and the blocks that it gives.
+INSIDE = {
+    "<button>Share</button>": [], "<p>See <label>x</label> tail</p>": ["See x tail"], "<p>a <button>Share</button> b": ["a b"], "<select><option>x</select>": [], "<datalist><option>x</datalist>": [],
+    "<p title='hidden gem'>gem</p>": ["gem"], '<p data-hidden="false">shown</p>': ["shown"], '<p data-role="dialog">said</p>': ["said"], "<p title=it's>q</p>": ["q"], "<p hidden>x</p>": [], '<p style="display: none">x</p>': [],
+    '<div class="navy">navy</div>': ["navy"], '<div class="commentary">words</div>': ["words"], '<div class="comment">x</div>': [], '<div class="post-comments">x</div>': [], '<div class="has-sidebar"><p>y</p></div>': ["y"], '<div class="share-buttons">x</div>': [],
+    "<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>": ["one", "two"], "<form><label>x</label><p>x</p></form>": [], "<fieldset><p>x</p></fieldset>": [], "<menu><li>x</menu>": [], "<aside><p>x</p></aside>": [],
+    "<figure><img src=x><figcaption>under it</figcaption></figure>": ["under it"], "<table><caption>over it</caption><tr><th>a<th>b<tr><td>1<td>2</table>": ["over it", "a", "b", "1", "2"], "<dl><dt>t<dd>d</dl>": ["t", "d"],
+    "<p>x<svg/>y<svg><title>t</title><text>x</text></svg>z</p>": ["xyz"], "<script>'</p>'</script >": [], "<p>a <b>b<br><p>c": ["a b", "c"], "<li>a<li>b<div><li>c": ["a", "b", "c"], "<h2>x<h3>y</h3>": ["x", "y"],
+    "<p>it&#39;s &amp; &nbsp; so <!-- c > d --> y": ["it's & so y"], "<p>1 < 2 <3</p>": ["1 < 2 <3"], "<header><h2>Own head</h2></header>": ["Own head"], "<div><table><tr><td></div>in</table>": ["in"],
+}
+
+
+def test_nothing_of_an_article_is_lost():
+    for inside, want in INSIDE.items():
+        page = f"<html><body><nav>Menu</nav><div class=ad>{LONG}</div><article><h1>Title</h1><p>{LONG}</p>{inside}<p>The end.</p></article><footer>x</footer></body></html>"
+        assert html_text.main_text(page).split("\n") == ["Title", LONG, *want, "The end."], inside
+
+
+def test_generated_pages():
+    """Pages put together from parts whose text is known, in articles named by an element, by a class or not at all."""
+    r = random.Random(4)
+    paragraphs = lambda: [" ".join(r.choices("some words, of a text, that goes on".split(), k=r.randint(20, 60))) for _ in range(r.randint(4, 9))]
+    around = ["<nav><ul><li><a href=1>Home</a></ul></nav>", f"<aside>{LONG}</aside>", f"<div class='sidebar'><p>{LONG}</p></div>", f"<form><p>{LONG}</p><input></form>", f"<section id='comments'><p>{LONG}</p></section>", "<ul><li><a href=1>About us</a><li><a href=2>Press</a></ul>", f"<div role=alert>{LONG}</div>"]
+    inside = [(h, w) for h, w in INSIDE.items() if "header" not in h and not h.startswith("<li>") and "<td></div>" not in h]
+    for n in range(300):
+        body, want = [], []
+        for p in paragraphs():
+            body.append(f"<p>{p}</p>")
+            want.append(p)
+            if r.random() < 0.5:
+                h, w = r.choice(inside)
+                body.append(h)
+                want += w
+        body.append("<p>The end.</p>")
+        want.append("The end.")
+        opening, closing = [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='entry-content'>", "</div>"), ("<div>", "</div>")][n % 4]
+        before, behind = ("".join(r.sample(around, r.randint(0, 3))) for _ in range(2))
+        page = f"<!DOCTYPE html><html><body><header><a href=/>Site</a></header>{before}{opening}{''.join(body)}{closing}{behind}<footer>x</footer></body></html>"
+        assert html_text.main_text(page).split("\n") == want, page
+
+
+def test_odd_markup_takes_time_in_proportion():
+    for source in ("<svg/>", "<textarea>", "<p title='x>", "<i></b>", "<b><div></b>", "<li>", "<table><tr><td>", "<article>", "<div>x", "<span hidden>x</p>", "<a href=x>y", "<p a=b "):
+        began = time.perf_counter()
+        html_text.main_text(source * 5_000 + ">")
+        once = time.perf_counter() - began
+        html_text.main_text(source * 20_000 + ">")
+        assert time.perf_counter() - began - once < 10 * once + 0.5, source
+
+
 def test_pages_of_the_small_table(spark, sf):
     rows = {r["page_id"]: r["text"] for r in html_text.op5_html_extraction(spark, sf).collect()}
     for p in table(spark, sf, "pages").collect():
