@@ -2,11 +2,14 @@
 
 Spans of four base kinds come from fixed patterns and checks. Looser patterns propose further spans (local phone numbers, spelled-out addresses, social
 security and bank account numbers, titled names). On every proposed span three labelers vote for, against or not at all: the format's
-own rules, gazetteers, and the words before it. Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliability by kind without any label; its posteriors, as soft labels, train a naive Bayes classifier over the span's votes, shape
-and context. The classifier decides which further spans are added; base spans stay.
+own rules and check digits, gazetteers (top-level domains, countries' account lengths, calling codes, given names), and the words before it. Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability by kind without any label; its posteriors, as soft labels, train a naive Bayes classifier over what the labelers don't tell as well: the span's
+length and surroundings, hashed words of its context and hashed pairs of character classes in it, beside the votes. The classifier decides which further
+spans are added; base spans stay.
 
-What comes to the driver: one row for each vote pattern or feature value, of which there are a fixed number.
+Texts are walked a fixed number of times, and the work on a text's spans grows with their number (times its logarithm): running sums go over slices
+of BLOCK spans, spans that meet base spans are found by bisection. What comes to the driver: one row for each vote pattern or feature value, of which
+there are a fixed number.
 
 Edge cases: a null text counts as empty; a text without spans has zero counts, the hash of the empty string and ""; repeated rows
 each get their row; an empty table gives an empty result and a model that adds nothing; other columns are ignored.
@@ -15,6 +18,7 @@ each get their row; an empty table gives an empty result and a model that adds n
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +51,32 @@ CHECKS = {
     "card": f"length({DIGITS}) <= 19 and luhn_check({DIGITS})",
     "phone": f"length({DIGITS}) between 9 and 15",
 }
-#: Labelers by kind, as SQL over m (the span) and ctx (what stands before it, up to CONTEXT characters): the format's rules, gazetteers.
+# The gazetteers.
+#: Common top-level domains.
+DOMAINS = """com org net edu gov mil int info biz name pro io ai app dev co me tv eu ac ad ae ag al am ar at au az ba be bg bo br by ca ch cl cn cr cu cy cz de dk do dz ec ee eg es fi fr ge gr gt
+hk hn hr hu id ie il in iq ir is it jo jp ke kr kw kz lb li lk lt lu lv ma mc md mk mt mx my ng ni nl no np nz om pa pe ph pk pl pt py qa ro rs ru sa se sg si sk sm sn sv sy th tn tr tw ua uk us uy uz va ve vn za""".split()
+#: Characters of an international bank account number by country.
+ACCOUNT_LENGTHS = dict(x.split(":") for x in """AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28
+HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VA:22 XK:20""".split())
+#: Calling codes of countries.
+CALLING_CODES = """1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 221 233 234 254 255 256 260 263 350 351 352 353 354 355 356 357 358 359
+370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 501 502 503 504 505 506 507 509 591 592 593 594 595 597 598 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998""".split()
+#: Given names in four languages.
+GIVEN_NAMES = """Alexander Alice Andreas Andrew Angela Anna Anne Antonio Barbara Ben Bernard Brigitte Carlos Carmen Catherine Charles Charlotte Christian Christine Claire Claudia Daniel David Diana Elena Elizabeth Emily Emma Eric Eva Felix Fernando
+Francisco François Frank Frédéric George Gerard Hans Heinrich Helen Helga Henry Ingrid Isabel Jack Jacques James Jan Jane Jean Jennifer Jessica Johann John Jorge José Josef Juan Julia Julie Karen Karl Kate Katharina Klaus Laura Laurent Linda
+Louis Luis Lukas Manuel Marc Margaret Maria María Marie Mark Markus Martin Mary Matthew Max Michael Michel Miguel Monika Nathalie Nicolas Olivia Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Pilar Rafael Richard Robert Rosa Ruth Sabine
+Sandra Sarah Sergio Simon Sofia Sophie Stefan Stephen Susan Susanne Sylvie Thomas Ursula Vincent Walter Werner William Wolfgang""".split()
+#: Social security numbers that were printed in advertisements.
+PRINTED = ("078-05-1120", "219-09-9999", "457-55-5462")
+
+# Labelers by kind, as SQL over m (the span) and ctx (what stands before it, up to CONTEXT characters).
 CONTEXT = 40
+PLAIN_IBAN = "upper(replace(m, ' ', ''))"
+#: The remainder by 97 of an account number whose first four characters stand behind the rest; letters count from 10 on.
+MOD_97 = (
+    f"aggregate(split(concat(substring({PLAIN_IBAN}, 5), left({PLAIN_IBAN}, 4)), ''), 0, (r, c) -> "
+    "case when c between '0' and '9' then (r * 10 + cast(c as int)) % 97 when c between 'A' and 'Z' then (r * 100 + ascii(c) - 55) % 97 else r end)"
+)
 FORMAT = {
     "email": "case when m rlike '[.][A-Za-z]{2,24}$' and not m rlike '^[.]|[.][.]|[.]@' then 1 else -1 end",
     "ip": "case when m rlike '(^|[.])0[0-9]' then -1 else 1 end",
@@ -57,19 +85,26 @@ FORMAT = {
     "phone_local": "case when m rlike '^[(]?[2-9][0-9]{2}[)]?[ .-]?[2-9]' then 1 else -1 end",
     "email_spelled": "case when m rlike '[A-Za-z]{2,24}$' then 1 else -1 end",
     "ssn": "case when m rlike '^(000|666|9)|-00-|-0000$' then -1 else 1 end",
-    "iban": "case when length(replace(m, ' ', '')) between 15 and 34 then 0 else -1 end",
+    "iban": f"case when {MOD_97} = 1 then 1 else -1 end",
     "name": "case when m rlike '[a-z]{2}$' then 0 else -1 end",
 }
+
+
+def _one_of(words: list[str], value: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"array_contains(array({listed}), {value})"
+
+
 GAZETTEER = {
-    "email": "case when lower(m) rlike '[.](com|org|net|edu|gov|info|io|eu|de|fr|es|uk|it|nl|us|ca|ch|at)$' then 1 else 0 end",
+    "email": f"case when {_one_of(DOMAINS, "lower(substring_index(m, '.', -1))")} then 1 else 0 end",
     "ip": "case when m rlike '^(0|127|255)[.]' then -1 when m rlike '^(10|192[.]168)[.]' then 0 else 1 end",
     "card": "case when m rlike '^(4|5[1-5]|2[2-7]|3[47]|6011|65)' then 1 else 0 end",
-    "phone": "case when m rlike '^[+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])' then 1 else 0 end",
+    "phone": f"case when {' or '.join(_one_of([c for c in CALLING_CODES if len(c) == n], f'left({DIGITS}, {n})') for n in (1, 2, 3))} then 1 else 0 end",
     "phone_local": "case when m rlike '^[(]?(800|888|877|866|900)' then -1 else 0 end",
-    "email_spelled": "case when lower(m) rlike '(com|org|net|edu|de|fr|es|uk)$' then 1 else 0 end",
-    "ssn": "0",
-    "iban": "case when m rlike '^(AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)' then 1 else -1 end",
-    "name": "case when m rlike '^(Mr|Mrs|Ms|Dr|Prof)' then 1 else 0 end",
+    "email_spelled": f"case when {_one_of(DOMAINS, "lower(regexp_extract(m, '([A-Za-z]+)$', 1))")} then 1 else 0 end",
+    "ssn": f"case when {_one_of(list(PRINTED), 'm')} then -1 when left(m, 3) <= '733' or left(m, 3) between '750' and '772' then 1 else 0 end",
+    "iban": f"case when element_at(map({', '.join(f"'{c}', {n}" for c, n in ACCOUNT_LENGTHS.items())}), left({PLAIN_IBAN}, 2)) = length({PLAIN_IBAN}) then 1 else -1 end",
+    "name": f"case when {_one_of(GIVEN_NAMES, "split(m, ' ')[1]")} then 1 else 0 end",
 }
 CUES = {
     "email": "e-?mail|contact|write|reach|@|kontakt|courriel|correo|from:|to:",
@@ -85,26 +120,40 @@ CUES = {
 AGAINST = "version|release|isbn|order|invoice|chapter|section|ticket|model|part no"
 ADD_FROM = 0.5
 HIT = "struct<s:int,e:int,m:string,ctx:string>"
+#: Elements of an array that a running sum goes over at a time, buckets of hashed features, and code points of a chunk of text.
+BLOCK, BUCKETS, CHUNK = 256, 64, 1024
+
+
+def scanned(items: str, value: str, combine: str, made: str, kind: str) -> str:
+    """SQL for ``made`` of each element x of ``items``, where a.at combines (``a + b`` or the like) ``value`` of the elements before it.
+
+    It goes over slices, each with what the slices before it come to: an array that grows is copied at every step, so none may grow long.
+    """
+    with_next = lambda at: combine.replace("$a", at).replace("$b", f"({value})")
+    starts = f"aggregate(parts, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, part) -> named_struct('at', aggregate(part, a.at, (t, x) -> {with_next('t')}), 'out', array_append(a.out, a.at)), a -> a.out)"
+    inside = f"aggregate(part, named_struct('at', start, 'out', cast(array() as array<{kind}>)), (a, x) -> named_struct('at', {with_next('a.at')}, 'out', array_append(a.out, {made})), a -> a.out)"
+    slices = f"transform(sequence(0, greatest(size(xs) - 1, 0) div {BLOCK}), k -> slice(xs, cast(k * {BLOCK} + 1 as int), {BLOCK}))"
+    # an array of one element binds a name, so that what it stands for is worked out once
+    return f"element_at(transform(array({items}), xs -> element_at(transform(array({slices}), parts -> flatten(zip_with(parts, {starts}, (part, start) -> {inside}))), 1)), 1)"
 
 
 def found(text: str, kind: str) -> Column:
     """Every match of the kind's pattern in a column of texts, leftmost and non-overlapping, with its place in code points.
 
-    ``split`` gives what lies between the matches, so places are running sums of lengths; each text is walked a fixed number of times.
+    ``split`` gives what lies between the matches, so places are running sums of lengths.
     """
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    hits = (
-        f"aggregate(arrays_zip(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0)),"
-        f" named_struct('at', 0, 'out', cast(array() as array<{HIT}>)),"
-        " (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out', concat(a.out, array(named_struct("
-        f"'s', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'm', x.`1`, 'ctx', right(x.`0`, {CONTEXT})))))), a -> a.out)"
-    )
+    items = f"arrays_zip(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0))"
+    begin = "a.at + length(x.`0`)"
+    hit = f"named_struct('s', {begin}, 'e', {begin} + coalesce(length(x.`1`), 0), 'm', x.`1`, 'ctx', right(x.`0`, {CONTEXT}))"
+    hits = f"filter({scanned(items, 'length(x.`0`) + coalesce(length(x.`1`), 0)', '$a + $b', hit, HIT)}, h -> h.m is not null)"
     there = f"contains({text}, '{HAS[kind]}') and " if kind in HAS else ""
     return F.expr(f"case when {there}{text} rlike '{pattern}' then {hits} else cast(array() as array<{HIT}>) end")
 
 
 def _scoped(sql: str, lam: str) -> str:
-    return sql.replace("ctx", f"{lam}.ctx").replace("length(m)", f"length({lam}.m)").replace("(m,", f"({lam}.m,").replace("(m)", f"({lam}.m)").replace("m rlike", f"{lam}.m rlike")
+    """``sql`` over m and ctx, of the hit that the lambda's variable names."""
+    return re.sub(r"'(?:[^'\\]|\\.)*'|\b(m|ctx)\b", lambda x: f"{lam}.{x[1]}" if x[1] else x[0], sql)
 
 
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -114,14 +163,17 @@ def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def votes() -> Column:
-    """The proposed spans of a row as an array of kind, s, e, the three votes and two further features, base kinds included."""
+    """The proposed spans of a row, by kind and start, as an array of kind, s, e, the three votes and the features that are no votes; base kinds are included."""
     parts = []
     for k in KINDS:
         context = f"case when lower(ctx) rlike '({CUES[k]})' then 1 when lower(ctx) rlike '({AGAINST})' then -1 else 0 end"
-        shape = f"concat(least(3, floor(length(m) / 8)), if(ctx rlike '(^|[ \\\\n(]|: ?)$', 's', 'o'))"
-        v = [_scoped(x, "h") for x in (FORMAT[k], GAZETTEER[k], context, shape)]
+        shape = "concat(least(3, floor(length(m) / 8)), if(ctx rlike '(^|[ \\\\n(]|: ?)$', 's', 'o'))"
+        words = f"array_distinct(transform(regexp_extract_all(lower(ctx), '[\\\\p{{L}}]++', 0), w -> cast(pmod(xxhash64(w), {BUCKETS}) as int)))"
+        classes = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[0-9]', '0'), '[\\\\p{Lu}]', 'A'), '[\\\\p{Ll}]', 'a'), '(.)\\\\1+', '$1')"
+        pairs = f"array_distinct(transform(regexp_extract_all({classes}, '(?=(..))', 1), w -> cast(pmod(xxhash64(w), {BUCKETS}) as int)))"
+        v = [_scoped(x, "h") for x in (FORMAT[k], GAZETTEER[k], context, shape, words, pairs)]
         parts.append(
-            f"transform(__hit_{k}, h -> named_struct('kind', '{k}', 's', h.s, 'e', h.e, 'v1', cast({v[0]} as int), 'v2', cast({v[1]} as int), 'v3', cast({v[2]} as int), 'shape', {v[3]}))"
+            f"transform(__hit_{k}, h -> named_struct('kind', '{k}', 's', h.s, 'e', h.e, 'v1', cast({v[0]} as int), 'v2', cast({v[1]} as int), 'v3', cast({v[2]} as int), 'shape', {v[3]}, 'words', {v[4]}, 'pairs', {v[5]}))"
         )
     return F.expr(f"concat({', '.join(parts)})")
 
@@ -169,46 +221,60 @@ def expectation_maximisation(patterns: dict[tuple[int, int, int], int], rounds:
     return post, share, right
 
 
+def _table(values: dict, kind: str = "double") -> str:
+    return "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in values.items()) + ")" if values else f"cast(map() as map<string, {kind}>)"
+
+
+def log_odds(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Of each value of a feature, from its soft counts on true and on false spans, with one added to each."""
+    n_yes, n_no = (sum(c[y] for c in counts.values()) + len(counts) for y in (0, 1))
+    return {v: math.log((yes + 1) / n_yes) - math.log((no + 1) / n_no) for v, (yes, no) in counts.items()}
+
+
 def fit(proposed: DataFrame) -> Model:
-    """A model from a table with the column ``__votes``. Two aggregations in one: counts by kind, vote pattern and shape."""
-    rows = proposed.select(F.explode("__votes").alias("c")).select("c.kind", "c.v1", "c.v2", "c.v3", "c.shape")
-    rows = rows.groupBy("kind", "v1", "v2", "v3", "shape").count().collect()
-    prior, weight, reliability = {}, {}, {}
+    """A model from a table with the column ``__votes``: one aggregation counts vote patterns, for expectation-maximisation, one the features under its posteriors."""
+    each = proposed.select(F.explode("__votes").alias("c")).select("c.*")
+    rows = each.groupBy("kind", "v1", "v2", "v3").count().collect()
+    prior, weight, reliability, posterior = {}, {}, {}, {}
     for kind in KINDS:
-        own = [r for r in rows if r["kind"] == kind]
-        if not own:
-            continue
-        patterns: dict[tuple[int, int, int], int] = {}
-        for r in own:
-            p = (r["v1"], r["v2"], r["v3"])
-            patterns[p] = patterns.get(p, 0) + r["count"]
-        post, share, right = expectation_maximisation(patterns)
-        prior[kind] = math.log(share / (1 - share))
-        reliability |= {(kind, k): x for k, x in enumerate(right)}
-        for name in ("v1", "v2", "v3", "shape"):
-            yes: dict = {}
-            no: dict = {}
-            for r in own:
-                p = post[r["v1"], r["v2"], r["v3"]]
-                yes[r[name]] = yes.get(r[name], 0.0) + r["count"] * p
-                no[r[name]] = no.get(r[name], 0.0) + r["count"] * (1 - p)
-            n_yes, n_no = sum(yes.values()) + len(yes), sum(no.values()) + len(no)
-            for value in yes:
-                weight[f"{kind}|{name}|{value}"] = math.log((yes[value] + 1) / n_yes) - math.log((no[value] + 1) / n_no)
+        patterns = {(r["v1"], r["v2"], r["v3"]): r["count"] for r in rows if r["kind"] == kind}
+        if patterns:
+            post, share, right = expectation_maximisation(patterns)
+            prior[kind] = math.log(share / (1 - share))
+            reliability |= {(kind, k): x for k, x in enumerate(right)}
+            posterior |= {f"{kind}|{'|'.join(map(str, p))}": x for p, x in post.items()}
+    if not prior:
+        return Model()
+    truth = f"element_at({_table(posterior)}, concat_ws('|', kind, v1, v2, v3))"
+    single = ", ".join(f"named_struct('name', '{n}', 'value', cast({n} as string))" for n in SINGLE)
+    several = ", ".join(f"transform({n}, w -> named_struct('name', '{n}', 'value', cast(w as string)))" for n in SEVERAL)
+    features = each.select("kind", F.expr(truth).alias("p"), F.explode(F.expr(f"concat(array({single}), {several})")).alias("f"))
+    sums = features.groupBy("kind", "f.name", "f.value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
+    counts: dict[tuple[str, str], dict] = {}
+    for r in sums:
+        counts.setdefault((r["kind"], r["name"]), {})[r["value"]] = (r["yes"], r["no"])
+    for (kind, name), values in counts.items():
+        weight |= {f"{kind}|{name}|{v}": x for v, x in log_odds(values).items()}
     return Model(prior, weight, reliability)
 
 
-def _table(values: dict[str, float]) -> str:
-    return "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in values.items()) + ")" if values else "cast(map() as map<string, double>)"
+#: Features with one value, and those with several, of which the mean counts: they depend on each other.
+SINGLE, SEVERAL = ("v1", "v2", "v3", "shape"), ("words", "pairs")
 
 
 def added(model: Model, least: float = ADD_FROM) -> Column:
     """The further spans that the classifier takes, without those that meet a base span."""
     bound = math.log(least / (1 - least))
-    terms = " + ".join(f"coalesce(element_at({_table(model.weight)}, concat(c.kind, '|{n}|', c.{n})), 0D)" for n in ("v1", "v2", "v3", "shape"))
-    score = f"coalesce(element_at({_table(model.prior)}, c.kind), -1000D) + {terms}"
+    of = lambda name, value: f"coalesce(element_at({_table(model.weight)}, concat(c.kind, '|{name}|', {value})), 0D)"
+    terms = [of(n, f"c.{n}") for n in SINGLE]
+    terms += [f"if(size(c.{n}) = 0, 0D, aggregate(c.{n}, 0D, (t, w) -> t + {of(n, 'w')}) / size(c.{n}))" for n in SEVERAL]
+    score = f"coalesce(element_at({_table(model.prior)}, c.kind), -1000D) + {' + '.join(terms)}"
     base = ", ".join(f"'{k}'" for k in BASE)
-    return F.expr(f"filter(__votes, c -> c.kind not in ({base}) and {score} >= {bound!r}D and not exists(__votes, b -> b.kind in ({base}) and b.s < c.e and c.s < b.e))")
+    # spans of a kind are sorted and apart, so of those that begin before this one's end the last reaches furthest
+    last = "aggregate(array(" + ", ".join(str(1 << k) for k in reversed(range(30))) + "), 0, (low, n) -> if(get(xs, low + n - 1).s < c.e, low + n, low))"
+    bases = "array(" + ", ".join(f"filter(__votes, b -> b.kind = '{k}')" for k in BASE) + ")"
+    meets = f"exists(bases, xs -> coalesce(get(xs, {last} - 1).e > c.s, false))"
+    return F.expr(f"element_at(transform(array({bases}), bases -> filter(__votes, c -> c.kind not in ({base}) and {score} >= {bound!r}D and not {meets})), 1)")
 
 
 def _as_text(spans: str) -> str:
@@ -226,14 +292,14 @@ def proposals(docs: DataFrame, text: str = "text", keep: list[str] | None = None
 
 
 def personal_data(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans and n_added of every row; fits a model on ``docs`` if none is given."""
+    """doc_id, counts of the base kinds, base_sha256, spans, n_added and n_spans (all) of every row; fits a model on ``docs`` if none is given."""
     rows = written(proposals(docs, text), "proposals")
     model = fit(rows) if model is None else model
     base = ", ".join(f"'{k}'" for k in BASE)
     rows = rows.withColumn("__added", added(model)).withColumn("__base", F.expr(f"filter(__votes, c -> c.kind in ({base}))"))
     counts = [F.expr(f"cast(size(filter(__base, c -> c.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     return rows.select(
-        "doc_id", *counts, F.expr(f"sha2({_as_text('__base')}, 256)").alias("base_sha256"), F.expr(_as_text("concat(__base, __added)")).alias("spans"), F.size("__added").cast("long").alias("n_added")
+        "doc_id", *counts, F.expr(f"sha2({_as_text('__base')}, 256)").alias("base_sha256"), F.expr(_as_text("concat(__base, __added)")).alias("spans"), F.size("__added").cast("long").alias("n_added"), (F.size("__base") + F.size("__added")).cast("long").alias("n_spans")
     )
 
 
@@ -242,10 +308,16 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     base = ", ".join(f"'{k}'" for k in BASE)
     rows = proposals(docs, text, docs.columns)
     rows = rows.withColumn("__added", added(model)).withColumn("__taken", F.expr(f"array_sort(transform(concat(filter(__votes, c -> c.kind in ({base})), __added), c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"))
-    clean = (
-        f"aggregate(__taken, named_struct('at', 0, 'out', ''), (a, c) -> if(c.s < a.at, named_struct('at', greatest(a.at, c.e), 'out', a.out),"
-        f" named_struct('at', c.e, 'out', concat(a.out, substring({text}, a.at + 1, c.s - a.at), '<', upper(c.kind), '>'))), a -> concat(a.out, substring({text}, a.at + 1)))"
-    )
+    # a span that begins inside one before it is a part of that
+    parts = scanned("__taken", "x.e", "greatest($a, $b)", f"if(x.s < a.at, null, named_struct('from', a.at, 's', x.s, 'kind', x.kind))", "struct<from:int,s:int,kind:string>")
+    parts = f"filter({parts}, x -> x is not null)"
+    # what stands between spans is cut out of a chunk of the text: out of the text itself each cut would walk it from its start
+    i, j = f"x.from div {CHUNK}", f"x.s div {CHUNK}"
+    head, tail = f"substring(get(chunks, cast({i} as int)), cast(x.from % {CHUNK} + 1 as int))", f"coalesce(substring(get(chunks, cast({j} as int)), 1, cast(x.s % {CHUNK} as int)), '')"
+    between = f"if({i} = {j}, coalesce(substring(get(chunks, cast({i} as int)), cast(x.from % {CHUNK} + 1 as int), x.s - x.from), ''), concat({head}, array_join(slice(chunks, cast({i} + 2 as int), cast({j} - {i} - 1 as int)), ''), {tail}))"
+    chunks = f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)"
+    marked = f"element_at(transform(array({chunks}), chunks -> array_join(transform({parts}, x -> concat({between}, '<', upper(x.kind), '>')), '')), 1)"
+    clean = f"concat({marked}, substring({text}, array_max(transform(__taken, x -> x.e)) + 1))"
     rows = rows.withColumn(text, F.expr(f"case when size(__taken) = 0 then {text} else {clean} end"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
