@@ -6,7 +6,7 @@ and the share of one sketch's hashes that is found in another estimates containm
 no text with a word has an empty sketch, its smallest hash is kept as well; below the threshold sketches stay exact under merging.
 
 Edge cases: a null text counts as empty; a text without words has the empty sketch (""), two empty sketches have likeness 1, an
-empty and a non-empty one 0; repeated rows each get their row; rows with the same id follow each other in the order of their texts;
+empty and a non-empty one 0; repeated rows each get their row; rows with the same id follow each other in an order that their texts alone fix;
 null ids come last; an empty table gives an empty result; the only row of a table is its own successor; other columns are ignored.
 """
 
@@ -22,9 +22,9 @@ from tessera.llm.common import table, text_or_empty
 
 #: Words of a shingle, and the fraction of the hash range that a sketch keeps.
 WORDS, FRACTION = 5, 0.25
-#: Rows that a range of ids holds about, in the search for the next document, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 2_000, 8_192
-LEAST_ID = -(2**63)
+#: Rows that a range of ids holds about, in the search for the next document, and the most ranges of ids, whose bounds come to the driver.
+RANGE_ROWS, MOST_RANGES = 2_000, 65_536
+LEAST_ID, MOST_TIE = -(2**63), 2**63 - 1
 
 
 def plain_words(text: Column) -> Column:
@@ -71,40 +71,66 @@ def sketches(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, id
     return given.withColumn("plain", plain_words(F.col("text"))).select("doc_id", "text", sketch(F.col("plain"), words, fraction).alias("sketch"))
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array, from one text: a literal for each element would take a call each."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+
+def number_below(bounds: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the sorted bounds are less than (key, tie), by bisection: a row looks at one bound for each bit of their number."""
+    if not bounds:
+        return F.lit(0)
+    first, second = (longs(list(x)) for x in zip(*bounds, strict=True))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def step(low: Column, n: Column) -> Column:
+        at = low + n
+        here, its_tie = F.get(first, at - 1), F.get(second, at - 1)  # null behind the last bound
+        return F.when((here < key) | (here == key) & (its_tie < tie), at).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def with_next(rows: DataFrame, ids: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with ``next_<column>`` of the row with the next smaller doc_id; after the smallest comes the largest.
 
-    Rows are dealt into ranges of ids whose bounds are approximate quantiles, so no task sees all rows; each range also gets a copy
-    of the first row of the range that follows it. ``ids`` is read for the bounds, with the id column alone. What comes to the driver
-    is one bound and one greatest id for each of at most MOST_RANGES ranges.
+    Rows are dealt into ranges of ids whose bounds are approximate quantiles, so no task sees all rows; an id that more rows have than a range should hold is dealt into
+    several ranges by a hash of their texts. Each range also gets a copy of the first row of the range that follows it. ``ids`` (doc_id and text) is read for the
+    bounds, its text only where an id is that frequent. What comes to the driver is one bound and one greatest id for each of at
+    most MOST_RANGES ranges, and the frequent ids, of which there are fewer. Rows that are equal in id and text share a range.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
     n = ids.count()
-    ranges = max(1, min(MOST_RANGES, math.ceil(n / range_rows)))
-    bounds: list[int] = []
-    if ranges > 1:
-        at = [k / ranges for k in range(1, ranges)]
-        found = ids.select(key.alias("key")).agg(F.percentile_approx("key", at, 50_000)).first()[0]
-        bounds = sorted(set(found))
-    lot = F.size(F.filter(F.lit(bounds), lambda b: b < key)) if bounds else F.lit(0)
-    tops = dict(map(tuple, ids.select(lot.alias("lot"), key.alias("key")).groupBy("lot").agg(F.max("key")).collect()))
+    held = max(range_rows, math.ceil(n / MOST_RANGES))
+    bounds, frequent = set(), {}
+    if n > held:
+        frequent = dict(map(tuple, ids.groupBy(key.alias("key")).count().where(F.col("count") > held).collect()))
+        at = [k * held / n for k in range(1, math.ceil(n / held))]
+        bounds = {(b, MOST_TIE) for b in ids.select(key.alias("key")).agg(F.percentile_approx("key", at, 50_000)).first()[0]}
+        for k, count in frequent.items():
+            parts = math.ceil(count / held)
+            bounds |= {(k - 1, MOST_TIE)} if k > LEAST_ID else set()
+            bounds |= {(k, LEAST_ID + p * 2**64 // parts) for p in range(1, parts)} | {(k, MOST_TIE)}
+    tie = F.when(F.array_contains(longs(sorted(frequent)), key), F.xxhash64("text")).otherwise(F.lit(0).cast("long")) if frequent else F.lit(0).cast("long")
+    lot = number_below(sorted(bounds), F.col("__key"), F.col("__tie")).alias("lot")
+    placed = lambda df: df.withColumns({"__key": key, "__tie": tie})
+    tops = {r["lot"]: (r["key"], r["tie"]) for r in placed(ids).select(lot, "__key", "__tie").groupBy("lot").agg(F.max(F.struct("__key", "__tie")).alias("m")).select("lot", F.col("m.__key").alias("key"), F.col("m.__tie").alias("tie")).collect()}
     order = sorted(tops, reverse=True)
     # a range's guests have the greatest id of the range after it; the last range's have the greatest of all
-    hosts = {tops[after]: lot_id for lot_id, after in zip(order, order[1:] + order[:1], strict=True)}
-    own = F.struct(lot.cast("int").alias("lot"), F.lit(0).alias("guest"))
-    copies = F.array(own)
-    if hosts:
-        host = F.element_at(F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair]).cast("map<bigint,int>"), key)
-        copies = F.when(host.isNotNull(), F.array(own, F.struct(host.alias("lot"), F.lit(1).alias("guest")))).otherwise(copies)
-    dealt = rows.withColumn("copy", F.explode(copies)).select("*", "copy.lot", "copy.guest").drop("copy")
-    w = Window.partitionBy("lot").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    host = dict(zip(order[1:] + order[:1], order, strict=True))
+    of_lot = lambda values: F.get(longs([values.get(k, 0) for k in range(max(tops, default=0) + 1)]), F.col("lot"))
+    dealt = placed(rows).withColumn("lot", lot)
+    first = (F.col("__key") == of_lot({k: t[0] for k, t in tops.items()})) & (F.col("__tie") == of_lot({k: t[1] for k, t in tops.items()}))
+    own, copy = F.struct(F.col("lot").cast("long").alias("lot"), F.lit(0).alias("guest")), F.struct(of_lot(host).alias("lot"), F.lit(1).alias("guest"))
+    dealt = dealt.withColumn("__copy", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own)))).drop("lot").select("*", "__copy.lot", "__copy.guest").drop("__copy")
+    w = Window.partitionBy("lot").orderBy("guest", F.col("__key").desc(), F.col("__tie").desc(), F.col("doc_id").desc_nulls_last(), "text")
     following = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return following.where("guest = 0").drop("lot", "guest")
+    return following.where("guest = 0").drop("lot", "guest", "__key", "__tie")
 
 
-def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each document's fingerprint beside that of its text with the last third replaced from the next document."""
-    rows = with_next(sketches(docs, words, fraction), docs.select("doc_id"), ["text", "sketch"])
+    rows = with_next(sketches(docs, words, fraction), docs.select("doc_id", text_or_empty().alias("text")), ["text", "sketch"], range_rows)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", 1, n - cut), F.substring("next_text", 1, cut))

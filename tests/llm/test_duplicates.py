@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -98,8 +100,6 @@ def test_sketch_equals_plain_code(spark, make):
     r = random.Random(2)
     texts = [" ".join(r.choices("alpha beta gamma Delta é1".split(), k=k)) for k in (0, 1, 3, 4, 5, 6, 40, 400)] + [None, "!!! ...", "a,b;c\nd e f"]
     rows = {x["doc_id"]: x for x in fingerprints.sketches(make(list(enumerate(texts)))).collect()}
-    import re
-
     for k, t in enumerate(texts):
         words = re.sub(r"[\W_]+", " ", (t or "").lower()).split()
         runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -117,11 +117,11 @@ def edited(docs):
     return out
 
 
-@pytest.mark.parametrize("n,range_rows", [(1, 2000), (2, 1), (40, 7), (40, 2000)])
+@pytest.mark.parametrize("n,range_rows", [(1, 2000), (2, 1), (40, 7), (40, 1), (40, 2000)])
 def test_next_documents(make, n, range_rows):
     docs = [(k * k, f"text {k} 🙂 " * (k % 5)) for k in range(n)]
     frame = make(docs)
-    rows = fingerprints.with_next(fingerprints.sketches(frame), frame.select("doc_id"), ["text"], range_rows).collect()
+    rows = fingerprints.with_next(fingerprints.sketches(frame), frame.select("doc_id", "text"), ["text"], range_rows).collect()
     want = edited(docs)
     assert len(rows) == n
     for r in rows:
@@ -129,16 +129,71 @@ def test_next_documents(make, n, range_rows):
         assert r["text"][: len(r["text"]) - cut] + r["next_text"][:cut] == want[r["doc_id"]]
 
 
-def test_edited_fingerprints(spark, sf, odd, none):
+@pytest.mark.parametrize("range_rows", [3, 10, 1000])
+def test_frequent_ids_are_dealt_over_ranges(make, range_rows):
+    """Each row has one successor and all rows form a single ring, in descending order of ids, whatever ids are frequent."""
+    docs = [(None, f"none {k}") for k in range(30)] + [(7, f"seven {k}") for k in range(30)] + [(k, f"own {k}") for k in range(-5, 12)] + [(11, "own 11"), (-(2**63), "least")]
+    frame = make(docs, clash=False)
+    rows = fingerprints.with_next(frame, frame.select("doc_id", "text"), ["text", "doc_id"], range_rows).collect()
+    assert sorted(r["text"] for r in rows) == sorted(t for _, t in docs) == sorted(r["next_text"] for r in rows)
+    following = {}
+    for r in rows:
+        following.setdefault(r["text"], []).append(r["next_text"])
+        if r["doc_id"] is not None and r["next_doc_id"] is not None and r["next_doc_id"] > r["doc_id"]:
+            raise AssertionError(r)
+    at, seen = "own 11", []
+    for _ in docs:
+        seen.append(at)
+        at = following[at].pop()
+    assert at == "own 11" and sorted(seen) == sorted(t for _, t in docs)
+
+
+def test_many_ranges_cost_little_more_than_few(spark):
+    """Rows look at as many bounds as their number has bits, not at all of them."""
+    rows = spark.range(200_000).selectExpr("id * 37 AS doc_id")
+
+    def run(n):
+        bounds = [(k * 37 * 200_000 // n, 0) for k in range(1, n)]
+        found = rows.select(fingerprints.number_below(bounds, F.col("doc_id"), F.lit(1)).alias("lot"))
+        began = time.perf_counter()
+        got = found.groupBy("lot").count().agg(F.count("*"), F.max("count")).first()
+        return time.perf_counter() - began, tuple(got)
+
+    run(25)
+    (few, (a, _)), (many, (b, most)) = run(25), run(8_000)
+    assert a == 25 and b == 8_000 and most <= 26 and many < 4 * few + 2
+
+
+def plain_sketch(text):
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = sorted(h - 2**64 if h >= 2**63 else h for h in (xxhash.xxh64_intdigest(x.encode(), 42) for x in runs))
+    return [h for i, h in enumerate(hashes) if i == 0 or h < -(2**62)]
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("range_rows", [20, 2000])
+def test_edited_fingerprints(spark, sf, range_rows):
+    """The whole small table against plain code."""
     docs = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
-    want, n = edited(docs), dict(docs)
-    rows = fingerprints.op10_document_fingerprints(spark, sf).collect()
+    order = [d for d, _ in sorted(docs, reverse=True)]
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    want, text = edited(docs), dict(docs)
+    rows = fingerprints.edited_fingerprints(table(spark, sf, "documents"), range_rows=range_rows).collect()
     assert len(rows) == len(docs)
+    as_text = lambda s: ",".join(f"{h & 2**64 - 1:016x}" for h in s)
     for r in rows:
-        assert r["edited_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest() and r["n_chars"] == len(n[r["doc_id"]])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    longer = [r["near_edited"] for r in rows if r["n_chars"] > 2000]
-    assert 0.4 < sum(longer) / len(longer) < 0.6
+        d = r["doc_id"]
+        own, other, changed = plain_sketch(text[d]), plain_sketch(text[after[d]]), plain_sketch(want[d])
+        assert r["edited_sha256"] == hashlib.sha256(want[d].encode()).hexdigest() and r["n_chars"] == len(text[d])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (as_text(own), as_text(changed))
+        assert (r["near_edited"], r["near_next"]) == (jaccard(own, changed), jaccard(own, other))
+
+
+def test_edited_fingerprints_of_odd_texts(odd, none):
     by = fingerprints.edited_fingerprints(odd).collect()
     assert len(by) == 14 and len({r["fingerprint"] for r in by if r["doc_id"] in (9, 10)}) == 1
     assert fingerprints.edited_fingerprints(none).collect() == []
