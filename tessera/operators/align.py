@@ -103,3 +103,18 @@ def same_coordinates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Whether two sources have the same coordinates in the same rows, for each slide of either."""
     pair = a.select(*POSITION, F.struct("x", "y").alias("pa")).join(b.select(*POSITION, F.struct("x", "y").alias("pb")), list(POSITION), "full_outer")
     return pair.groupBy("slide_id").agg(F.bool_and(F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))).alias("same"))
+
+
+def row_counts(sources: Sequence[DataFrame]) -> DataFrame:
+    """slide_id, counts (rows in each source, 0 where it has none) and whether all are equal."""
+    each = [d.groupBy("slide_id").agg(F.count("*").alias("n")).select("slide_id", F.lit(k).alias("k"), "n") for k, d in enumerate(sources)]
+    by_source = reduce(DataFrame.unionByName, each).groupBy("slide_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(sources) - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long")))
+    return by_source.select("slide_id", counts.alias("counts"), (F.size(F.array_distinct(counts)) == 1).alias("equal"))
+
+
+def require_equal_counts(sources: Sequence[DataFrame]) -> None:
+    """Raises an error that names slides whose numbers of rows differ between the sources."""
+    wrong = row_counts(sources).where("NOT equal").orderBy("slide_id").limit(5).collect()
+    if wrong:
+        raise ValueError("numbers of rows differ: " + ", ".join(f"{r['slide_id']} {r['counts']}" for r in wrong))

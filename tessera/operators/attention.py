@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.dice import min_max
 
@@ -18,10 +19,20 @@ def token_layout(n: Column) -> tuple[Column, Column]:
 
 def softmax_rows(scores: DataFrame, keys: tuple[str, ...] = ("tile_id", "head", "i")) -> DataFrame:
     """``scores`` (keys, j, s) with ``a``, the softmax of s over j; the greatest score is taken off first."""
-    top = scores.groupBy(*keys).agg(F.max("s").alias("__top"))
-    rows = scores.join(top, list(keys)).withColumn("__e", F.exp(F.col("s") - F.col("__top")))
-    total = rows.groupBy(*keys).agg(F.sum("__e").alias("__sum"))
-    return rows.join(total, list(keys)).select(*keys, "j", (F.col("__e") / F.col("__sum")).alias("a"))
+    row = Window.partitionBy(*keys)  # as many scores as a tile has tokens
+    rows = scores.withColumn("__e", F.exp(F.col("s") - F.max("s").over(row)))
+    return rows.select(*keys, "j", (F.col("__e") / F.sum("__e").over(row)).alias("a"))
+
+
+def first_tiles(rows: DataFrame, most: int = 100) -> DataFrame:
+    """The rows of the first tiles by id, at most ``most`` of them."""
+    tiles = rows.select("tile_id").distinct().orderBy("tile_id").limit(most)
+    return rows.join(F.broadcast(tiles), "tile_id", "left_semi")
+
+
+def as_heads(attention: DataFrame) -> DataFrame:
+    """(tile_id, head, i, j, a) from a table that may lack the head: a single matrix is that of head 0."""
+    return attention if "head" in attention.columns else attention.withColumn("head", F.lit(0)).select("tile_id", "head", *[c for c in attention.columns if c != "tile_id"])
 
 
 def head_mean(attention: DataFrame) -> DataFrame:

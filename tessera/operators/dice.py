@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.metrics import ratio
-
 BINS, SMALL = 256, 1e-8
 
 
@@ -36,34 +34,55 @@ def parse_threshold(spec: str) -> Threshold:
     return Threshold("number", float(s))
 
 
-def otsu(values: DataFrame, by: Sequence[str] = ("tile_id",), value: str = "v", bins: int = BINS) -> DataFrame:
-    """threshold of each group: the centre of the bin of [0, 1] that maximises the variance between the two sides, the first of equal ones.
+def histogram(value: Column, bins: int = BINS) -> Column:
+    """The bin of [0, 1] that a value falls in; what is outside counts for the outermost."""
+    return F.least(F.floor(F.greatest(value, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+
+
+def otsu_of(counts: Column, bins: int = BINS) -> Column:
+    """The centre of the bin that maximises the variance between the two sides, the first of equal ones, from a map of bins to counts.
 
     Variances are rounded before they are ranked: empty bins make ties that the last digits would break at random.
     """
-    by = list(by)
-    binned = values.groupBy(*by, F.least(F.floor(F.greatest(F.col(value), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("n"))
-    dense = binned.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    dense = dense.join(binned, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0.0)).alias("n"), ((F.col("bin") + 0.5) / bins).alias("centre"))
-    up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    mass = F.col("n") * F.col("centre")
-    sums = dense.select(*by, "bin", "centre", F.sum("n").over(up).alias("w0"), F.sum(mass).over(up).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(mass).over(whole).alias("s"))
-    w1 = F.col("w") - F.col("w0")
-    m0, m1 = F.col("s0") / F.nullif(F.col("w0"), F.lit(0.0)), (F.col("s") - F.col("s0")) / F.nullif(w1, F.lit(0.0))
-    # the split lies behind a bin, so the last bin has no upper side
-    between = F.round(F.coalesce(F.col("w0") * w1 * (m0 - m1) * (m0 - m1), F.lit(0.0)), 6)
-    ranked = sums.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(between.desc(), "bin")))
-    return ranked.where("__n = 1").select(*by, F.col("centre").alias("threshold"))
-
-
-def thresholds(values: DataFrame, spec: Threshold, by: Sequence[str] = ("tile_id",), value: str = "v") -> DataFrame:
-    """threshold of each group; percentiles are exact, by linear interpolation."""
-    if spec.kind == "otsu":
-        return otsu(values, by, value)
-    if spec.kind == "percentile":
-        return values.groupBy(*by).agg(F.percentile(value, F.lit(spec.value / 100)).alias("threshold"))
-    return values.select(*by).distinct().withColumn("threshold", F.lit(spec.value))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.coalesce(F.element_at(counts, b), F.lit(0.0)).alias("n"), ((b + 0.5) / bins).alias("centre")))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.array().cast("array<struct<bin:int,w:double,s:double>>").alias("upto"))
+
+    def add(a: Column, x: Column) -> Column:
+        w, s = a["w"] + x["n"], a["s"] + x["n"] * x["centre"]
+        return F.struct(w.alias("w"), s.alias("s"), F.array_append(a["upto"], F.struct(x["bin"].alias("bin"), w.alias("w"), s.alias("s"))).alias("upto"))
+
+    def best(a: Column) -> Column:
+        def between(u: Column) -> Column:  # the split lies behind a bin, so the last bin has no upper side
+            w1 = a["w"] - u["w"]
+            m0, m1 = u["s"] / F.nullif(u["w"], F.lit(0.0)), (a["s"] - u["s"]) / F.nullif(w1, F.lit(0.0))
+            return F.round(F.coalesce(u["w"] * w1 * (m0 - m1) * (m0 - m1), F.lit(0.0)), 6)
+
+        return (-F.array_max(F.transform(a["upto"], lambda u: F.struct(between(u).alias("v"), (-u["bin"]).alias("b"))))["b"] + 0.5) / bins
+
+    return F.aggregate(dense, start, add, best)
+
+
+def _counted(values: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """A map of bins to counts for each named column, one row a group: counts by bin first, so a group is at most BINS rows a column when it meets."""
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), histogram(F.col(c)).alias("bin")) for name, c in columns.items()])).alias("x")
+    counts = values.select(*by, sides).groupBy(*by, "x.side", "x.bin").agg(F.count("*").cast("double").alias("n"))
+    of = lambda name: F.map_from_entries(F.collect_list(F.when(F.col("side") == name, F.struct("bin", "n")))).alias(name)
+    return counts.groupBy(*by).agg(*map(of, columns))
+
+
+def otsu(values: DataFrame, by: Sequence[str] = ("tile_id",), value: str = "v") -> DataFrame:
+    """threshold of each group: the centre of the bin of [0, 1] that maximises the variance between the two sides, the first of equal ones."""
+    return _counted(values, by, {"__bins": value}).select(*by, otsu_of(F.col("__bins")).alias("threshold"))
+
+
+def thresholds(values: DataFrame, wanted: dict[str, tuple[Threshold, str]], by: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """The named thresholds of each group, each of a column: all percentiles (exact, by linear interpolation) in one aggregation, all histograms in another."""
+    percentile = {n: F.percentile(c, F.lit(t.value / 100)).alias(n) for n, (t, c) in wanted.items() if t.kind == "percentile"}
+    number = {n: F.lit(t.value).alias(n) for n, (t, _) in wanted.items() if t.kind == "number"}
+    found = values.groupBy(*by).agg(*percentile.values(), F.count("*").alias("__n")).select(*by, *percentile, *number.values())
+    if binned := {n: c for n, (t, c) in wanted.items() if t.kind == "otsu"}:
+        found = found.join(_counted(values, by, binned).select(*by, *[otsu_of(F.col(n)).alias(n) for n in binned]), list(by))
+    return found
 
 
 def soft_dice(a: Column, b: Column, mask: Column) -> Column:
@@ -78,20 +97,23 @@ def hard_dice(a: Column, b: Column, mask: Column) -> Column:
     return 2 * n(a & b) / (n(a) + n(b) + SMALL)
 
 
-def compare(a: DataFrame, b: DataFrame, foreground: Threshold, hard: Threshold | None = None, soft: bool = True) -> DataFrame:
-    """Of each tile in both tables: foreground thresholds and share, soft_dice and, with ``hard``, its thresholds and hard_dice.
+def first_common(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
+    """tile_id of the first ``limit`` tiles, by id, that both tables have."""
+    return a.select("tile_id").distinct().join(b.select("tile_id").distinct(), "tile_id").orderBy("tile_id").limit(limit)
+
+
+def compare(a: DataFrame, b: DataFrame, foreground: Threshold, hard: Threshold | None = None, soft: bool = True, limit: int = 0) -> DataFrame:
+    """Of each tile in both tables (the first ``limit`` of them if that is above 0): foreground thresholds and share, soft_dice and, with ``hard``, its thresholds and hard_dice.
 
     The foreground is where either map reaches its own threshold; hard thresholds are taken over whole maps.
     """
     if not soft and hard is None:
         raise ValueError("soft or hard, at least")
+    if limit > 0:
+        tiles = first_common(a, b, limit)
+        a, b = a.join(tiles, "tile_id", "left_semi"), b.join(tiles, "tile_id", "left_semi")
     pair = a.select("tile_id", "pix", F.col("v").alias("a")).join(b.select("tile_id", "pix", F.col("v").alias("b")), ["tile_id", "pix"])
-    found = None
-    for name, spec in (("fg", foreground), ("hard", hard)):
-        for side in ("a", "b"):
-            if spec is not None:
-                t = thresholds(pair, spec, ("tile_id",), side).withColumnRenamed("threshold", f"{name}_thr_{side}")
-                found = t if found is None else found.join(t, "tile_id")
+    found = thresholds(pair, {f"{name}_thr_{side}": (spec, side) for name, spec in (("fg", foreground), ("hard", hard)) if spec is not None for side in ("a", "b")})
     rows = pair.join(found, "tile_id")
     x, y = F.col("a"), F.col("b")
     mask = (x >= F.col("fg_thr_a")) | (y >= F.col("fg_thr_b"))
@@ -109,15 +131,13 @@ def min_max(v: Column, by: Sequence[str]) -> Column:
     return (v - F.min(v).over(w)) / (F.max(v).over(w) - F.min(v).over(w) + SMALL)
 
 
-def report_name(a: str, b: str, foreground: str, hard: str | None = None) -> str:
-    """A report's file name from its inputs and thresholds; points become p and blanks go."""
+def report_name(a: str, b: str, foreground: str, hard: str = "otsu") -> str:
+    """A report's file name from its folders' names, as they are, and its thresholds, whose points become p and whose blanks go."""
     clean = lambda s: s.replace(".", "p").replace(" ", "")
-    return f"dice_{clean(a)}_vs_{clean(b)}_fg{clean(foreground)}" + (f"_hard{clean(hard)}" if hard else "") + ".csv"
+    return f"dice_{a}_vs_{b}_fg{clean(foreground)}_hard{clean(hard)}.csv"
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """One CSV file with a header. A report has a row a tile, which one task writes."""
     df.orderBy("tile_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
-
-__all__ = ["Threshold", "compare", "hard_dice", "min_max", "otsu", "parse_threshold", "ratio", "report_name", "soft_dice", "thresholds", "write_report"]

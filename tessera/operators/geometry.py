@@ -33,40 +33,63 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(ring, crosses)) % 2 == 1
 
 
-def meets_square(ring: Column, x: Column, y: Column, size: Column) -> Column:
-    """Whether a polygon (its edges) meets the closed square: an edge does, or the square lies inside."""
-    return F.exists(ring, lambda e: edge_meets_square(e, x, y, size)) | inside(ring, x, y)
+def _meet(p: Column, q: Column, n: Column) -> Column:
+    """Whether two numbered edges of a ring of n cross or touch that don't follow each other."""
+    a, b = p["e"], q["e"]
+    boxes = (F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"])) & (F.greatest(a["x1"], a["x2"]) >= F.least(b["x1"], b["x2"]))
+    boxes = boxes & (F.least(a["y1"], a["y2"]) <= F.greatest(b["y1"], b["y2"])) & (F.greatest(a["y1"], a["y2"]) >= F.least(b["y1"], b["y2"]))
+    across = (_side(a, b["x1"], b["y1"]) * _side(a, b["x2"], b["y2"]) <= 0) & (_side(b, a["x1"], a["y1"]) * _side(b, a["x2"], a["y2"]) <= 0)
+    apart = (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1))
+    return apart & boxes & across
+
+
+def _has_area(ring: Column) -> Column:
+    area = F.aggregate(ring, F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+    return F.coalesce((F.size(ring) >= 3) & (F.abs(area) > 0), F.lit(False))
 
 
 def valid(vertices: Column) -> Column:
-    """At least three vertices, an area, and no two edges that cross or touch unless they follow each other."""
+    """At least three vertices, an area, and no two edges that cross or touch unless they follow each other. For rings of few edges: it compares all."""
     ring = edges(vertices)
-    area = F.aggregate(ring, F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"])
     numbered = F.transform(ring, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    return _has_area(ring) & ~F.exists(numbered, lambda p: F.exists(numbered, lambda q: _meet(p, q, F.size(ring))))
 
-    def meet(p: Column, q: Column) -> Column:
-        a, b = p["e"], q["e"]
-        boxes = (F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"])) & (F.greatest(a["x1"], a["x2"]) >= F.least(b["x1"], b["x2"]))
-        boxes = boxes & (F.least(a["y1"], a["y2"]) <= F.greatest(b["y1"], b["y2"])) & (F.greatest(a["y1"], a["y2"]) >= F.least(b["y1"], b["y2"]))
-        across = (_side(a, b["x1"], b["y1"]) * _side(a, b["x2"], b["y2"]) <= 0) & (_side(b, a["x1"], a["y1"]) * _side(b, a["x2"], a["y2"]) <= 0)
-        apart = (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == F.size(ring) - 1))
-        return apart & boxes & across
 
-    crossing = F.exists(numbered, lambda p: F.exists(numbered, lambda q: meet(p, q)))
-    return F.coalesce((F.size(ring) >= 3) & (F.abs(area) > 0) & ~crossing, F.lit(False))
+def _in_bands(edge: Column, height: Column) -> Column:
+    """The horizontal bands of a height that an edge reaches."""
+    return F.sequence(F.floor(F.least(edge["y1"], edge["y2"]) / height), F.floor(F.greatest(edge["y1"], edge["y2"]) / height))
+
+
+def with_validity(polygons: DataFrame, vertices: str = "vertices") -> DataFrame:
+    """``polygons`` with ``valid``, as ``valid`` tells it, for rings of any size.
+
+    Edges that meet share a horizontal band of their polygon. Each ring is cut into about as many bands as the root of its edges, and edges are compared inside a band.
+    """
+    rows = polygons.withColumn("__ring", edges(F.col(vertices))).withColumn("__id", F.xxhash64(F.col(vertices)))
+    shapes = rows.where(F.size("__ring") > 3).dropDuplicates(["__id"])
+    ys = F.transform("__ring", lambda e: e["y1"])
+    height = F.greatest((F.array_max(ys) - F.array_min(ys)) / F.ceil(F.sqrt(F.size("__ring"))), F.lit(1e-9), F.abs(F.array_max(ys)) * 1e-9)
+    each = shapes.select("__id", F.size("__ring").alias("n"), height.alias("h"), F.posexplode("__ring").alias("i", "e"))
+    bands = each.withColumn("band", F.explode(_in_bands(F.col("e"), F.col("h")))).groupBy("__id", "band", "n").agg(F.collect_list(F.struct("i", "e")).alias("es"))
+    crossing = bands.where(F.exists("es", lambda p: F.exists("es", lambda q: _meet(p, q, F.col("n"))))).select("__id", F.lit(True).alias("__crosses")).distinct()
+    rows = rows.join(crossing, "__id", "left")
+    return rows.withColumn("valid", _has_area(F.col("__ring")) & F.col("__crosses").isNull()).drop("__ring", "__id", "__crosses")
 
 
 def label_patches(patches: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """``patches`` (slide_id, row_idx, x, y) with label 1 where any valid polygon of the slide meets the patch's square, else 0.
 
-    Both sides are dealt into grid cells of the patch size and joined by cell, so the exact test meets near pairs only; nothing is
-    broadcast and no slide is compared whole. A square touches at most four cells; a polygon has the cells of its bounding box.
+    Both sides are dealt into horizontal bands of the patch size and joined by band; nothing is broadcast and no slide is compared whole. A band of a polygon carries
+    the edges that reach it alone: those that can meet a square there, or that a ray from the square's corner crosses. A square reaches two bands at most.
     """
     s = F.lit(float(size))
-    cells = lambda lo, hi: F.sequence(F.floor(lo / s), F.floor(hi / s))
-    shapes = polygons.where(valid(F.col("vertices"))).select("slide_id", edges(F.col("vertices")).alias("ring"), F.col("vertices.x").alias("xs"), F.col("vertices.y").alias("ys"))
-    shapes = shapes.withColumn("cx", F.explode(cells(F.array_min("xs"), F.array_max("xs")))).withColumn("cy", F.explode(cells(F.array_min("ys"), F.array_max("ys"))))
-    shapes = shapes.select("slide_id", "cx", "cy", "ring")
-    spread = patches.select("slide_id", "row_idx", "x", "y").withColumn("cx", F.explode(cells(F.col("x"), F.col("x") + s))).withColumn("cy", F.explode(cells(F.col("y"), F.col("y") + s)))
-    hits = spread.join(shapes, ["slide_id", "cx", "cy"]).where(meets_square(F.col("ring"), F.col("x"), F.col("y"), s)).select("slide_id", "row_idx").distinct()
+    shapes = with_validity(polygons).where("valid").select("slide_id", edges(F.col("vertices")).alias("ring"), F.xxhash64(F.col("vertices")).alias("pid"))
+    shapes = shapes.dropDuplicates(["slide_id", "pid"]).withColumns({"left": F.array_min(F.transform("ring", lambda e: e["x1"])), "right": F.array_max(F.transform("ring", lambda e: e["x1"]))})
+    bands = shapes.select("slide_id", "pid", "left", "right", F.explode("ring").alias("e")).withColumn("band", F.explode(_in_bands(F.col("e"), s)))
+    bands = bands.groupBy("slide_id", "pid", "left", "right", "band").agg(F.collect_list("e").alias("near"))
+    spread = patches.select("slide_id", "row_idx", "x", "y", F.posexplode(F.sequence(F.floor(F.col("y") / s), F.floor((F.col("y") + s) / s))).alias("nth", "band"))
+    beside = (F.col("left") <= F.col("x") + s) & (F.col("right") >= F.col("x"))
+    within = (F.col("nth") == 0) & inside(F.col("near"), F.col("x"), F.col("y"))
+    meets = F.exists("near", lambda e: edge_meets_square(e, F.col("x"), F.col("y"), s)) | within
+    hits = spread.join(bands, ["slide_id", "band"]).where(beside & meets).select("slide_id", "row_idx").distinct()
     return patches.join(hits.withColumn("__hit", F.lit(1)), ["slide_id", "row_idx"], "left").withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit")

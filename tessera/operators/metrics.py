@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges of a group's scores that are summed before levels inside them are.
+RANGES = 256
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b in doubles; NULL where b is 0."""
@@ -35,16 +38,31 @@ def metrics(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", truth: st
     )
 
 
+def valid_labels(df: DataFrame, truth: str = "label", classes: Sequence[int] = (0, 1)) -> DataFrame:
+    """The rows whose label is one of the classes; null, NaN and other values go."""
+    return df.where(F.col(truth).isin(*classes))
+
+
 def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", truth: str = "label") -> DataFrame:
     """The area under the ROC curve of each group: the share of (positive, negative) pairs in order, ties counting half.
 
-    Equal scores are grouped before the sort, and the running sum is inside a group of ``by``.
+    Equal scores are grouped first. Levels fall into RANGES ranges of a group's scores, bounded by approximate quantiles; negatives below a level are those of the
+    ranges before its own, of which a group has RANGES, and those before it in its range, so no task sorts a whole group.
     """
-    y = F.col(truth)
-    levels = df.where(y.isin(0, 1)).groupBy(*by, score).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - y).cast("double").alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("before", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
-    sums = levels.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    y, by = F.col(truth), list(by)
+    levels = valid_labels(df, truth).groupBy(*by, F.col(score).alias("__score")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - y).cast("double").alias("neg"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    bounds = levels.groupBy(*by).agg(F.percentile_approx("__score", [k / RANGES for k in range(1, RANGES)], RANGES * 10).alias("__bounds"))
+    here = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(RANGES.bit_length()))]), F.lit(0), lambda low, n: F.when(F.get("__bounds", low + n - 1) < F.col("__score"), low + n).otherwise(low))
+    levels = levels.alias("l").join(bounds.alias("b"), same("l", "b") or F.lit(True)).select("l.*", here.alias("__range"))
+    ranges = levels.groupBy(*by, "__range").agg(F.sum("neg").alias("__neg"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "__range", F.coalesce(F.sum("__neg").over(earlier), F.lit(0.0)).alias("__base"))
+    inside = Window.partitionBy(*by, "__range").orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("__inside", F.coalesce(F.sum("neg").over(inside), F.lit(0.0)))
+    levels = levels.alias("l").join(ranges.alias("r"), [*same("l", "r"), F.col("l.__range") == F.col("r.__range")]).select("l.*", "r.__base")
+    won = F.col("pos") * (F.col("__base") + F.col("__inside") + F.col("neg") / 2)
+    sums = levels.groupBy(*by).agg(F.sum(won).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(*by, (F.col("won") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
 
 
@@ -88,8 +106,8 @@ def balanced_weights(df: DataFrame, truth: str = "label") -> DataFrame:
 
 def best_epoch(log: DataFrame, metric: str = "acc", by: Sequence[str] = ()) -> DataFrame:
     """The row of the highest metric of each group's epoch log, the earliest of equal ones."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(metric).desc_nulls_last(), "epoch")
-    return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    best = F.max_by(F.struct(*log.columns), F.struct(F.col(metric), -F.col("epoch"))).alias("__best")
+    return log.groupBy(*by).agg(best).where("__best IS NOT NULL").select("__best.*")
 
 
 def mean_loss(batches: DataFrame, by: Sequence[str] = ("epoch",)) -> DataFrame:

@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.split import shuffled_rank
+
 HIDDEN = (512, 512, 256)
+#: Rows of a source that its network learns from at most.
+MOST_ROWS = 1_000_000
 #: Rows that are scored at a time when a network is validated.
 BLOCK = 4096
 
@@ -139,13 +143,14 @@ def fit(x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows,
     return best or net, log
 
 
-def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42) -> DataFrame:
+def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
     """One model for each source_id, trained side by side, from (source_id, row_idx, split, features, label).
 
-    Rows: model, layer, inputs, outputs, w, b, best_acc. All training rows of a source are one task's, as for any model that is trained in
-    one place. Their features stream to a temporary file of the worker, from which batches are read, so memory holds a batch of them and
-    a few numbers of each row; the time grows with the source's rows.
+    Rows: model, layer, inputs, outputs, w, b, best_acc. A source is one task's, as any model is that is trained in one place, so its task takes ``most`` rows
+    at most: those of lowest hash of row_idx, in a source with more. Their features stream to a temporary file of the worker, from which batches are
+    read, so memory holds a batch of them and a few numbers of each row.
     """
+    rows = shuffled_rank(rows, F.col("row_idx"), ["source_id"], seed).where(F.col("rank") <= most).drop("rank", "n")
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with tempfile.TemporaryFile() as stored:

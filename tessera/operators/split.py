@@ -45,12 +45,23 @@ def two_way(df: DataFrame, key: Column, validation: float = 0.2, up: bool = Fals
     return ranked.withColumn("split", F.when(F.col("rank") <= v, "validation").otherwise("train")).drop("rank", "n")
 
 
-def weighted_resample(df: DataFrame, truth: str = "label", seed: int = 42) -> DataFrame:
-    """A resample with replacement of about as many rows, in which each class has the same expected share."""
-    counts = {r[truth]: r["count"] for r in df.groupBy(truth).count().collect()}
-    total, k = sum(counts.values()), max(1, len(counts))
-    parts = [df.where(F.col(truth).eqNullSafe(F.lit(c))).sample(withReplacement=True, fraction=total / (k * n), seed=seed) for c, n in sorted(counts.items(), key=str)]
-    out = parts[0] if parts else df
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _number(text: Column) -> Column:
+    """A whole number below 16^14 from a text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 14), 16, 10).cast("long")
+
+
+def weighted_resample(df: DataFrame, key: Column, truth: str = "label", seed: int = 42) -> DataFrame:
+    """As many rows, drawn with replacement, each class with the same chance: ``df`` with ``draw``, the number of the draw.
+
+    A draw's hash gives its class, and another a rank inside it in the order of hashed keys, so a rerun draws the same rows however they are partitioned.
+    Labels that are null have a class of their own. Counts of classes come to the driver.
+    """
+    counts = df.groupBy(truth).count().orderBy(F.col(truth).asc_nulls_first()).collect()
+    ranked = shuffled_rank(df.withColumn("__class", F.coalesce(F.col(truth).cast("string"), F.lit("\0"))), key, ["__class"], seed).drop("n")
+    n, k = sum(r["count"] for r in counts), len(counts)
+    names = F.array(*[F.lit("\0" if r[truth] is None else str(r[truth])) for r in counts]) if k else F.array().cast("array<string>")
+    sizes = F.array(*[F.lit(r["count"]) for r in counts]) if k else F.array().cast("array<bigint>")
+    text = lambda what: F.concat(F.lit(f"{seed}|{what}|"), F.col("draw").cast("string"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("__at", (_number(text("class")) % max(1, k)).cast("int"))
+    draws = draws.select("draw", F.get(names, F.col("__at")).alias("__class"), (_number(text("rank")) % F.get(sizes, F.col("__at")) + 1).alias("rank"))
+    return ranked.join(draws, ["__class", "rank"]).drop("__class", "rank")

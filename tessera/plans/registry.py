@@ -171,6 +171,18 @@ def coords_equal_guard(s, d):
     return align.same_coordinates(a, b)
 
 
+@query("SELECT slide_id, [a, b, c] AS counts, a = b AND b = c AS equal FROM (SELECT slide_id, count(*) FILTER (vec_id % 17 <> 1) AS a, count(*) FILTER (vec_id % 17 <> 2) AS b, count(*) FILTER (vec_id % 17 <> 3 AND slide_id <> 'S3') AS c FROM base GROUP BY slide_id)".replace("[a, b, c]", "a || ',' || b || ',' || c"))
+def dimension_check(s, d):
+    a, b, c = encoders(s, d)
+    return align.row_counts([a, b, c.where("slide_id <> 'S3'")]).select("slide_id", F.array_join("counts", ",").alias("counts"), "equal")
+
+
+@query("SELECT vec_id, mark FROM (SELECT vec_id, CASE WHEN vec_id % 5 < 2 THEN CAST(vec_id % 5 AS DOUBLE) WHEN vec_id % 5 = 2 THEN NULL WHEN vec_id % 5 = 3 THEN -1 ELSE CAST('nan' AS DOUBLE) END AS mark FROM embeddings) WHERE mark IN (0, 1)")
+def valid_labels(s, d):
+    rows = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "CASE WHEN vec_id % 5 < 2 THEN CAST(vec_id % 5 AS DOUBLE) WHEN vec_id % 5 = 2 THEN NULL WHEN vec_id % 5 = 3 THEN -1D ELSE CAST('NaN' AS DOUBLE) END AS mark")
+    return metrics.valid_labels(rows, "mark")
+
+
 # Counts, weights and splits
 
 
@@ -239,6 +251,12 @@ def argmax_and_softmax(s, d):
     return rounded(rows.select("vec_id", votes.argmax_class(F.col("l0"), F.col("l1")).alias("argmax"), votes.softmax_positive(F.col("l0"), F.col("l1")).alias("p1")))
 
 
+@query("SELECT vec_id, CAST(avg(1 / (1 + exp(-4 * CAST(e[7 * k + 1] AS DOUBLE)))) >= 0.5 AS INTEGER) AS vote FROM base, (SELECT range AS k FROM range(9)) GROUP BY vec_id")
+def vote_soft_n(s, d):
+    p = [1 / (1 + F.exp(-4 * F.element_at("e", 7 * k + 1).cast("double"))) for k in range(9)]
+    return views.base(s, d).select("vec_id", votes.soft_vote(p).alias("vote"))
+
+
 @query("""SELECT vec_id, CAST(sum(CAST(1 / (1 + exp(-4 * CAST(e[7 * k + 1] AS DOUBLE))) >= 0.5 AS INTEGER)) >= 5 AS INTEGER) AS vote, round(avg(1 / (1 + exp(-4 * CAST(e[7 * k + 1] AS DOUBLE)))), 6) AS mean_p
     FROM base, (SELECT range AS k FROM range(9)) GROUP BY vec_id""")
 def vote_hard_n(s, d):
@@ -275,9 +293,9 @@ def metrics_of_raters(s, d):
 
 @query(f"""SELECT encoder, round(CAST(sum(pos * (before + neg / 2)) AS DOUBLE) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM
     (SELECT *, coalesce(sum(neg) OVER (PARTITION BY encoder ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
-    (SELECT encoder, round(score, 2) AS score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM ({LONG}) GROUP BY encoder, round(score, 2))) GROUP BY encoder""")
+    (SELECT encoder, score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM ({LONG}) GROUP BY encoder, score)) GROUP BY encoder""")
 def roc_auc(s, d):
-    return rounded(metrics.roc_auc(by_encoder(s, d).withColumn("score", F.round("score", 2)), ["encoder"]))
+    return rounded(metrics.roc_auc(by_encoder(s, d), ["encoder"]))
 
 
 @query("""SELECT round(CAST(sum(pos * (before + neg / 2)) AS DOUBLE) / nullif(sum(pos) * sum(neg), 0), 6) AS auc, kind FROM
@@ -352,7 +370,7 @@ def rank_slides_prelimit(s, d):
 
 @query("SELECT slide_id, n_vertices, count(*) FILTER (ok) AS n_valid, count(*) AS n FROM polygon_valid GROUP BY slide_id, n_vertices")
 def polygon_valid(s, d):
-    rows = views.polygons(s, d).select("slide_id", F.size("vertices").cast("long").alias("n_vertices"), geometry.valid(F.col("vertices")).alias("ok"))
+    rows = geometry.with_validity(views.polygons(s, d)).select("slide_id", F.size("vertices").cast("long").alias("n_vertices"), F.col("valid").alias("ok"))
     return rows.groupBy("slide_id", "n_vertices").agg(F.count_if("ok").alias("n_valid"), F.count("*").alias("n"))
 
 
@@ -371,12 +389,17 @@ def label_patches(s, d):
 # Matching by name
 
 
-@query("SELECT 'S' || range AS slide_id, '/ann/S' || range || '_v0.tumor.xml' AS path FROM range(9)")
+@query("SELECT slide_id, min(path) AS path FROM (SELECT DISTINCT slide_id FROM base) JOIN paths ON contains(path, slide_id) GROUP BY slide_id")
 def match_annotation(s, d):
     return matching.match_annotations(views.base(s, d).select("slide_id").distinct(), views.annotation_paths(s))
 
 
-@query("SELECT 'S' || range AS slide_id, CASE WHEN range < 6 THEN 'S' || range || '.svs' WHEN range = 7 THEN 'S7_x.tif' WHEN range = 6 THEN 'S6_extra.tif' END AS name FROM range(10)")
+SUFFIX = "regexp_extract(name, '([.][^.]*)$', 1)"
+
+
+@query(f"""SELECT slide_id, name FROM (SELECT DISTINCT slide_id FROM base) LEFT JOIN (SELECT slide_id, name, row_number() OVER (PARTITION BY slide_id ORDER BY CASE WHEN place > 0 THEN 0 ELSE 1 END, place, length(name), name) AS r FROM
+    (SELECT slide_id, name, CASE WHEN name = slide_id || {SUFFIX} THEN coalesce(list_position(['.svs', '.tif', '.tiff', '.ndpi', '.mrxs'], {SUFFIX}), 0) ELSE 0 END AS place FROM (SELECT DISTINCT slide_id FROM base)
+    JOIN images ON contains(name, slide_id) AND lower({SUFFIX}) IN ('.svs', '.tif', '.tiff', '.ndpi', '.mrxs'))) m USING (slide_id) WHERE coalesce(r, 1) = 1""")
 def match_slide_image(s, d):
     slides = views.base(s, d).select("slide_id").distinct()
     named = slides.select(F.concat("slide_id", F.lit("_patches")).alias("slide_id"))
@@ -395,9 +418,9 @@ def tile_pick_first(s, d):
     return matching.first_file_per_tile(rows)
 
 
-@query("SELECT vec_id, 'slide' || vec_id || '.v1' AS stem, 'slide' || vec_id AS plain FROM embeddings WHERE vec_id < 50")
+@query("SELECT vec_id, 'slide' || vec_id || '.v1' AS stem, 'slide' || vec_id AS plain FROM embeddings")
 def path_names(s, d):
-    rows = s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 50").selectExpr("vec_id", "concat('/data/x/slide', vec_id, '.v1.h5') AS path", "concat('slide', vec_id, '_patches') AS name")
+    rows = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "concat('/data/x/slide', vec_id, '.v1.h5') AS path", "concat('slide', vec_id, '_patches') AS name")
     return rows.select("vec_id", matching.stem(F.col("path")).alias("stem"), matching.strip_suffix(F.col("name")).alias("plain"))
 
 
@@ -486,6 +509,12 @@ _dice("dice_hard_numeric", "p10", "0.6", False, "@hard", HARD)
 _dice("dice_hard_otsu", "p10", "otsu", True, "@soft, @hard", ["soft_dice", *HARD])
 
 
+@query(_sql_dice("p10", None, "@soft").replace(" FROM pair ", " FROM (SELECT * FROM pair WHERE tile_id IN (SELECT DISTINCT tile_id FROM pair ORDER BY tile_id LIMIT 50)) pair "))
+def dice_match_limit(s, d):
+    a, b = views.maps(s, d)
+    return rounded(dice.compare(a, b, dice.parse_threshold("p10"), limit=50).select("tile_id", "soft_dice"))
+
+
 @query(f"SELECT round(avg(soft_dice), 6) AS mean, round(median(soft_dice), 6) AS median, round(coalesce(stddev_samp(soft_dice), 0), 6) AS std, count(*) AS n FROM ({_sql_dice('p10', None, '@soft').replace('round(2 *', '(2 *').replace(', 6) AS soft_dice', ') AS soft_dice')})")
 def dice_summary(s, d):
     a, b = views.maps(s, d)
@@ -509,6 +538,12 @@ def attn_head_mean(s, d):
     return rounded(_head_mean(s, d))
 
 
+@query("SELECT tile_id, i, j, round(a, 6) AS a FROM head_mean WHERE tile_id IN (SELECT DISTINCT tile_id FROM head_mean ORDER BY tile_id LIMIT 100)")
+def attn_tile_limit(s, d):
+    scores = attention.first_tiles(views.attention_scores(s, d))
+    return rounded(attention.head_mean(attention.softmax_rows(scores)))
+
+
 @query("SELECT tile_id, pix, round(v, 6) AS v FROM patch_vec")
 def attn_patch_vector(s, d):
     return rounded(attention.patch_vector(_head_mean(s, d), 10))
@@ -543,7 +578,7 @@ def bilinear_resize(s, d):
     return rounded(attention.bilinear(attention.patch_vector(_head_mean(s, d), 10), 3, 7))
 
 
-# Models: no SQL gives the training's result
+# Models and samples: no SQL gives the training's result
 
 
 @query(None)
@@ -553,17 +588,21 @@ def train_and_vote(s, d):
     rows = rows.select("key", "label", F.explode("parts").alias("p")).select("key", "label", "p.source_id", "p.row_idx", "p.vec_id")
     features = views.base(s, d).select("vec_id", F.col("e").alias("features"))
     rows = split.three_way(rows.join(features, "vec_id"), F.col("vec_id"), ["source_id", "label"])
-    trained = model.train_by_source(rows, hidden=model.HIDDEN, epochs=30, batch=256).select("model", "layer", "inputs", "outputs", "w", "b").persist()
-    networks = model.networks_of(trained)
+    networks = model.networks_of(model.train_by_source(rows, hidden=model.HIDDEN, epochs=30, batch=256).select("model", "layer", "inputs", "outputs", "w", "b"))
     out = rows.where("split = 'test'").where("source_id = 0").select("key", "label", "features")
     for name, net in sorted(networks.items()):
         out = model.score(out, net, name=f"_{name}")
     return out.select("key", "label", votes.hard_vote([F.col(f"pred_{n}") for n in sorted(networks)]).alias("vote"))
 
 
-@query(None)
+DRAWN = "CAST(concat('0x', substr(md5('42|{}|' || draw), 1, 14)) AS BIGINT)"
+
+
+@query(f"""SELECT draw, vec_id, label FROM (SELECT draw, cls, {DRAWN.format('rank')} % n + 1 AS r FROM (SELECT range AS draw, {DRAWN.format('class')} % (SELECT count(DISTINCT label) FROM base) AS cls
+    FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS range)) JOIN (SELECT row_number() OVER (ORDER BY label) - 1 AS cls, count(*) AS n FROM base GROUP BY label) USING (cls))
+    JOIN (SELECT vec_id, label, {ORDER.format('PARTITION BY label')} AS r, dense_rank() OVER (ORDER BY label) - 1 AS cls FROM base) USING (cls, r)""")
 def weighted_resample(s, d):
-    return split.weighted_resample(views.base(s, d).select("vec_id", "label"))
+    return split.weighted_resample(views.base(s, d).select("vec_id", "label"), F.col("vec_id")).select("draw", "vec_id", "label")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

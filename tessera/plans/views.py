@@ -84,25 +84,28 @@ def maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def attention_scores(spark: SparkSession, sf_dir: str, tokens: int = 10) -> DataFrame:
     """Scores of two heads: products of the vector's parts, for tokens i and j."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 100")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = e.selectExpr("CAST(vec_id AS INT) AS tile_id", "embedding AS e").withColumn("head", F.explode(F.array(F.lit(0), F.lit(1))))
     span = F.explode(F.sequence(F.lit(0), F.lit(tokens - 1)))
     rows = rows.withColumn("i", span).withColumn("j", span)
     return rows.selectExpr("tile_id", "head", "i", "j", "CAST(e[32 * head + i] AS DOUBLE) * CAST(e[32 * head + 10 + j] AS DOUBLE) AS s")
 
 
+#: Annotation files, one of them in a folder with a slide's name, and slide images, some of other formats.
+PATHS = [f"/ann/S{s}_v{v}.tumor.xml" for s in range(9) for v in (0, 1)] + ["/S9/other.tumor.xml"]
+IMAGES = [f"S{s}.svs" for s in range(6)] + [f"S{s}_extra.tif" for s in range(8)] + ["S3.jpg", "S7_x.TIF", "S5.tiff", "S8.png", "S6.SVS"]
+
+
 def annotation_paths(spark: SparkSession) -> DataFrame:
-    rows = [(f"/ann/S{s}_v{v}.tumor.xml",) for s in range(9) for v in (0, 1)] + [("/S9/other.tumor.xml",)]
-    return spark.createDataFrame(rows, "path string")
+    return spark.createDataFrame([(p,) for p in PATHS], "path string")
 
 
 def slide_images(spark: SparkSession) -> DataFrame:
-    rows = [(f"S{s}.svs",) for s in range(6)] + [(f"S{s}_extra.tif",) for s in range(8)] + [("S3.jpg",), ("S7_x.tif",), ("S5.tiff",)]
-    return spark.createDataFrame(rows, "name string")
+    return spark.createDataFrame([(n,) for n in IMAGES], "name string")
 
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 20")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.selectExpr("vec_id AS epoch", "round(abs(CAST(embedding[1] AS DOUBLE)), 1) AS acc", "abs(CAST(embedding[2] AS DOUBLE)) AS loss", "CAST(1 + vec_id % 3 AS BIGINT) AS n")
 
 
@@ -115,6 +118,10 @@ def _sum(start: int, length: int) -> str:
     return f"list_sum(list_transform(e[{start}:{start + length - 1}], lambda v: CAST(v AS DOUBLE)))"
 
 
+def _sql_list(values: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ")"
+
+
 #: DuckDB's form of the views, in the order in which they build on each other.
 SQL = {
     "base": f"""SELECT vec_id, 'S' || (vec_id % 10) AS slide_id, vec_id // 10 AS row_idx, CAST((vec_id // 10) % 8 * {TILE} AS DOUBLE) AS x,
@@ -146,11 +153,13 @@ SQL = {
     "map_b": "SELECT CAST(tile_id - 250 AS INTEGER) AS tile_id, pix, v FROM map_a WHERE tile_id >= 250",
     "pair": "SELECT a.tile_id, a.pix, a.v AS a, b.v AS b FROM map_a a JOIN map_b b USING (tile_id, pix)",
     "att_scores": """SELECT CAST(vec_id AS INTEGER) AS tile_id, h AS head, i, j, CAST(embedding[32 * h + i + 1] AS DOUBLE) * CAST(embedding[32 * h + 11 + j] AS DOUBLE) AS s
-        FROM embeddings, (SELECT CAST(range AS INTEGER) AS h FROM range(2)), (SELECT CAST(range AS INTEGER) AS i FROM range(10)), (SELECT CAST(range AS INTEGER) AS j FROM range(10)) WHERE vec_id < 100""",
+        FROM embeddings, (SELECT CAST(range AS INTEGER) AS h FROM range(2)), (SELECT CAST(range AS INTEGER) AS i FROM range(10)), (SELECT CAST(range AS INTEGER) AS j FROM range(10))""",
     "attn": "SELECT tile_id, head, i, j, exp(s - max(s) OVER w) / sum(exp(s - ms)) OVER w AS a FROM (SELECT *, max(s) OVER (PARTITION BY tile_id, head, i) AS ms FROM att_scores) WINDOW w AS (PARTITION BY tile_id, head, i)",
     "head_mean": "SELECT tile_id, i, j, avg(a) AS a FROM attn GROUP BY ALL",
     "patch_vec": "SELECT tile_id, CAST(j - 1 AS INTEGER) AS pix, a AS v FROM head_mean WHERE i = 0 AND j >= 1",
-    "log": "SELECT vec_id AS epoch, round(abs(CAST(embedding[2] AS DOUBLE)), 1) AS acc, abs(CAST(embedding[3] AS DOUBLE)) AS loss, CAST(1 + vec_id % 3 AS BIGINT) AS n FROM embeddings WHERE vec_id < 20",
+    "paths": f"SELECT path FROM {_sql_list(PATHS)} p(path)",
+    "images": f"SELECT name FROM {_sql_list(IMAGES)} p(name)",
+    "log": "SELECT vec_id AS epoch, round(abs(CAST(embedding[2] AS DOUBLE)), 1) AS acc, abs(CAST(embedding[3] AS DOUBLE)) AS loss, CAST(1 + vec_id % 3 AS BIGINT) AS n FROM embeddings",
 }
 
 

@@ -60,6 +60,11 @@ def write_labels(df: DataFrame, path: str) -> None:
     df.select("slide_id", "row_idx", "label").write.mode("overwrite").partitionBy("slide_id").parquet(path)
 
 
+def replace_labels(df: DataFrame, path: str) -> None:
+    """Replaces the labels of the slides that ``df`` has; those of other slides stay as they are."""
+    df.select("slide_id", "row_idx", "label").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id").parquet(path)
+
+
 def write_tiles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").parquet(path)
 

@@ -106,7 +106,7 @@ def test_splits_have_exact_counts_whatever_the_partitions(spark):
 def test_thresholds():
     assert dice.parse_threshold(" OTSU ").kind == "otsu"
     assert dice.parse_threshold("p150").value == 100 and dice.parse_threshold("p-3").value == 0 and dice.parse_threshold("0.5") == dice.Threshold("number", 0.5)
-    assert dice.report_name("x.y", "z", "p10", "0.5") == "dice_xpy_vs_z_fgp10_hard0p5.csv"
+    assert dice.report_name("x.y", "z", "p10", "0.5") == "dice_x.y_vs_z_fgp10_hard0p5.csv"
 
 
 def test_otsu_of_a_constant_map_and_two_levels(spark):
