@@ -1,6 +1,6 @@
 """Multilayer perceptrons over feature arrays: scoring by Arrow batches, and one training task for each source.
 
-A network is linear layers with ReLU between them; batch normalisation is folded into the layer before it, and dropout isn't there when scoring.
+A network is linear layers with ReLU between them; batch normalisation is folded into the layer before it, and dropout is there in training alone.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.operators.split import shuffled_rank
 
 HIDDEN = (512, 512, 256)
+#: Units that training leaves out of each of these layers.
+DROPOUT = (0.3, 0.3, 0.2)
 #: Rows of a source that its network learns from at most.
 MOST_ROWS = 1_000_000
 #: Rows that are scored at a time when a network is validated.
@@ -99,21 +101,52 @@ class Rows:
         return np.asarray(self.stored[self.places[i]])
 
 
-def fit(x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42) -> tuple[Network, list[tuple[int, float, float]]]:
-    """The network of the best epoch by validation accuracy (the earliest of equal ones), by Adam on weighted cross-entropy; and (epoch, loss, acc)."""
-    random, net = np.random.default_rng(seed), initial(x.shape[1], hidden, 2, seed)
-    params = [*net.weights, *net.biases]
+def folded(weights: list[np.ndarray], biases: list[np.ndarray], norms: list[dict[str, np.ndarray]]) -> Network:
+    """A network with each layer's normalisation, by its running mean and variance, folded into it."""
+    pairs = [fold_batch_norm(w, b, n["mean"], n["var"], n["gain"], n["shift"]) if n else (w.copy(), b.copy()) for w, b, n in zip(weights, biases, norms, strict=True)]
+    return Network([w for w, _ in pairs], [b for _, b in pairs])
+
+
+def fit(
+    x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42,
+    classes: int = 2, norm: bool = False, dropout: Sequence[float] = (), drop_last: bool = False,
+) -> tuple[Network, list[tuple[int, float, float]]]:
+    """The network of the best epoch by validation accuracy (the earliest of equal ones), by Adam on weighted cross-entropy; and (epoch, loss, acc).
+
+    ``norm``: batch normalisation behind each hidden layer, which the result has folded in. ``dropout``: each hidden layer's share of units that a batch leaves out.
+    ``drop_last``: an epoch's last batch is left out if it is short, unless it is the only one.
+    """
+    random, net = np.random.default_rng(seed), initial(x.shape[1], hidden, classes, seed)
+    last = len(net.weights) - 1
+    norms = [{"gain": np.ones(n), "shift": np.zeros(n), "mean": np.zeros(n), "var": np.ones(n)} if norm and k < last else {} for k, n in enumerate([*hidden, classes])]
+    params = [*net.weights, *net.biases, *[n[p] for p in ("gain", "shift") for n in norms if n]]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    weights = np.ones(2) if weights is None else weights
+    weights = np.ones(classes) if weights is None else weights
+    drops = [*dropout, *[0.0] * (last - len(dropout))]
     best, best_acc, log = None, -1.0, []
     for epoch in range(epochs):
         order, losses = random.permutation(len(y)), []
         for at in range(0, len(y), batch):
             i = order[at : at + batch]
-            acts = [x[i]]
+            if drop_last and len(i) < batch and at:
+                break
+            acts, seen = [x[i]], []
             for k, (w, b) in enumerate(zip(net.weights, net.biases, strict=True)):
                 z = acts[-1] @ w + b
-                acts.append(np.maximum(z, 0) if k < len(net.weights) - 1 else z)
+                if k == last:
+                    acts.append(z)
+                    break
+                unit, scale = None, None
+                if norms[k]:
+                    mean, var = z.mean(axis=0), z.var(axis=0)
+                    scale = 1 / np.sqrt(var + 1e-5)
+                    unit = (z - mean) * scale
+                    z = unit * norms[k]["gain"] + norms[k]["shift"]
+                    norms[k]["mean"] += 0.1 * (mean - norms[k]["mean"])
+                    norms[k]["var"] += 0.1 * (var * len(i) / max(1, len(i) - 1) - norms[k]["var"])
+                stays = (random.random(z.shape) >= drops[k]) / (1 - drops[k]) if drops[k] else 1.0
+                seen.append((z > 0, stays, unit, scale))
+                acts.append(np.maximum(z, 0) * stays)
             z = acts[-1] - acts[-1].max(axis=1, keepdims=True)
             p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
             own = weights[y[i]]
@@ -121,32 +154,38 @@ def fit(x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows,
             grad = p.copy()
             grad[np.arange(len(i)), y[i]] -= 1
             grad *= (own / own.sum())[:, None]
-            gw, gb = [], []
-            for k in range(len(net.weights) - 1, -1, -1):
+            gw, gb, gains, shifts = [], [], [], []
+            for k in range(last, -1, -1):
+                if k < last:
+                    positive, stays, unit, scale = seen[k]
+                    grad = grad * stays * positive
+                    if unit is not None:
+                        gains.insert(0, (grad * unit).sum(axis=0))
+                        shifts.insert(0, grad.sum(axis=0))
+                        grad = grad * norms[k]["gain"]
+                        grad = scale * (grad - grad.mean(axis=0) - unit * (grad * unit).mean(axis=0))
                 gw.insert(0, acts[k].T @ grad)
                 gb.insert(0, grad.sum(axis=0))
-                if k:
-                    grad = (grad @ net.weights[k].T) * (acts[k] > 0)
+                grad = grad @ net.weights[k].T if k else grad
             step += 1
-            for q, g, mm, vv in zip(params, [*gw, *gb], m, v, strict=True):
+            for q, g, mm, vv in zip(params, [*gw, *gb, *gains, *shifts], m, v, strict=True):
                 mm += 0.1 * (g - mm)
                 vv += 0.001 * (g * g - vv)
                 q -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-        right = 0
+        now, right = folded(net.weights, net.biases, norms), 0
         for at in range(0, len(validate[1]), BLOCK):
-            z = net.logits(validate[0][at : at + BLOCK])
-            right += int(((z[:, 1] > z[:, 0]).astype(int) == validate[1][at : at + BLOCK]).sum())
+            right += int((now.logits(validate[0][at : at + BLOCK]).argmax(axis=1) == validate[1][at : at + BLOCK]).sum())
         acc = right / len(validate[1]) if len(validate[1]) else 0.0
         log.append((epoch, float(np.mean(losses)) if losses else 0.0, acc))
         if acc > best_acc:
-            best, best_acc = Network([w.copy() for w in net.weights], [b.copy() for b in net.biases]), acc
-    return best or net, log
+            best, best_acc = now, acc
+    return best or folded(net.weights, net.biases, norms), log
 
 
-def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
+def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, most: int = MOST_ROWS, **how) -> DataFrame:
     """One model for each source_id, trained side by side, from (source_id, row_idx, split, features, label).
 
-    Rows: model, layer, inputs, outputs, w, b, best_acc. A source is one task's, as any model is that is trained in one place, so its task takes ``most`` rows
+    Rows: model, layer, inputs, outputs, w, b, best_acc. ``how``: what else ``fit`` takes. A source is one task's, as any model is that is trained in one place, so its task takes ``most`` rows
     at most: those of lowest hash of row_idx, in a source with more. Their features stream to a temporary file of the worker, from which batches are
     read, so memory holds a batch of them and a few numbers of each row.
     """
@@ -170,7 +209,7 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
             x = np.memmap(stored, dtype=np.float64, mode="r", shape=(len(y), width))
             train, val = order[which[order] == 0], order[which[order] == 1]
             counts = np.maximum(1, np.bincount(y[train], minlength=2)[:2])
-            net, log = fit(Rows(x, train), y[train], (Rows(x, val), y[val]), counts.sum() / (2 * counts), hidden, epochs, batch, rate, seed)
+            net, log = fit(Rows(x, train), y[train], (Rows(x, val), y[val]), counts.sum() / (2 * counts), hidden, epochs, batch, rate, seed, **how)
             del x
         table = pd.DataFrame(weights_table({source: net}), columns=["model", "layer", "inputs", "outputs", "w", "b"])
         yield table.assign(best_acc=max(a for _, _, a in log))

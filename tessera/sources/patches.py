@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,23 @@ def read_records(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return rows.where(F.col("key") < F.lit(f"{limit:08d}")) if limit > 0 else rows
 
 
-def decode_records(rows: DataFrame) -> DataFrame:
-    """key, label, slide_id and the mean of each of the first three channels of raw 8-bit images; gray images count as three equal channels."""
-    @F.pandas_udf("array<double>")
-    def means(image: pd.Series, shape: pd.Series) -> pd.Series:
-        import numpy as np
+def three_channels(raw: bytes, dims: Sequence[int]) -> np.ndarray:
+    """An 8-bit image as height by width by 3: gray counts as three equal channels, alpha goes, and channels may come first."""
+    a = np.frombuffer(raw, dtype=np.uint8).reshape([int(d) for d in dims])
+    if a.ndim == 3 and a.shape[2] not in (1, 3, 4) and a.shape[0] in (1, 3, 4):
+        a = a.transpose(1, 2, 0)
+    if a.ndim == 2:
+        a = a[..., None]
+    if a.ndim != 3 or a.shape[2] not in (1, 3, 4):
+        raise ValueError(f"an image of shape {tuple(dims)}")
+    return np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]
 
-        def one(raw: bytes, dims) -> list[float]:
-            a = np.frombuffer(raw, dtype=np.uint8).reshape([int(d) for d in dims]).astype(np.float64)
-            a = a[..., None] if a.ndim == 2 else a
-            a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]
-            return a.mean(axis=(0, 1)).tolist()
 
+def decode_records(rows: DataFrame, mean: Sequence[float] = (0.0, 0.0, 0.0), std: Sequence[float] = (1.0, 1.0, 1.0), scale: float = 1.0) -> DataFrame:
+    """key, label, slide_id and the mean of each of the first three channels of raw 8-bit images, divided by ``scale`` and normalised by the channels' ``mean`` and ``std``."""
+    @F.pandas_udf("array<double>")
+    def means(image: pd.Series, shape: pd.Series) -> pd.Series:
+        one = lambda raw, dims: ((three_channels(raw, dims).astype(np.float64).mean(axis=(0, 1)) / scale - mean) / std).tolist()
         return pd.Series([one(i, s) for i, s in zip(image, shape, strict=True)])
 
     return rows.select("key", "label", "slide_id", means("image", "shape").alias("channel_means"))
@@ -75,8 +81,6 @@ def read_gray(spark: SparkSession, path: str) -> DataFrame:
     def pixels(content: pd.Series) -> pd.Series:
         import re
 
-        import numpy as np
-
         def one(raw: bytes) -> list[float]:
             m = re.match(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", raw)
             if not m:

@@ -207,3 +207,94 @@ def test_train_and_vote_trains_the_whole_job(spark, sf, monkeypatch):
     monkeypatch.setattr(model, "train_by_source", small)
     registry.queries()["train_and_vote"](spark, sf)
     assert seen["hidden"] == model.HIDDEN and seen["epochs"] == 30 and seen["widths"] == {64}
+
+
+def test_training_with_normalisation_dropout_and_three_classes():
+    random = np.random.default_rng(2)
+    x = random.normal(size=(900, 6)) * 5 + 3
+    y = (x[:, 0] > 3).astype(int) + (x[:, 1] > 3)
+    net, log = model.fit(x[:700], y[:700], (x[700:], y[700:]), hidden=(32, 16), epochs=40, rate=1e-2, classes=3, norm=True, dropout=(0.2, 0.1), drop_last=True)
+    assert max(a for _, _, a in log) > 0.9 and [b.shape for b in net.biases] == [(32,), (16,), (3,)]
+    assert (net.logits(x[700:]).argmax(axis=1) == y[700:]).mean() == max(a for _, _, a in log)
+
+
+def test_gradients_with_normalisation():
+    """One step from the same start lowers the loss of its batch, whatever parts the network has."""
+    random = np.random.default_rng(3)
+    x, y = random.normal(size=(64, 4)), random.integers(0, 2, 64)
+    for norm in (False, True):
+        _, log = model.fit(x, y, (x, y), hidden=(8, 8), epochs=25, batch=64, rate=5e-3, norm=norm)
+        losses = [loss for _, loss, _ in log]
+        assert all(b < a for a, b in zip(losses, losses[1:], strict=False))
+
+
+def test_a_source_has_a_bound(spark):
+    df = spark.range(300).selectExpr("id AS row_idx", "0 AS source_id", "if(id % 5 = 0, 'validation', 'train') AS split", "array(CAST(id % 2 AS FLOAT), 1F) AS features", "CAST(id % 2 AS INT) AS label")
+    for most in (40, 1000):
+        table = model.train_by_source(df, hidden=(3,), epochs=2, most=most).collect()
+        assert [r["layer"] for r in table] == [0, 1]
+
+
+def test_auc_over_many_ranges(spark):
+    """Against all pairs; scores are skewed, so that ranges by value would hold most of them at once."""
+    random = np.random.default_rng(4)
+    rows_ = [(g, float(np.round(random.random() ** 9, 4)), int(random.random() < 0.3)) for g in "ab" for _ in range(1500)] + [("a", 0.5, None), (None, 0.1, 1), (None, 0.2, 0)]
+    df = spark.createDataFrame(rows_, "g string, score double, label int")
+    got = dict(rows(metrics.roc_auc(df, ["g"]).where("g IS NOT NULL")))
+    for g in "ab":
+        pos, neg = (np.array([s for h, s, y in rows_ if h == g and y == k]) for k in (1, 0))
+        want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        assert got[g] == pytest.approx(want, abs=1e-12)
+    assert [r["auc"] for r in metrics.roc_auc(df, ["g"]).where("g IS NULL").collect()] == [0.0]
+    assert metrics.roc_auc(df, []).count() == 1
+
+
+def test_best_epoch_by_group(spark):
+    log = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.9), ("b", 0, None), ("b", 1, None)], "m string, epoch int, acc double")
+    assert rows(metrics.best_epoch(log, by=["m"]).select("m", "epoch")) == [("a", 1), ("b", 0)]
+    assert metrics.best_epoch(log.where("epoch > 5")).count() == 0
+
+
+def test_rings_of_many_edges(spark):
+    """A wavy ring of 600 vertices, valid and not, and patches in and around it, against the plain test of each pair."""
+    angle = np.linspace(0, 2 * np.pi, 600, endpoint=False)
+    far = 900 + 200 * np.sin(7 * angle)
+    ring = [(float(a), float(b)) for a, b in zip(1000 + far * np.cos(angle), 1000 + far * np.sin(angle), strict=True)]
+    crossed = ring[:300] + [ring[450]] + ring[300:]
+    shapes = spark.createDataFrame([("s", ring), ("s", ring), ("t", crossed)], "slide_id string, vertices array<struct<x:double,y:double>>")
+    flags = geometry.with_validity(shapes).select("slide_id", "valid", geometry.valid(F.col("vertices")).alias("plain")).collect()
+    assert sorted(tuple(r) for r in flags) == [("s", True, True), ("s", True, True), ("t", False, False)]
+    random = np.random.default_rng(6)
+    places = [(s, k, float(random.integers(-200, 2200)), float(random.integers(-200, 2200))) for s in ("s", "t") for k in range(200)]
+    patches = spark.createDataFrame(places, "slide_id string, row_idx long, x double, y double")
+    edges = patches.join(shapes.where("slide_id = 's'").limit(1).select("slide_id", geometry.edges(F.col("vertices")).alias("ring")), "slide_id")
+    touched = F.exists("ring", lambda e: geometry.edge_meets_square(e, F.col("x"), F.col("y"), F.lit(64.0))) | geometry.inside(F.col("ring"), F.col("x"), F.col("y"))
+    want = {r["row_idx"]: int(r["hit"]) for r in edges.select("row_idx", touched.alias("hit")).collect()}
+    got = geometry.label_patches(patches, shapes, 64).collect()
+    assert {r["row_idx"]: r["label"] for r in got if r["slide_id"] == "s"} == want and 0 < sum(want.values()) < 200
+    assert not any(r["label"] for r in got if r["slide_id"] == "t")
+
+
+def test_counts_that_differ_are_an_error(spark):
+    a = spark.createDataFrame([("s", 1), ("s", 2), ("t", 1)], "slide_id string, v int")
+    align.require_equal_counts([a, a])
+    with pytest.raises(ValueError, match="t \\[1, 0\\]"):
+        align.require_equal_counts([a, a.where("slide_id = 's'")])
+
+
+def test_resample_is_exact_and_the_same_however_partitioned(spark):
+    df = spark.range(500).selectExpr("id", "CASE WHEN id < 450 THEN 0 WHEN id < 495 THEN 1 END AS label")
+    a = split.weighted_resample(df, F.col("id"))
+    assert a.count() == 500 and rows(a) == rows(split.weighted_resample(df.repartition(7), F.col("id")))
+    share = {r["label"]: r["count"] for r in a.groupBy("label").count().collect()}
+    assert all(120 < n < 220 for n in share.values()) and set(share) == {0, 1, None}
+    assert split.weighted_resample(df.limit(0), F.col("id")).collect() == []
+
+
+def test_limits_of_tiles(spark):
+    a = spark.createDataFrame([(t, k, 0.2 * k) for t in (5, 1, 9, 7) for k in range(4)], "tile_id int, pix int, v double")
+    b = a.where("tile_id <> 1")
+    some = dice.compare(a, b, dice.parse_threshold("p10"), limit=2).collect()
+    assert sorted(r["tile_id"] for r in some) == [5, 7] and dice.compare(a, b, dice.parse_threshold("p10")).count() == 3
+    assert {r["tile_id"] for r in attention.first_tiles(a, 3).collect()} == {1, 5, 7}
+    assert attention.as_heads(a).columns == ["tile_id", "head", "pix", "v"]

@@ -64,3 +64,22 @@ def test_stream(spark, tmp_path):
     q = ingest.running_metrics(ingest.score_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("running").first()["tp"] == 1
+
+
+def test_layouts_of_images(spark):
+    a = np.arange(30, dtype=np.uint8).reshape(2, 5, 3)
+    assert (patches.three_channels(a.tobytes(), (2, 5, 3)) == a).all()
+    assert (patches.three_channels(a.transpose(2, 0, 1).tobytes(), (3, 2, 5)) == a).all()
+    assert (patches.three_channels(a[..., 0].tobytes(), (2, 5)) == a[..., :1]).all() and patches.three_channels(bytes(32), (2, 4, 4)).shape == (2, 4, 3)
+    with pytest.raises(ValueError):
+        patches.three_channels(bytes(10), (2, 5, 1, 1))
+    rows = spark.createDataFrame([("00000000", bytearray(bytes([10, 20, 30] * 4)), [2, 2, 3], "uint8", 1, "s")], patches.RECORDS)
+    got = patches.decode_records(rows, mean=(1.0, 2.0, 3.0), std=(3.0, 6.0, 9.0)).first()["channel_means"]
+    assert got == [3.0, 3.0, 3.0]
+
+
+def test_replacing_the_labels_of_some_slides(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    patches.write_labels(spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("b", 0, 0)], "slide_id string, row_idx long, label int"), path)
+    patches.replace_labels(spark.createDataFrame([("a", 0, 0)], "slide_id string, row_idx long, label int"), path)
+    assert sorted((r["slide_id"], r["row_idx"], r["label"]) for r in spark.read.parquet(path).collect()) == [("a", 0, 0), ("b", 0, 0)]
