@@ -2,28 +2,99 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, a local one for tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only in local mode, as in tests, a temporary one takes its place."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or os.path.join(tempfile.gettempdir(), "tessera-shared")).rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage and survives lost executors."""
+#: Paths of the tables that this program has written, by scope; the outermost scope's stay until ``discard``.
+_scopes: list[list[str]] = [[]]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in the shared folder and read back, and the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage and survives lost executors.
+
+    The table stays for as long as lazy results may read it: until the ``scratch`` block that it was written in ends, or until ``discard``.
+    """
+    return written_at(df, label)[0]
+
+
+def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes written tables: those of ``paths``, or all that no open ``scratch`` block has. Call it when results that read them have been used."""
+    gone = list(_scopes[0] if paths is None else paths)
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        for scope in _scopes:
+            if path in scope:
+                scope.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Deletes at its end what was written inside. It gives a function that writes a table which stays: what later work is to read."""
+    _scopes.append([])
+
+    def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        kept, path = written_at(df, label)
+        _scopes[-1].remove(path)
+        _scopes[-2].append(path)
+        return kept, path
+
+    try:
+        yield keep
+    finally:
+        discard(spark, _scopes[-1])
+        _scopes.pop()
+
+
+def give_back() -> None:
+    """Returns memory that Python and Arrow have freed to the system, for the worker that stays between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, giving memory back when the task's batches are done."""
+
+    def through(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
 
 
 #: Rows of an Arrow batch of texts: at 10,000, Spark's default, a few thousand characters a text make tens of MB in each worker.
@@ -47,7 +118,7 @@ def map_rows(given: DataFrame, run: Callable, columns: str, ids: Sequence[str] =
     whole = {c: k for c, k in kinds.items() if isinstance(k, T.IntegralType)}
     sent = given.withColumns({c: F.col(c).cast("string") for c in whole})
     schema = [f"{c} {'string' if c in whole else k.simpleString()}" for c, k in kinds.items()]
-    done = sent.mapInPandas(run, ", ".join([*schema, columns]))
+    done = sent.mapInPandas(lean(run), ", ".join([*schema, columns]))
     return done.withColumns({c: F.col(c).cast(k) for c, k in whole.items()})
 
 

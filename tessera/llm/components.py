@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import discard, written_at
 
 MOST_ROUNDS = 60
 
@@ -20,10 +20,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the component's least node) for every node that has a link to another.
 
     ``links`` may repeat pairs and hold loops or nulls, which don't count. Each round writes its edges to the shared folder, so the
-    plan doesn't grow and lost executors cost one round; the number of rounds grows with the logarithm of a component's length.
+    plan doesn't grow and lost executors cost one round, and deletes those of the round before; the number of rounds grows with the logarithm of a component's length.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges, before = written(edges, "links"), None
+    (edges, path), before = written_at(edges, "links"), None
     for _ in range(MOST_ROUNDS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,7 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         starred = _with_least(down)
         small = starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(starred.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "stars")
+        edges, new_path = written_at(small, "stars")
+        discard(edges.sparkSession, [path])
+        path = new_path
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -11,18 +11,20 @@ gives an empty result; other columns are ignored. Label, source and id are no in
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import map_rows, small_batches, table
+from tessera.llm.common import give_back, lean, map_rows, small_batches, table
 
 #: Families of languages by code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -64,25 +66,37 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return x / size if size else x
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
+class Rows:
+    """Rows of ``x`` in another order."""
+
+    def __init__(self, x: np.ndarray, order: np.ndarray):
+        self.x, self.order, self.shape = x, order, x.shape
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.x[self.order[i]]
+
+
+def train_machine(x: np.ndarray | Rows, y: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
     """A linear support vector machine (squared hinge) for y in -1, 1, by dual coordinate descent; each class weighs the same.
 
-    The last weight is the bias. Apart from ``x`` nothing of its size is held.
+    The last weight is the bias. ``x`` may be of half precision and read-only; nothing of its size is held beside it.
     """
     w, alpha = np.zeros(x.shape[1] + 1, dtype=np.float32), np.zeros(len(y))
     of_x = w[:-1]
     ones = max(1, int((y > 0).sum()))
     cost = np.where(y > 0, len(y) / (2 * ones), len(y) / (2 * max(1, len(y) - ones))) * penalty
     diagonal = 1 / (2 * cost)
-    norm = np.einsum("ij,ij->i", x, x) + 1 + diagonal
+    row = lambda i: x[i].astype(np.float32, copy=False)
+    norm = np.array([row(i) @ row(i) for i in range(len(y))]) + 1 + diagonal
     random = np.random.default_rng(42)
     for _ in range(epochs):
         for i in random.permutation(len(y)):
-            slope = y[i] * float(of_x @ x[i] + w[-1]) - 1 + diagonal[i] * alpha[i]
+            x_i = row(i)
+            slope = y[i] * float(of_x @ x_i + w[-1]) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / norm[i])
             if new != alpha[i]:
                 step = np.float32((new - alpha[i]) * y[i])
-                of_x += step * x[i]
+                of_x += step * x_i
                 w[-1] += step
                 alpha[i] = new
     return w
@@ -157,7 +171,7 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, most: int = S
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "x": [features(t, buckets).astype(np.float16).tobytes() for t in batch["text"]]})
 
-    sample = labelled_sample(docs, most).mapInPandas(vectors, "lang string, x binary").persist()
+    sample = labelled_sample(docs, most).mapInPandas(lean(vectors), "lang string, x binary").persist()
     names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     groups = {n: family_of.get(n, n) for n in names}
     contests = [("family", a, b) for a, b in combinations(sorted(set(groups.values())), 2)]
@@ -167,29 +181,29 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, most: int = S
         sample.unpersist()
         return Model(groups, {}, buckets)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        packed = rows["x"].to_numpy()
-        order = np.lexsort((packed, rows["lang"].to_numpy()))  # the same model whatever the order of rows
-        x = np.empty((len(rows), buckets), dtype=np.float32)
-        for r, k in enumerate(order):
-            x[r] = np.frombuffer(packed[k], dtype=np.float16)
-        w = train_machine(x, rows["y"].to_numpy()[order])
-        return rows[["level", "a", "b"]].head(1).assign(w=[w.tobytes()])
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        packed = rows.column("x").chunk(0)
+        order = np.lexsort(([zlib.crc32(v.as_buffer()) for v in packed], rows.column("lang").to_numpy()))  # the same model whatever the order of rows
+        # the vectors as they lie in the Arrow buffer, at half precision and without a copy
+        x = np.frombuffer(packed.buffers()[2], dtype=np.float16, count=len(packed) * buckets, offset=packed.offset * buckets * 2).reshape(-1, buckets)
+        w = train_machine(Rows(x, order), rows.column("y").to_numpy()[order])
+        give_back()
+        return rows.select(["level", "a", "b"]).slice(0, 1).append_column("w", pa.array([w.tobytes()], pa.binary()))
 
     spark = docs.sparkSession
     plan = spark.createDataFrame(sides, "lang string, level string, a string, b string, y int")
-    trained = sample.join(F.broadcast(plan), "lang").groupBy("level", "a", "b").applyInPandas(one, "level string, a string, b string, w binary").collect()
+    trained = sample.join(F.broadcast(plan), "lang").groupBy("level", "a", "b").applyInArrow(one, "level string, a string, b string, w binary").collect()
     sample.unpersist()
     return Model(groups, {(r["level"], r["a"], r["b"]): np.frombuffer(r["w"], dtype=np.float32) for r in trained}, buckets)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, held_out, lang_pred and score of every row. The model, some 33 KB a machine, goes with the task's code."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["lang_pred"], batch["score"] = shared.value.predict(batch.pop("text").tolist())
+            batch["lang_pred"], batch["score"] = model.predict(batch.pop("text").tolist())
             yield batch
 
     given = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -198,12 +212,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least this score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        labels, scores = shared.value.predict(texts.tolist())
-        return pd.Series(np.where(np.array(labels, dtype=object) == "und", -1.0, scores))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                labels, scores = model.predict(texts.tolist())
+                yield pd.Series(np.where(np.array(labels, dtype=object) == "und", -1.0, scores))
+        finally:
+            give_back()
 
     return small_batches(docs).where(score(F.col("text").cast("string")) >= least_score)
 

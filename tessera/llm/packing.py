@@ -5,8 +5,8 @@ Documents come one by one. What is longer than a sequence first fills whole sequ
 the count of each level. When a partition of the input ends, its partly filled sequences are closed: the emptiest are cut up to fill
 the fullest, and the one that remains becomes sequences whose lengths are powers of two. So nothing is padded at all.
 
-Each partition packs its own documents: nothing is shuffled, a task that runs again packs the same way, and a worker holds the ids
-of its partly filled sequences alone (their counts stay small by the method).
+Each partition packs its own documents: nothing is shuffled, and a task that runs again packs the same way. A worker holds the ids of its partly filled
+sequences (of a document its last piece alone), which are fewer than the squares' rule lets pile up, one block of texts and a bounded cache of chunks.
 
 Edge cases: a null text counts as empty, and an empty text is the end token alone; repeated rows are packed as often as they occur; an
 empty table gives an empty result; very long texts are cut into whole sequences; other columns are ignored.
@@ -14,10 +14,13 @@ empty table gives an empty result; very long texts are cut into whole sequences;
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from tessera.llm.common import map_rows, small_batches, table, text_or_empty
 from tessera.llm.token_counts import merger, vocabulary_path
 
 #: Characters of text that are cut up at a time, and chunks whose ids a worker remembers.
-BLOCK_CHARS, REMEMBERED = 1_000_000, 400_000
+BLOCK_CHARS, REMEMBERED = 500_000, 120_000
 PLAIN = re.compile("[\\x00-\u024f]*")
 #: The one letter below U+0250 whose lower case is more than letters.
 DOTTED_I = "\u0130"
@@ -38,62 +41,110 @@ MARKS = (",", ".")
 ID_BYTES = 4
 
 
+def small_letters(chunk: str) -> bool:
+    return chunk.isalpha() and chunk.islower() and PLAIN.fullmatch(chunk) is not None
+
+
 class ChunkIds:
     """Token ids of texts under a lower-case vocabulary that drops white space.
 
-    No token crosses a space, so a text's ids are the ids of its chunks between spaces in order, and each distinct chunk is tokenized once:
-    chunks of letters alone many at a time by rank-synchronous merging, others by the tokenizer itself. No token holds both a letter and a
-    comma or full stop, so a word that ends in one has the word's ids and the mark's.
+    No token crosses a space, so a text's ids are the ids of its chunks between spaces in order, and each distinct chunk is tokenized once: chunks of
+    letters alone many at a time by rank-synchronous merging, others by the tokenizer itself. No token holds both a letter and a comma or full stop, so
+    a word that ends in one has the word's ids and the mark's. Ids lie one after another in ``pool``; a chunk has its place in ``starts`` and ``sizes``.
     """
 
     def __init__(self, vocab: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         path = vocabulary_path(vocab)
-        self.tokenizer, self.bpe, self.known = Tokenizer.from_file(path), merger(path), {}
+        self.tokenizer, self.bpe = Tokenizer.from_file(path), merger(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.uses, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def forget_rare(self) -> None:
+        """Leaves the half of REMEMBERED chunks that were used most; older uses count half from then on."""
+        names, keep = list(self.known), np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        ids, sizes, uses = self.ids_at(keep), self.sizes[keep], self.uses[keep] // 2
+        self.forget()
+        self.add([names[k] for k in keep.tolist()], ids, sizes)
+        self.uses = uses
+
+    def ids_at(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the chunks in these places, one after another."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(ends[-1] if len(at) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        held, plain, odd, chars = [], set(), set(), 0
+        held, chars = [], 0
         for text in texts:
             # below U+0250 nothing combines, and lower case doesn't depend on what stands around a letter
-            simple = PLAIN.fullmatch(text)
-            chunks = (text.lower() if simple and DOTTED_I not in text else text).replace("\n", " ").split(" ")
-            (plain if simple and DOTTED_I not in text else odd).update(chunks)
-            held.append(chunks)
+            if PLAIN.fullmatch(text) and DOTTED_I not in text:
+                text = text.lower()
+            held.append(text.replace("\n", " ").split(" "))
             chars += len(text)
             if chars >= BLOCK_CHARS:
-                yield from self.block(held, plain, odd)
-                held, plain, odd, chars = [], set(), set(), 0
-        yield from self.block(held, plain, odd)
+                yield from self.block(held)
+                held, chars = [], 0
+        if held:
+            yield from self.block(held)
 
-    def block(self, held: list[list[str]], plain: set[str], odd: set[str]) -> Iterator[bytes]:
+    def block(self, held: list[list[str]]) -> Iterator[bytes]:
+        flat = list(chain.from_iterable(held))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(plain, odd)
-        get = self.known.__getitem__
-        for chunks in held:
-            yield b"".join(map(get, chunks))
-
-    def learn(self, plain: set[str], odd: set[str]) -> None:
+            self.forget_rare()
+        self.learn(set(flat).difference(self.known))
+        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        ids, last = self.ids_at(at).tobytes(), 0
+        for end in np.cumsum(self.sizes[at])[np.cumsum([len(c) for c in held]) - 1].tolist():
+            yield ids[last * ID_BYTES : end * ID_BYTES]
+            last = end
+
+    def learn(self, new: set[str]) -> None:
         known = self.known
-        words = plain.difference(known)
-        single = {w for w in words if not w.isalpha()}
-        words -= single
-        marked = [w for w in single if w[-1:] in MARKS and w[:-1].isalpha()]
-        words.update(w for w in (x[:-1] for x in marked) if w not in known)
-        single.difference_update(marked)
-        single |= odd.difference(known, words, marked)
-        single.update(MARKS)
-        ordered = list(words)
-        ids, sizes = self.bpe.merge([w.encode() for w in ordered], symbols_too=True)
-        raw, cuts = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * ID_BYTES).tolist()
-        known.update(zip(ordered, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-        alone = list(single)
-        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
-        known.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(alone, found, strict=True))
-        ids_of = {m: known[m] for m in MARKS}
-        known.update([(w, known[w[:-1]] + ids_of[w[-1]]) for w in marked])
+        lower = {w for w in new if small_letters(w)}
+        rest = new - lower
+        marked = [w for w in rest if w[-1:] in MARKS and small_letters(w[:-1])]
+        alone = [*rest.difference(marked), *(m for m in MARKS if m not in known and m not in rest)]
+        lower.update(w[:-1] for w in marked if w[:-1] not in known)
+        ordered = list(lower)
+        self.add(ordered, *self.bpe.merge([w.encode() for w in ordered], symbols_too=True))
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        self.add(alone, np.array([*chain.from_iterable(found)], dtype="<u4"), np.array([*map(len, found)], dtype=np.int64))
+        at = np.array([p for w in marked for p in (known[w[:-1]], known[w[-1]])], dtype=np.int64)  # a word's ids and its mark's
+        self.add(marked, self.ids_at(at), self.sizes[at].reshape(-1, 2).sum(axis=1))
+
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids.astype("<u4")])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), dtype=np.int64)])
+
+
+@dataclass(frozen=True)
+class Piece:
+    """``length`` ids of a document from ``start`` on; ``ids`` begin at the document's id ``base``."""
+
+    doc: object
+    doc_tokens: int
+    base: int
+    ids: bytes
+    start: int
+    length: int
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        """The first n ids and what is behind them."""
+        return replace(self, length=n), replace(self, start=self.start + n, length=self.length - n)
+
+    def checksum(self) -> int:
+        at = (self.start - self.base) * ID_BYTES
+        return zlib.crc32(self.ids[at : at + self.length * ID_BYTES])
 
 
 class Level:
@@ -105,7 +156,7 @@ class Level:
         self.open: dict[int, list[list]] = defaultdict(list)
         self.full: list[list] = []
 
-    def place(self, piece: tuple, s: int) -> None:
+    def place(self, piece: Piece, s: int) -> None:
         """Puts a piece of s tokens, 0 < s <= size, where the squares grow least; ties go to the fullest sequence."""
         c, size = self.count, self.size
         # from level h to h + s: (c[h] - 1)^2 - c[h]^2 + (c[h + s] + 1)^2 - c[h + s]^2; levels 0 and size aren't counted
@@ -147,8 +198,8 @@ class Level:
                 (piece, n) = donor.pop()
                 take = min(n, need)
                 if n > take:  # the front of the piece stays with the donor
-                    donor.append((piece[:2] + (piece[2], piece[3] - take), n - take))
-                    piece = piece[:2] + (piece[2] + piece[3] - take, take)
+                    front, piece = piece.cut(n - take)
+                    donor.append((front, n - take))
                 room.append((piece, take))
                 need -= take
             out += [room] if not need else binary(room, self.size)
@@ -173,8 +224,8 @@ def binary(pieces: list, size: int) -> list[list]:
             piece, n = rest.pop(0)
             take = min(n, need)
             if n > take:
-                rest.insert(0, (piece[:2] + (piece[2] + take, piece[3] - take), n - take))
-                piece = piece[:2] + (piece[2], take)
+                piece, behind = piece.cut(take)
+                rest.insert(0, (behind, n - take))
             seq.append((piece, take))
             need -= take
         out.append(seq)
@@ -200,10 +251,9 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int = 2048, en
         def emit(seq: list) -> None:
             nonlocal next_id
             offset = 0
-            for (doc, ids, start, n), _ in seq:
-                part = ids[start * ID_BYTES : (start + n) * ID_BYTES]
-                rows.append((doc, start, n, zlib.crc32(part), len(ids) // ID_BYTES, next_id, offset))
-                offset += n
+            for piece, _ in seq:
+                rows.append((piece.doc, piece.start, piece.length, piece.checksum(), piece.doc_tokens, next_id, offset))
+                offset += piece.length
             next_id += 1
 
         for batch in batches:
@@ -212,14 +262,16 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int = 2048, en
                 ids += end
                 n = len(ids) // ID_BYTES
                 for start in range(0, n - size + 1, size):
-                    emit([((doc, ids, start, size), size)])
+                    emit([(Piece(doc, n, 0, ids, start, size), size)])
                 if n % size:
-                    levels.place((doc, ids, n - n % size, n % size), n % size)
+                    base = n - n % size
+                    levels.place(Piece(doc, n, base, ids[base * ID_BYTES :], base, n - base), n - base)
                     for seq in levels.full:
                         emit(seq)
                     levels.full.clear()
             yield as_frame(rows, columns)
             rows.clear()
+        ids_of.forget()
         for seq in levels.close():
             emit(seq)
         yield as_frame(rows, columns)
