@@ -1,21 +1,29 @@
 """Near-duplicates by SimHash, found through an inverted index of positional bytes with count filtering.
 
-A 64-bit fingerprint is eight bytes at eight positions. Two fingerprints that differ in at most ``bits`` bits differ in at most that many bytes, so
-they share at least 8 - bits positional bytes: the guaranteed minimum. The index therefore has one posting list for every set of that many (position,
-byte) pairs instead of one for each single pair; two fingerprints meet in a list only if their tally of shared bytes reaches the
-minimum. A pair that meets is tallied in full and kept where the list is the first that it shares, then verified bit by bit.
+A 64-bit fingerprint is eight bytes at eight positions. Two fingerprints that differ in at most ``bits`` bits differ in at most that many bytes, so they share
+at least m = 8 - bits positional bytes: the guaranteed minimum. Every pair that meets in the index is tallied, how many positional bytes it shares; pairs whose tally
+reaches m are retained, and those are verified bit by bit.
+
+The index has one posting list for every set of m (position, byte) pairs, not one for each single pair. This gives the same tallies: two fingerprints that share t
+bytes meet in the C(t, m) lists of the sets of m among these, so in none if t < m and in at least one if t >= m. Hence the pairs that meet are those which counting through single-byte
+lists would retain, and no other pair need be tallied; a list of single bytes has a 256th of all fingerprints, one of m = 4 bytes a 2^32nd. A pair is
+reported by the first of its lists, which its shared bytes tell.
 
 Fingerprints are indexed once each, however many documents have them. Lists stream through sorted partitions. Inside a longer list a
 forest of links takes the place of all pairs, which leaves the components as they are; lists above LONG entries are cut into blocks, and
 each two blocks meet in a task of their own.
 
+Where a similarity of shingles is asked for, which 64 bits can't guarantee to find, texts that have it are linked as well: see ``similar_links``.
+
 Edge cases: a null or empty text has fingerprint zero, which is linked like any other; repeated rows each get their row; null ids
 never become a component's id unless it has no other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -25,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, small_batches, table, written
+from tessera.llm.common import lean, map_rows, small_batches, table, written
 from tessera.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
@@ -33,6 +41,9 @@ SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
 SHORT, LONG = 16, 4096
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Bytes of a minwise signature, of a set of them that makes a list's key, and the permutations' factors and shifts.
+SIGNATURE, SET = 64, 4
+FACTORS, SHIFTS = (np.random.default_rng(SEED).integers(0, 2**64, SIGNATURE, dtype=np.uint64) | np.uint64(k) for k in (1, 0))
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -78,37 +89,85 @@ def shared_bytes(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint8).reshape(-1, BYTES) == 0
 
 
-def short_links(keys: np.ndarray, fps: np.ndarray, run: np.ndarray, longest: int, sets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links in lists of up to SHORT entries; each pair comes from the first list that it shares."""
-    out = []
-    for step in range(1, longest):
-        at = np.flatnonzero(run[step:] == run[:-step])
-        x = fps[at] ^ fps[at + step]
-        near = np.bitwise_count(x.view(np.uint64)) <= bits  # of signed numbers it counts the absolute value
-        at, x = at[near], x[near]
-        same = shared_bytes(x)
-        tally = np.cumsum(same, axis=1)
-        first = same & (tally <= sets.shape[1])
+def tally(x: np.ndarray) -> np.ndarray:
+    """The number of equal bytes, from the exclusive-or of two fingerprints."""
+    x = x.view(np.uint64)
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)  # the lowest bit of each byte: whether any of it is set
+    return BYTES - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def retained(x: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs share enough bytes and, of those, differ in few enough bits; from their exclusive-or."""
+    keep = tally(x) >= BYTES - bits
+    keep[keep] = np.bitwise_count(x[keep].view(np.uint64)) <= bits  # of signed numbers it counts the absolute value
+    return keep
+
+
+@dataclass(frozen=True)
+class ByFingerprint:
+    """How entries of a posting list are compared, when what they hold is the fingerprint itself."""
+
+    bits: int
+    sets: np.ndarray
+
+    def held(self, batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("node").to_numpy()
+
+    def pairs(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs (one in each place) are links and share no earlier list; each pair comes from the first list that it shares."""
+        x = a ^ b
+        near = retained(x, self.bits)
+        same = shared_bytes(x[near])
+        first = same & (np.cumsum(same, axis=1) <= self.sets.shape[1])
         want = np.zeros_like(first)
-        want[np.arange(len(at))[:, None], sets[keys[at] >> (8 * sets.shape[1])]] = True
-        at = at[(first == want).all(axis=1)]
-        out.append((fps[at], fps[at + step]))
-    return out
+        want[np.arange(len(first))[:, None], self.sets[keys[near] >> (8 * self.sets.shape[1])]] = True
+        near[near] = (first == want).all(axis=1)
+        return near
+
+    def closeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For every two entries a number above 0 if they are a link."""
+        return retained((a[:, None] ^ b[None, :]).ravel(), self.bits).reshape(len(a), len(b))
+
+    width = 1
 
 
-def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever links of up to ``bits`` bits connect, at most one for each fingerprint."""
-    rest, left, right = np.unique(fps), [], []
+@dataclass(frozen=True)
+class BySignature:
+    """The same for signatures of SIGNATURE bytes; a pair is a candidate if it shares ``least`` of them."""
+
+    least: int
+
+    def held(self, batch: pa.RecordBatch) -> np.ndarray:
+        packed = batch.column("sig")
+        return np.frombuffer(b"".join(packed.to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE)
+
+    def pairs(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a == b).sum(axis=1) >= self.least
+
+    def closeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = (a[:, None, :] == b[None, :, :]).sum(axis=2)
+        return np.where(shared >= self.least, shared, 0)
+
+    width = SIGNATURE
+
+
+def forest(nodes: np.ndarray, held: np.ndarray, kind: ByFingerprint | BySignature) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever links connect, at most one for each entry: to the closest entry of those before it in a breadth-first search."""
+    nodes, at = np.unique(nodes, return_index=True)
+    held, rest, left, right = held[at], np.arange(len(at)), [], []
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            part, front = front[: max(1, 4_000_000 // len(rest))], front[max(1, 4_000_000 // len(rest)) :]
-            near = np.bitwise_count((part[:, None] ^ rest[None, :]).view(np.uint64)) <= bits
-            hit = near.any(axis=0)
-            left.append(part[near[:, hit].argmax(axis=0)])
-            right.append(rest[hit])
+            step = max(1, 1_000_000 // (len(rest) * kind.width))
+            part, front = front[:step], front[step:]
+            close = kind.closeness(held[part], held[rest])
+            hit = close.any(axis=0)
+            left.append(nodes[part[close[:, hit].argmax(axis=0)]])
+            right.append(nodes[rest[hit]])
             front, rest = np.r_[front, rest[hit]], rest[~hit]
-    none = np.zeros(0, dtype=fps.dtype)
+    none = np.zeros(0, dtype=np.int64)
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
@@ -118,82 +177,159 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
         raise ValueError("bits must be 1 to 7: with 8, two fingerprints need not share a byte")
     minimum = BYTES - bits
     sets = list(combinations(range(BYTES), minimum))
-    table_of_sets = np.array(sets)
     if 8 * minimum + len(sets).bit_length() > 63:
         raise ValueError("the keys of posting lists don't fit in 63 bits; use more bits")
+    # every task gets its share of the fingerprints, few as their bytes are, before each becomes so many entries
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = dealt.select(F.explode(_list_keys(F.col("fp"), sets)).alias("key"), F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sig"))
+    return listed_links(index, ByFingerprint(bits, np.array(sets)), long)
+
+
+def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int = LONG) -> DataFrame:
+    """Pairs (a, b) of nodes that are links, from an index (key, node, sig): all of lists of up to SHORT entries, a forest of longer ones."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary())])
+
+    def found_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_fps, handed_on = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+        held, handed_on = None, None
 
-        def tables(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(keys):
-                return
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        def for_later(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.nulls(len(batch), pa.int64()), batch.column("sig")], schema=schema)
+
+        def lists_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
             sizes = np.diff(np.r_[starts, len(keys)])
-            few = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-            pairs = []
-            if few.any():
-                number = np.repeat(np.arange(len(sizes)), sizes)[few]
-                pairs += short_links(keys[few], fps[few], number, int(sizes[sizes <= SHORT].max()), table_of_sets, bits)
-            late = []
-            for k in np.flatnonzero(sizes > SHORT):
+            if not (sizes > 1).any():
+                return
+            data, number = kind.held(batch), np.repeat(np.arange(len(sizes)), sizes)
+            left, right = [], []
+            few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+            for step in range(1, int(sizes[sizes <= SHORT].max(initial=1))):
+                at = few[:-step][number[few[step:]] == number[few[:-step]]]
+                at = at[kind.pairs(keys[at], data[at], data[at + step])]
+                left.append(nodes[at])
+                right.append(nodes[at + step])
+            for k in np.flatnonzero((sizes > SHORT) & (sizes <= long)):
                 part = slice(starts[k], starts[k] + sizes[k])
-                if sizes[k] <= long:
-                    pairs.append(forest(fps[part], bits))
-                else:
-                    late.append((keys[part], fps[part]))
-            columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x in pairs)]), np.concatenate([np.zeros(0, dtype=np.int64), *(x[1] for x in pairs)])]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()), *map(pa.array, columns)], ["key", "a", "b"])
-            for key, fp in late:
-                yield for_later(key, fp)
-
-        def for_later(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps), pa.nulls(len(fps), pa.int64())], ["key", "a", "b"])
+                a, b = forest(nodes[part], data[part], kind)
+                left.append(a)
+                right.append(b)
+            if sum(map(len, left)):
+                yield found_pairs(np.concatenate(left), np.concatenate(right))
+            for k in np.flatnonzero(sizes > long):
+                yield for_later(batch.slice(starts[k], sizes[k]))
 
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if handed_on is not None:  # what else the list has that was handed on; keys are sorted
-                more = int(np.searchsorted(keys, handed_on, side="right"))
+                more = int(np.searchsorted(batch.column("key").to_numpy(), handed_on, side="right"))
                 if more:
-                    yield for_later(keys[:more], fps[:more])
-                keys, fps = keys[more:], fps[more:]
-            keys, fps = np.r_[held_keys, keys], np.r_[held_fps, fps]
-            if not len(keys):
+                    yield for_later(batch.slice(0, more))
+                batch = batch.slice(more)
+            batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches(max_chunksize=None)[0] if len(held) + len(batch) else batch
+            if not len(batch):
                 continue
+            keys = batch.column("key").to_numpy()
             last = int(np.searchsorted(keys, keys[-1], side="left"))
-            held_keys, held_fps = keys[last:], fps[last:]
-            yield from tables(keys[:last], fps[:last])
-            if len(held_keys) > long:  # known to be long: no need to hold the whole list
-                handed_on = int(held_keys[0])
-                yield for_later(held_keys, held_fps)
-                held_keys, held_fps = held_keys[:0], held_fps[:0]
-        yield from tables(held_keys, held_fps)
-
-    index = distinct.select("fp", F.explode(_list_keys(F.col("fp"), sets)).alias("key")).select("key", "fp")
-    found = index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+            held = batch.slice(last)
+            yield from lists_of(batch.slice(0, last))
+            if len(held) > long:  # known to be long: no need to hold the whole list
+                handed_on = int(keys[-1])
+                yield for_later(held)
+                held = held.slice(0, 0)
+        if held is not None:
+            yield from lists_of(held)
+
+    found = index.select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, a long, b long, sig binary")
     found = written(found, "pairs")
     near = found.where("key IS NULL").select("a", "b")
-    late = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
+    late = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "sig")
     if late.isEmpty():
         return near
 
-    def block_pair(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(rows["fp"].to_numpy(np.int64), bits)
-        return pd.DataFrame({"a": a, "b": b})
+    def block_pair(rows: pa.Table) -> pa.Table:
+        batch = rows.combine_chunks().to_batches(max_chunksize=None)[0]
+        a, b = forest(batch.column("node").to_numpy(), kind.held(batch), kind)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(long)).cast("int").alias("blocks"))
-    dealt = late.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = late.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "fp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return near.unionAll(dealt.groupBy("key", "i", "j").applyInPandas(block_pair, "a long, b long"))
+    dealt = dealt.select("key", "node", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return near.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long"))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles; none for a text without words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    runs = zip(*(found[k:] for k in range(words)), strict=False) if len(found) >= words else [found]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(SEED)), dtype=np.uint64))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """SIGNATURE positional bytes: of each of as many permutations of the hashes a byte of the least. Two texts share a byte with the chance of their shingles' Jaccard similarity."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[at : at + 2048, None] * FACTORS + SHIFTS).min(axis=0))
+    return (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest id that links lead to."""
+def similar_links(docs: DataFrame, marked: DataFrame, words: int, similarity: float, long: int = LONG) -> DataFrame:
+    """Pairs (a, b) of fingerprints that connect texts of a Jaccard similarity of word shingles from ``similarity`` on. ``docs`` has unique ids; ``marked`` their fingerprints.
+
+    At this similarity 64-bit SimHashes differ in some ten bits and need not share a byte, so the positional bytes are those of minwise hashes: each is shared with the chance of the
+    similarity. The index has a list for every set of SET bytes; a pair is tallied over all SIGNATURE bytes and retained from four standard deviations below the
+    expected number on; what is retained is verified by the shingles themselves. A pair meets in no list with a chance of (1 - similarity^4)^16, 2 in 10,000 at 0.8.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["sig"] = [signature(h) if len(h) else None for h in (shingle_hashes(t, words) for t in batch.pop("text").tolist())]
+            yield batch
+
+    expected = SIGNATURE * (similarity + (1 - similarity) / 256)
+    least = max(1, math.floor(expected - 4 * math.sqrt(expected * (1 - expected / SIGNATURE))))
+    given = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    signed = written(map_rows(given, run, "sig binary").where("sig IS NOT NULL").join(marked, "doc_id"), "signatures")
+    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
+    classes = written(classes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), "classes")
+    keys = F.array(*[F.substring("sig", 1 + SET * k, SET) for k in range(SIGNATURE // SET)])
+    index = classes.select(F.posexplode(keys).alias("nth", "part"), "node", "sig")
+    index = index.select((F.conv(F.hex("part"), 16, 10).cast("long") + F.col("nth") * F.lit(1 << (8 * SET))).alias("key"), "node", "sig")
+    found = listed_links(index, BySignature(least), long).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    found = written(found, "candidates")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["hashes"] = [shingle_hashes(t, words).view(np.int64) for t in batch.pop("text").tolist()]
+            yield batch
+
+    asked = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+    sets = written(map_rows(given.join(asked, "doc_id", "left_semi"), hashed, "hashes array<long>"), "shingles")
+    both = found.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    of = lambda side: classes.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"))
+    apart = good.join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    alike = signed.select("fp", "sig").distinct().join(classes.select("sig", F.col("fp").alias("least")), "sig").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return apart.unionAll(alike.where("a <> b"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_words: int = 5) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest id that links lead to.
+
+    With ``similarity``, texts of that Jaccard similarity of their shingles of ``similar_words`` words are linked as well; ids must then be unique.
+    """
     marked = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(links(distinct.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
+    found = links(distinct.select("fp"), bits)
+    if similarity is not None:
+        found = found.unionAll(similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), marked, similar_words, similarity))
+    joined = components(found).select(F.col("node").alias("fp"), "root")
     named = joined.join(distinct, "fp")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = named.join(least, "root").select("fp", "least_id")
@@ -203,17 +339,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BIT
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id, all columns as they are.
 
     Where ids are null or repeat, rows are numbered first, and the first row of a component stays.
     """
     ids = docs.select("doc_id").groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
     if ids[0] in (None, 1) and not ids[1]:
-        keep = near_duplicates(docs, words, bits).where("doc_id = component_id").select("doc_id")
+        keep = near_duplicates(docs, words, bits, similarity=similarity, similar_words=similar_words).where("doc_id = component_id").select("doc_id")
         return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keep = near_duplicates(numbered, words, bits, id_col="__row").where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    keep = near_duplicates(numbered, words, bits, id_col="__row", similarity=similarity, similar_words=similar_words).where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
     return numbered.join(keep, "__row", "left_semi").drop("__row").select(*docs.columns)
 
 

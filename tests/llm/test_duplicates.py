@@ -88,6 +88,64 @@ def test_negative_fingerprints_link(spark):
     assert got == {-1: -4, -2: -4, -4: -4, 2**62: -(2**63), 2**62 + 1: -(2**63), -(2**63): -(2**63)}
 
 
+def plain_similar(texts, words=5, least=0.8, bits=4):
+    """Components of texts by similarity of shingles or by bits, all pairs."""
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    fps = [plain_fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            near = (fps[i] ^ fps[j]).bit_count() <= bits
+            if near or small and small >= least * large and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts_are_linked(make):
+    """Families of copies edited more and more, among them pairs near the bound, against all pairs."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(30):
+        own = [f"w{r.randint(0, 5000)}" for _ in range(r.choice([3, 30, 120, 400]))]
+        for _ in range(r.choice([1, 2, 6, 40])):
+            copy = own[:]
+            for _ in range(r.randint(0, max(1, len(own) // 25))):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 5000)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, "one", "one", "two words"]
+    docs = make(list(enumerate(texts)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    want = plain_similar(texts)
+    assert sum(got[k] == w for k, w in enumerate(want)) >= 0.99 * len(texts)
+    assert all(want[v] == want[k] for k, v in got.items())  # none is in a component with a text that it has no path to
+    kept = {x["doc_id"] for x in simhash.keep_one(docs, similarity=0.8).collect()}
+    assert kept == {k for k, v in got.items() if k == v}
+
+
+def test_long_lists_of_signatures(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 256, (3, simhash.SIGNATURE), dtype=np.uint8)
+    rows = []
+    for n in range(600):
+        own = base[n % 3].copy()
+        own[r.integers(0, simhash.SIGNATURE, 5)] = r.integers(0, 256, 5)
+        rows.append((int(n % 3), n, own.tobytes()))
+    index = spark.createDataFrame(rows, "key long, node long, sig binary").repartition(4)
+    got = {x["node"]: x["root"] for x in components.components(simhash.listed_links(index, simhash.BySignature(38), 100)).collect()}
+    assert got == {n: n % 3 for n in range(600)}
+
+
 def test_long_chain_and_loops(spark):
     pairs = [(k, k + 1) for k in range(200)] + [(5, 5), (None, 7), (300, 301), (301, 300)]
     df = spark.createDataFrame(pairs, "a long, b long")

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm.common import table, written
 
-from .test_duplicates import plain_components, plain_fingerprint
+from .test_duplicates import plain_similar
 from .test_mixing_search_secrets import words
 from .test_pii import stated
 
@@ -27,7 +27,7 @@ def test_stages_one_by_one(spark, sf):
     assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after)
     before, after = out["SimHash near-dedup"]
     rows = sorted(before, key=lambda r: r["doc_id"])
-    roots = plain_components([plain_fingerprint(r["text"]) for r in rows], 4)
+    roots = plain_similar([r["text"] for r in rows])
     assert sorted(r["doc_id"] for r in after) == sorted({rows[k]["doc_id"] for k in roots})
     before, after = out["PII"]
     texts = {r["doc_id"]: r["text"] for r in after}
