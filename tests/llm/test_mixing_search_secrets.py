@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -11,44 +14,123 @@ from tessera.llm import mixing, nearest, secrets
 from tessera.llm.common import table
 
 
-def test_targets():
-    assert mixing.share_out([100, 100, 100], [5, 2, 1], 450, 2) == [200, 500 / 3, 250 / 3]
-    assert mixing.share_out([10, 1000], [5, 1], 1500, 2) == [20, 1480]
-    assert mixing.share_out([0, 0], [5, 2], 0, 2) == [0, 0] and mixing.share_out([], [], 0, 2) == []
+def plain_targets(sizes, weights, total, most):
+    """By sorting: the unit at which what the capped have and what the others get make up the total."""
+    order = sorted(range(len(sizes)), key=lambda k: most * sizes[k] / weights[k])
+    for capped in range(len(order) + 1):
+        rest = order[capped:]
+        left = Fraction(total) - sum(Fraction(most) * sizes[k] for k in order[:capped])
+        unit = left / sum(weights[k] for k in rest) if rest else Fraction(10**30)
+        if not rest or weights[rest[0]] * unit <= most * sizes[rest[0]]:
+            return [float(min(weights[k] * unit, most * sizes[k])) for k in range(len(sizes))]
 
 
-def test_schedule_gives_each_source_its_slots(spark):
-    counts = [50, 1, 0, 7, 300]
-    rows = mixing.schedule(spark, counts, chunk=16).collect()
-    for k, n in enumerate(counts):
+@pytest.mark.parametrize("sizes,weights,share", [([100, 100, 100], (5, 2, 1), 1.5), ([10, 1000], (5, 1), 1500 / 1010), ([0, 0], (5, 2), 1.5), ([], (5,), 1.5), ([7, 0, 900, 13, 13, 2000, 5, 1], (5, 2, 1), 1.5), ([1, 2, 3, 100], (5, 2, 1), 2.5)])
+def test_targets(spark, sizes, weights, share):
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "place long, source_size long")
+    got = {r["place"]: r["target"] for r in mixing.shared_out(df, weights, share, 2).collect()}
+    want = plain_targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share * sum(sizes), 2)
+    assert got == pytest.approx(dict(enumerate(want)))
+    if sizes == [100, 100, 100]:
+        assert got == pytest.approx({0: 200, 1: 500 / 3, 2: 250 / 3})
+
+
+def radical_inverse(i):
+    return sum((i >> b & 1) / 2 ** (b + 1) for b in range(40))
+
+
+def sources_of(spark, words, block=16):
+    sized = spark.createDataFrame([(k, f"s{k:03}", n) for k, n in enumerate(words)], "doc_id long, source string, size long")
+    return mixing.source_table(sized, (1,), 1.0, 10**9, block)
+
+
+def test_slots_are_where_the_points_fall(spark):
+    """Against the points one by one: sources of equal target, a row a slot, ranks in the order of slots."""
+    sources, bits = sources_of(spark, [50, 100, 7, 300, 1])
+    rows = mixing.schedule(sources, bits, chunk=4).collect()
+    assert bits == 5 and sorted(r["slot"] for r in rows) == list(range(32))
+    for k in range(5):
         own = sorted((r["slot"], r["rank"]) for r in rows if r["k"] == k)
-        assert [r for _, r in own] == list(range(n))
-    first = [r["k"] for r in sorted(rows, key=lambda r: r["slot"])[:72]]
-    assert abs(first.count(4) - 72 * 300 / 358) < 4
+        assert [s for s, _ in own] == [i for i in range(32) if k / 5 <= radical_inverse(i) < (k + 1) / 5] and [r for _, r in own] == list(range(len(own)))
+
+
+def test_each_prefix_of_slots_is_near_the_weights(spark):
+    sized = spark.createDataFrame([(k, f"s{k}", 40_000) for k in range(6)], "doc_id long, source string, size long")
+    sources, bits = mixing.source_table(sized, (5, 2, 1), 1.5, 2.0, 16)
+    share = {r["k"]: r["words"] for r in sources.collect()}
+    of = [r["k"] for r in sorted(mixing.schedule(sources, bits).collect(), key=lambda r: r["slot"])]
+    total = sum(share.values())
+    for n in [*range(1, 200), *range(200, len(of), 997)]:
+        assert all(abs(of[:n].count(k) - n * w / total) < 4 for k, w in share.items())
+    plain = [r["k"] for r in sorted(mixing.schedule(sources, bits, sequence=lambda p, _: p).collect(), key=lambda r: r["slot"])]
+    assert plain == sorted(plain) and plain != of
+
+
+def test_sources_without_a_point_have_a_slot(spark):
+    sized = spark.createDataFrame([(0, "a", 10**6), (1, "b", 3), (2, "c", 0), (3, None, 5)], "doc_id long, source string, size long")
+    sources, bits = mixing.source_table(sized, (1,), 1.0, 2.0, 256)
+    rows = {r["k"]: (r["source"], r["slots"], r["words"]) for r in sources.collect()}
+    assert rows[1] == ("b", 1, 6) and rows[2] == ("c", 0, 0) and rows[3] == (None, 1, 10)
+    assert {r["k"] for r in mixing.schedule(sources, bits).collect() if r["k"]} == {1, 3}
 
 
 def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
+def plain_mix(docs, block, order):
+    """taken and first slot of each document, word by word. docs: (id, size, source); order: ids of a source in the axis's order."""
+    names = sorted({s for _, _, s in docs if s is not None}) + [None] * any(s is None for _, _, s in docs)
+    sizes = [sum(n for _, n, s in docs if s == x) for x in names]
+    targets = plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes), 2)
+    whole = [int(t + 1e-9) for t in targets]
+    bits = max(0, math.ceil(math.log2(max(1, sum(whole) / block))))
+    slots, at = {}, 0
+    for k, w in enumerate(whole):
+        own = [i for i in range(2**bits) if at / sum(whole) <= radical_inverse(i) < (at + w) / sum(whole)] if w else []
+        at += w
+        for r, i in enumerate(own):
+            for word in range(int(r * (w / len(own))), w if r + 1 == len(own) else int((r + 1) * (w / len(own)))):
+                slots.setdefault((k, word), i)
+        if w and not own:
+            slots |= {(k, word): None for word in range(w)}
+    taken, first = {d: 0 for d, _, _ in docs}, {}
+    size = {d: n for d, n, _ in docs}
+    for k, name in enumerate(names):
+        axis = [d for d in order[name] for _ in range(size[d])]
+        for word in range(whole[k]):
+            d = axis[word % len(axis)]
+            taken[d] += 1
+            first[d] = min(first.get(d, 10**9), slots[k, word]) if slots[k, word] is not None else None
+    return names, sizes, targets, taken, first
+
+
 @pytest.mark.parametrize("block", [1, 7, 256])
 def test_taken_words(make, block):
     r = random.Random(block)
     docs = [(k, " ".join("x" * r.randint(0, 40)), None, None if k % 7 == 0 else f"s{min(k % 5, 3)}") for k in range(150)] + [(500, None, None, "lone"), (501, "one", None, "tiny")]
-    rows = mixing.mix_sources(make(docs), block=block).collect()
+    frame = make(docs)
+    rows = mixing.mix_sources(frame, block=block).collect()
     again = mixing.mix_sources(make(docs, parts=5), block=block).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again)) and len(rows) == len(docs)
     size = {d[0]: words(d[1]) for d in docs}
     source = {d[0]: d[3] for d in docs}
-    names = sorted({s for s in source.values() if s is not None}) + [None]
-    sizes = [sum(size[d] for d in size if source[d] == s) for s in names]
-    targets = dict(zip(names, mixing.share_out(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes), 2), strict=True))
-    taken = dict.fromkeys(names, 0)
+    hashed = {x["doc_id"]: x["h"] for x in frame.select("doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect()}
+    order = {s: sorted((d for d in size if source[d] == s), key=lambda d: ((hashed[d] >> 20) % 1, hashed[d], d)) for s in set(source.values())}
+    names, sizes, targets, taken, first = plain_mix([(d, n, source[d]) for d, n in size.items()], block, order)
     for x in rows:
-        s = source[x["doc_id"]]
-        assert x["size"] == size[x["doc_id"]] and x["source_size"] == sizes[names.index(s)] and x["target"] == targets[s] and 0 <= x["taken"] <= 2 * x["size"]
-        taken[s] += x["taken"]
-    assert all(targets[s] - 1 < taken[s] <= targets[s] for s in names)
+        d, k = x["doc_id"], names.index(source[x["doc_id"]])
+        assert (x["size"], x["source_size"], x["taken"]) == (size[d], sizes[k], taken[d]) and x["target"] == pytest.approx(targets[k]) and x["taken"] <= 2 * x["size"]
+        assert first.get(d, -1) is None or x["first_slot"] == first.get(d)
+
+
+def test_another_sequence_changes_the_mix(make):
+    docs = make([(k, "w " * 300, None, f"s{k % 4}") for k in range(60)])
+    one, other = (mixing.mix_sources(docs, block=64, sequence=f).collect() for f in (mixing.reversed_bits, lambda p, _: p))
+    slots = lambda rows: {x["doc_id"]: x["first_slot"] for x in rows}
+    assert slots(one) != slots(other)
+    lie = lambda f: [x["source"] for x in mixing.mixed_documents(docs.coalesce(1), block=64, sequence=f).coalesce(1).collect()]
+    assert lie(mixing.reversed_bits) != lie(lambda p, _: p)
 
 
 def test_mixed_documents_have_the_taken_words(make, odd, none):
@@ -74,17 +156,17 @@ def test_search_equals_sql(spark, sf):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows) == sorted(want)
 
 
-@pytest.mark.parametrize("scale,width", [(1.0, 12), (1000.0, 3)])
-def test_search_with_odd_vectors(spark, scale, width):
+@pytest.mark.parametrize("scale,width,group_queries", [(1.0, 12, 3), (1000.0, 3, 2), (3e4, 4, 10)])
+def test_search_with_odd_vectors(spark, scale, width, group_queries):
     r = np.random.default_rng(1)
     centres = r.normal(size=(6, width)) * 3 * scale
     x = np.concatenate([centres[r.integers(0, 6, 300)] + r.normal(size=(300, width)) * 0.1, np.tile(centres[:1], (40, 1))]).astype(np.float32)
     rows = [(k, [float(v) for v in row], "x") for k, row in enumerate(x)]
-    rows += [(700, None, "x"), (750, [1.0, None], "x"), (800, [float("nan")] * width, "x"), (850, [float("inf")], "x"), (0, [1.0, 2.0], "x"), (None, [1.0], "x"), (900, [], "x"), (950, [3e7], "x")]
+    rows += [(700, None, "x"), (750, [1.0, None], "x"), (800, [float("nan")] * width, "x"), (850, [float("inf")], "x"), (0, [1.0, 2.0], "x"), (None, [1.0], "x"), (900, [], "x"), (950, [3e7], "x"), (951, [-4e7, 1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = nearest.voronoi_join(df, F.col("vec_id") % 50 == 0, query_block=3, data_block=40).collect()
-    good = [(i, v) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) and abs(c) < 2**20 for c in v)]
-    whole = [(i, np.floor(256 * np.pad(np.array(v, dtype=np.float64), (0, width - len(v)))).astype(np.int64)) for i, v in good]
+    got = nearest.voronoi_join(df, F.col("vec_id") % 50 == 0, group_queries=group_queries, data_block=40, pivot_queries=1).collect()
+    good = [(i, v) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    whole = [(i, np.array([int(y) for y in np.floor(256 * np.pad(np.array(v, dtype=np.float64), (0, width - len(v))))], dtype=object)) for i, v in good]
     want = []
     for n, (i, q) in enumerate(whole):
         if i % 50 == 0:
@@ -93,6 +175,29 @@ def test_search_with_odd_vectors(spark, scale, width):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_search_with_large_components(spark):
+    """Vectors of which some are far longer than the rest, against the query's SQL."""
+    rows = [(0, [1.0, 2.0]), (1, [1.5e6, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 1.0]), (50, [2e6, -3.0]), (51, [-2e6, 9.0]), (100, [0.0, 5e6]), (101, [4.0, -5e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest.voronoi_join(df, F.col("vec_id") % 50 == 0).collect()
+    c = duckdb.connect()
+    c.register("embeddings", df.toArrow())
+    want = c.sql(nearest.op6_sql()).select(*map(duckdb.ColumnExpression, ("query_id", "rank", "vec_id", "score"))).fetchall()
+    assert (0, 1, 100, 256 * 256 * 10**7) in want and sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("x", [1e18, 1e70])
+def test_a_score_that_leaves_a_long_is_an_error(spark, x):
+    df = spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leave"):
+        nearest.voronoi_join(df, F.col("vec_id") == 0).collect()
+
+
+def test_groups_hold_all_queries():
+    groups = nearest.grouped(np.array([3, 3, 3, 25, 1, 9, 2]), 10)
+    assert groups == [[0], [0], [0], [1, 2, 3], [0], [4], [5]]
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.voronoi_join(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128)]
@@ -140,6 +245,48 @@ def test_ownership_separates_examples_from_live_secrets(make):
     assert stats == {5: 5, 1: 1}
 
 
+def test_repositories_take_part_in_the_verdict(make):
+    """Two owners in many repositories make an example, one owner in as many doesn't, nor do two in few."""
+    key = lambda c: "ghp_" + f"{c}B3dE6" * 6
+    docs = [(k, f"{key('a')} in {k}", None, f"o{k % 2}") for k in range(12)] + [(100 + k, f"{key('b')} in {k}", None, "o1") for k in range(12)] + [(200 + k, f"{key('c')} in {k}", None, f"o{k % 2}") for k in range(4)]
+    rows = {r["doc_id"]: r for r in secrets.secrets(make(docs)).collect()}
+    assert all(rows[k]["spans"] == "" and rows[k]["most_repositories"] == 0 for k in range(12))
+    assert all((rows[100 + k]["n_live"], rows[100 + k]["most_owners"], rows[100 + k]["most_repositories"]) == (1, 1, 12) for k in range(12))
+    assert all((rows[200 + k]["n_live"], rows[200 + k]["most_owners"], rows[200 + k]["most_repositories"]) == (1, 2, 4) for k in range(4))
+    named = {r["doc_id"]: r["n_added"] for r in secrets.secrets(make(docs), repository="lang").collect()}
+    assert named[0] == 1  # all of them in one repository
+
+
+def test_verdicts_equal_plain_code(make):
+    r = random.Random(12)
+    pool = ["ghp_" + "".join(r.choices("abcXYZ019", k=36)) for _ in range(25)] + ["AKIA" + "".join(r.choices("ABC129", k=16)) for _ in range(9)] + [f"password={x}" for x in ("hunter22", "changeme", "s3cr3tt")] + ["deadbeef" * 3, "0123abcd" * 4]
+    docs = [(k, " ; ".join(r.choice(pool[: r.choice([3, 30, 99])]) for _ in range(r.randint(0, 4))) + r.choice(["", f" {k}"]), None, r.choice([None, "o1", "o2", "o3", "o4"])) for k in range(200)]
+    owners, repositories = {}, {}
+    for _, t, _, o in docs:
+        for _, _, _, x in secrets.candidates(t):
+            owners.setdefault(x, set()).add(o)
+            repositories.setdefault(x, set()).add(t)
+    seen = set()
+    for x in secrets.secrets(make(docs)).collect():
+        found = []
+        for s, k, e, secret in secrets.candidates(docs[x["doc_id"]][1]):
+            o, n = len(owners[secret]), len(repositories[secret])
+            verdict = "example" if o >= 3 or o == 2 and n >= 10 else "live"
+            if k < 3 or verdict == "live":
+                found.append((s, k, e, verdict, o, n))
+        assert x["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, *_ in found)
+        assert (x["n_live"], x["n_example"], x["n_spans"]) == (sum(f[3] == "live" for f in found), sum(f[3] == "example" for f in found), len(found))
+        assert (x["most_owners"], x["most_repositories"]) == (max((f[4] for f in found), default=0), max((f[5] for f in found), default=0))
+        seen.update(f[3] for f in found)
+    assert seen == {"live", "example"}
+
+
+def test_repeated_token_heads_take_time_in_proportion():
+    began = time.perf_counter()
+    secrets.candidates("eyJ" * 100_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_odd_texts(odd, none, spark, sf):
     rows = secrets.secrets(odd).collect()
     assert len(rows) == 14 and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
