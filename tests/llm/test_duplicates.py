@@ -267,6 +267,28 @@ def test_containment_and_merging(spark):
     assert r["c"] == 1.0 and r["m"] and abs(r["j"] - 0.2) < 0.06
 
 
+@pytest.mark.parametrize("block", [1, 7, 10**6])
+def test_components_of_random_links(spark, block):
+    r = np.random.default_rng(block)
+    pairs = r.integers(0, 400, (300, 2)) * 10**12
+    df = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b"]))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs.tolist():
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    assert {x["node"]: x["root"] for x in components.components(df).collect()} == {x: find(x) for x in list(parent)}
+    edges = df.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
+    stars = components.in_blocks(edges, block).withColumnsRenamed({"u": "a", "v": "b"})
+    assert {x["node"]: x["root"] for x in components.components(stars).collect()} == {x: find(x) for x in list(parent)}
+
+
 def test_list_over_many_batches(spark):
     """A list that streams in over many Arrow batches is linked like one that is held whole."""
     r = np.random.default_rng(1)
