@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import table, written
 
 #: Queries for each pivot and the most pivots; the most queries of a group, vectors of a block, and queries whose scores are held at a time.
-PIVOT_QUERIES, MOST_PIVOTS, GROUP_QUERIES, DATA_BLOCK, TILE = 64, 256, 16_384, 16_384, 128
+PIVOT_QUERIES, MOST_PIVOTS, GROUP_QUERIES, DATA_BLOCK, TILE = 8, 256, 16_384, 16_384, 128
 #: Vectors of a block at least, while there are fewer blocks than partitions.
 LEAST_BLOCK = 512
 SCALE, TOO_LARGE, LONG = 256, 2.0**200, 1 << 63
