@@ -23,7 +23,7 @@ from tessera.llm.common import table, text_or_empty
 #: Words of a shingle, and the fraction of the hash range that a sketch keeps.
 WORDS, FRACTION = 5, 0.25
 #: Rows that a range of ids holds about, in the search for the next document, and the most ranges of ids, whose bounds come to the driver.
-RANGE_ROWS, MOST_RANGES = 2_000, 65_536
+RANGE_ROWS, MOST_RANGES = 500, 65_536
 LEAST_ID, MOST_TIE = -(2**63), 2**63 - 1
 
 
