@@ -67,10 +67,13 @@ def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", truth: str =
 
 
 def class_report(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", truth: str = "label") -> DataFrame:
-    """precision, recall, f1 and support of each class of each group, and the macro and weighted averages, as rows named by ``entry``."""
-    c = confusion(df, by, pred, truth)
-    one = lambda name, tp, fp, fn: F.struct(F.lit(name).alias("entry"), F.col(tp).alias("hit"), F.col(fp).alias("over"), F.col(fn).alias("missed"))
-    rows = c.select(*by, F.explode(F.array(one("0", "tn", "fn", "fp"), one("1", "tp", "fp", "fn"))).alias("c")).select(*by, "c.*")
+    """precision, recall, f1 and support of each class that a group's predictions or labels have, and the macro and weighted averages, as rows named by ``entry``."""
+    p, y, n = F.col(pred), F.col(truth), F.col("n")
+    pairs = df.where(p.isNotNull() & y.isNotNull()).groupBy(*by, p.alias("p"), y.alias("y")).agg(F.count("*").alias("n"))
+    none, right = F.lit(0).cast("long"), F.col("p") == F.col("y")
+    one = lambda c, hit, over, missed: F.struct(F.col(c).cast("string").alias("entry"), hit.alias("hit"), over.alias("over"), missed.alias("missed"))
+    each = F.array(one("p", F.when(right, n).otherwise(none), F.when(~right, n).otherwise(none), none), one("y", none, none, F.when(~right, n).otherwise(none)))
+    rows = pairs.select(*by, F.explode(each).alias("c")).groupBy(*by, "c.entry").agg(*[F.sum(f"c.{x}").alias(x) for x in ("hit", "over", "missed")])
     hit, over, missed = F.col("hit"), F.col("over"), F.col("missed")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     per = rows.select(

@@ -19,6 +19,12 @@ def read_patches(spark: SparkSession, path: str, columns: Sequence[str] = ("slid
     return spark.read.schema(PATCHES).parquet(path).select(*columns)
 
 
+def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """path, length and modificationTime of the files below ``path`` whose names end in ``suffix``; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", "modificationTime")
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Tiles whose images are in a column ``images`` or else ``imgs`` or ``image``, as ``image``."""
     rows = spark.read.parquet(path)

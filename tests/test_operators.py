@@ -298,3 +298,11 @@ def test_limits_of_tiles(spark):
     assert sorted(r["tile_id"] for r in some) == [5, 7] and dice.compare(a, b, dice.parse_threshold("p10")).count() == 3
     assert {r["tile_id"] for r in attention.first_tiles(a, 3).collect()} == {1, 5, 7}
     assert attention.as_heads(a).columns == ["tile_id", "head", "pix", "v"]
+
+
+def test_report_of_three_classes(spark):
+    df = spark.createDataFrame([("g", p, y) for p, y in ((0, 0), (0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (None, 1), (1, None))] + [("h", 5, 7)], "m string, pred int, label int")
+    got = {(r["m"], r["entry"]): (round(r["precision"], 6), round(r["recall"], 6), r["support"]) for r in metrics.class_report(df, ["m"]).collect()}
+    assert got["g", "0"] == (1.0, 0.666667, 3) and got["g", "1"] == (0.5, 0.5, 2) and got["g", "2"] == (0.5, 1.0, 1)
+    assert got["g", "macro"] == (0.666667, 0.722222, 6) and got["g", "weighted"] == (0.75, 0.666667, 6)
+    assert got["h", "5"] == got["h", "7"][:2] + (0,) == (0.0, 0.0, 0) and got["h", "7"] == (0.0, 0.0, 1)

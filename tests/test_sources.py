@@ -83,3 +83,11 @@ def test_replacing_the_labels_of_some_slides(spark, tmp_path):
     patches.write_labels(spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("b", 0, 0)], "slide_id string, row_idx long, label int"), path)
     patches.replace_labels(spark.createDataFrame([("a", 0, 0)], "slide_id string, row_idx long, label int"), path)
     assert sorted((r["slide_id"], r["row_idx"], r["label"]) for r in spark.read.parquet(path).collect()) == [("a", 0, 0), ("b", 0, 0)]
+
+
+def test_files_by_suffix(spark, tmp_path):
+    for name in ("a.tumor.xml", "b.xml", "deep/c.tumor.xml"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = patches.list_files(spark, str(tmp_path), ".tumor.xml").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found) == ["a.tumor.xml", "c.tumor.xml"] and {r["length"] for r in found} == {1}
