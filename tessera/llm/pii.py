@@ -306,13 +306,11 @@ def personal_data(docs: DataFrame, model: Model | None = None, text: str = "text
 def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets; where spans meet, the first one's. A null text becomes empty; n_chars, if there, follows.
 
-    Without a model one is fitted on ``docs``, whose texts are written beside their proposed spans, so that patterns go over them once.
+    Without a model one is fitted on ``docs``, whose proposed spans are written for it, without their texts.
     """
     base = ", ".join(f"'{k}'" for k in BASE)
+    model = fit(written(proposals(docs, text, []), "proposals")) if model is None else model
     rows = proposals(docs, text, docs.columns)
-    if model is None:
-        rows = written(rows, "proposals")
-        model = fit(rows)
     rows = rows.withColumn("__added", added(model)).withColumn("__taken", F.expr(f"array_sort(transform(concat(filter(__votes, c -> c.kind in ({base})), __added), c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"))
     # a span that begins inside one before it is a part of that
     parts = scanned("__taken", "x.e", "greatest($a, $b)", f"if(x.s < a.at, null, named_struct('from', a.at, 's', x.s, 'kind', x.kind))", "struct<from:int,s:int,kind:string>")
