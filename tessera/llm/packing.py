@@ -32,7 +32,7 @@ from tessera.llm.common import map_rows, small_batches, table, text_or_empty
 from tessera.llm.token_counts import merger, vocabulary_path
 
 #: Characters of text that are cut up at a time, and chunks whose ids a worker remembers.
-BLOCK_CHARS, REMEMBERED = 500_000, 120_000
+BLOCK_CHARS, REMEMBERED = 500_000, 300_000
 PLAIN = re.compile("[\\x00-\u024f]*")
 #: The one letter below U+0250 whose lower case is more than letters.
 DOTTED_I = "\u0130"
