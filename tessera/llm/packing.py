@@ -102,7 +102,7 @@ class ChunkIds:
         at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         self.uses += np.bincount(at, minlength=len(self.uses))
         ids, last = self.ids_at(at).tobytes(), 0
-        for end in np.cumsum(self.sizes[at])[np.cumsum([len(c) for c in held]) - 1].tolist():
+        for end in np.r_[0, np.cumsum(self.sizes[at])][np.cumsum([len(c) for c in held])].tolist():
             yield ids[last * ID_BYTES : end * ID_BYTES]
             last = end
 

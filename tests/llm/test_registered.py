@@ -75,5 +75,5 @@ def test_op9(spark, sf, texts):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == counts and r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
 
 
-def test_names_of_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+def test_names_of_the_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 12))
