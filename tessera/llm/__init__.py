@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.alignment import op12_token_alignment
 from tessera.llm.byte_bpe import op11_byte_bpe
 from tessera.llm.fingerprints import op10_document_fingerprints
 from tessera.llm.html_text import op5_html_extraction
@@ -17,7 +18,7 @@ from tessera.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op5_html_extraction, op6_exact_topk, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints, op11_byte_bpe, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_packing, op4_language_id, op5_html_extraction, op6_exact_topk, op7_simhash_near_dedup, op8_source_mixing, op9_secret_scans, op10_document_fingerprints, op11_byte_bpe, op12_token_alignment, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
