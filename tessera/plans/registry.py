@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import align, attention, dice, geometry, grid, matching, metrics, model, rank, split, votes
+from tessera.operators import align, attention, dice, geometry, grid, matching, metrics, model, overlay, rank, split, votes
 from tessera.plans import views
 from tessera.plans.views import TILE
 from tessera.sources import patches
@@ -471,6 +471,25 @@ def rotate_grid(s, d):
     return grid.rotate_clockwise(grid.grid_snap(views.base(s, d), TILE)).select("slide_id", "row_idx", "col", "row", "n_cols", "n_rows")
 
 
+# Overlays
+
+W, H = views.PICTURE
+_blend = lambda c, tp, fn, fp: f"list_reduce(list_prepend((7 * x + 13 * y + 31 * CAST(substr(slide_id, 2) AS INTEGER) + {50 * c}) % 256::DOUBLE, list_transform(over, lambda k: CASE k WHEN 'TP' THEN {tp} WHEN 'FN' THEN {fn} ELSE {fp} END::DOUBLE)), lambda v, k: round_even(v * (1 - 0.4::DOUBLE) + k * 0.4::DOUBLE, 0))"
+
+
+@query(f"""SELECT * FROM (WITH rects AS (SELECT slide_id, row_idx, {CLASS} AS cls, greatest(CAST(floor(col * ({W}.0::DOUBLE / n_cols)) AS INTEGER) - 3, 0) AS x0, greatest(CAST(floor(row * ({H}.0::DOUBLE / n_rows)) AS INTEGER) - 3, 0) AS y0,
+    least(CAST(ceil((col + 1) * ({W}.0::DOUBLE / n_cols)) AS INTEGER) + 3, {W}) AS x1, least(CAST(ceil((row + 1) * ({H}.0::DOUBLE / n_rows)) AS INTEGER) + 3, {H}) AS y1 FROM ({SNAP.format('votes')})),
+    covered AS (SELECT r.slide_id, x, y, list(cls ORDER BY row_idx) AS over FROM (SELECT *, unnest(range(x0, x1)) AS x FROM rects WHERE cls <> 'TN') r, range(y0, y1) u(y) GROUP BY ALL),
+    canvas AS (SELECT slide_id, x, y, coalesce(over, []) AS over FROM (SELECT slide_id, x, y FROM (SELECT DISTINCT slide_id FROM base), range({W}) a(x), range({H}) b(y)) LEFT JOIN covered USING (slide_id, x, y)),
+    pixels AS (SELECT slide_id, {H} - 1 - y AS u, x AS v, CAST({_blend(0, 0, 255, 0)} AS BIGINT) AS r, CAST({_blend(1, 255, 0, 0)} AS BIGINT) AS g, CAST({_blend(2, 0, 0, 255)} AS BIGINT) AS b FROM canvas)
+    SELECT slide_id, {H} AS width, {W} AS height, CAST(sum(r) AS BIGINT) AS red, CAST(sum(g) AS BIGINT) AS green, CAST(sum(b) AS BIGINT) AS blue, CAST(sum((r + 2 * g + 3 * b) * (1 + (31 * u + 17 * v) % 97)) AS BIGINT) AS placed
+    FROM pixels GROUP BY slide_id)""")
+def overlay_sums(s, d):
+    """Sums of the channels of each slide's overlay, turned, and one that depends on where each pixel lies."""
+    rects = grid.draw_rectangles(_cells(s, d), W, H, pad=3)
+    return overlay.sums(overlay.overlay(views.pictures(s, d), rects, rows=50))
+
+
 # Dice
 
 OTSU = """SELECT tile_id, centre AS threshold FROM (SELECT tile_id, bin, centre, row_number() OVER (PARTITION BY tile_id ORDER BY

@@ -5,6 +5,8 @@ Each patch is a vector: ten slides, a grid of eight columns, a binary label, and
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,23 @@ def attention_scores(spark: SparkSession, sf_dir: str, tokens: int = 10) -> Data
     return rows.selectExpr("tile_id", "head", "i", "j", "CAST(e[32 * head + i] AS DOUBLE) * CAST(e[32 * head + 10 + j] AS DOUBLE) AS s")
 
 
+#: Width and height of the made-up slide pictures.
+PICTURE = (160, 120)
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of each slide of ``base``: channels run with x, y and the slide's number."""
+    width, height = PICTURE
+
+    @F.pandas_udf("binary")
+    def paint(number: pd.Series) -> pd.Series:
+        y, x, c = np.indices((height, width, 3))
+        return pd.Series([((7 * x + 13 * y + 31 * n + 50 * c) % 256).astype(np.uint8).tobytes() for n in number])
+
+    slides = base(spark, sf_dir).select("slide_id").distinct()
+    return slides.select("slide_id", F.lit(width).alias("width"), F.lit(height).alias("height"), paint(F.expr("CAST(substring(slide_id, 2) AS INT)")).alias("pixels"))
+
+
 #: Annotation files, one of them in a folder with a slide's name, and slide images, some of other formats.
 PATHS = [f"/ann/S{s}_v{v}.tumor.xml" for s in range(9) for v in (0, 1)] + ["/S9/other.tumor.xml"]
 IMAGES = [f"S{s}.svs" for s in range(6)] + [f"S{s}_extra.tif" for s in range(8)] + ["S3.jpg", "S7_x.TIF", "S5.tiff", "S8.png", "S6.SVS"]
