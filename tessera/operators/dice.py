@@ -9,6 +9,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,27 +41,32 @@ def histogram(value: Column, bins: int = BINS) -> Column:
     return F.least(F.floor(F.greatest(value, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
 
 
-def otsu_of(counts: Column, bins: int = BINS) -> Column:
-    """The centre of the bin that maximises the variance between the two sides, the first of equal ones, from a map of bins to counts.
+def best_bin(counts: np.ndarray) -> np.ndarray:
+    """Of each row of bins, the first whose upper edge parts it with the greatest variance between the sides.
 
     Variances are rounded before they are ranked: empty bins make ties that the last digits would break at random.
     """
-    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.coalesce(F.element_at(counts, b), F.lit(0.0)).alias("n"), ((b + 0.5) / bins).alias("centre")))
-    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.array().cast("array<struct<bin:int,w:double,s:double>>").alias("upto"))
+    bins = counts.shape[1]
+    w = np.cumsum(counts, axis=1)
+    s = np.cumsum(counts * ((np.arange(bins) + 0.5) / bins), axis=1)
+    w1 = w[:, -1:] - w  # the split lies behind a bin, so the last bin has no upper side
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.nan_to_num(w * w1 * (s / w - (s[:, -1:] - s) / w1) ** 2, nan=0.0, posinf=0.0)
+    return np.argmax(np.round(between, 6), axis=1)
 
-    def add(a: Column, x: Column) -> Column:
-        w, s = a["w"] + x["n"], a["s"] + x["n"] * x["centre"]
-        return F.struct(w.alias("w"), s.alias("s"), F.array_append(a["upto"], F.struct(x["bin"].alias("bin"), w.alias("w"), s.alias("s"))).alias("upto"))
 
-    def best(a: Column) -> Column:
-        def between(u: Column) -> Column:  # the split lies behind a bin, so the last bin has no upper side
-            w1 = a["w"] - u["w"]
-            m0, m1 = u["s"] / F.nullif(u["w"], F.lit(0.0)), (a["s"] - u["s"]) / F.nullif(w1, F.lit(0.0))
-            return F.round(F.coalesce(u["w"] * w1 * (m0 - m1) * (m0 - m1), F.lit(0.0)), 6)
+def otsu_of(counts: Column, bins: int = BINS) -> Column:
+    """The centre of the bin that maximises the variance between the two sides, the first of equal ones, from a map of bins to counts; maps come in Arrow batches."""
 
-        return (-F.array_max(F.transform(a["upto"], lambda u: F.struct(between(u).alias("v"), (-u["bin"]).alias("b"))))["b"] + 0.5) / bins
+    @F.pandas_udf("double")
+    def centres(found: pd.Series, numbers: pd.Series) -> pd.Series:
+        dense = np.zeros((len(found), bins))
+        rows = np.repeat(np.arange(len(found)), found.map(len))
+        if len(rows):
+            dense[rows, np.concatenate(found.to_list()).astype(np.int64)] = np.concatenate(numbers.to_list())
+        return pd.Series((best_bin(dense) + 0.5) / bins)
 
-    return F.aggregate(dense, start, add, best)
+    return centres(F.map_keys(counts), F.map_values(counts))
 
 
 def _counted(values: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:

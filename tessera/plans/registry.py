@@ -548,35 +548,34 @@ def otsu_threshold(s, d):
 # Attention
 
 
-def _head_mean(s, d):
-    return attention.head_mean(attention.softmax_rows(views.attention_scores(s, d)))
+def _patch_vector(s, d, tokens=10):
+    return attention.as_pixels(attention.patch_vectors(views.attention_heads(s, d, tokens), 2, tokens, 1))
 
 
 @query("SELECT tile_id, i, j, round(a, 6) AS a FROM head_mean")
 def attn_head_mean(s, d):
-    return rounded(_head_mean(s, d))
+    return rounded(attention.as_pairs(attention.head_means(views.attention_heads(s, d), 2, 10, 1), 10))
 
 
 @query("SELECT tile_id, i, j, round(a, 6) AS a FROM head_mean WHERE tile_id IN (SELECT DISTINCT tile_id FROM head_mean ORDER BY tile_id LIMIT 100)")
 def attn_tile_limit(s, d):
-    scores = attention.first_tiles(views.attention_scores(s, d))
-    return rounded(attention.head_mean(attention.softmax_rows(scores)))
+    tiles = attention.first_tiles(views.attention_heads(s, d))
+    return rounded(attention.as_pairs(attention.head_means(tiles, 2, 10, 1), 10))
 
 
 @query("SELECT tile_id, pix, round(v, 6) AS v FROM patch_vec")
 def attn_patch_vector(s, d):
-    return rounded(attention.patch_vector(_head_mean(s, d), 10))
+    return rounded(_patch_vector(s, d))
 
 
 @query("SELECT tile_id, j AS pix, round(avg(a), 6) AS v FROM (SELECT tile_id, head, i, j, exp(s - ms) / sum(exp(s - ms)) OVER (PARTITION BY tile_id, head, i) AS a FROM (SELECT *, max(s) OVER (PARTITION BY tile_id, head, i) AS ms FROM att_scores WHERE i < 9 AND j < 9)) GROUP BY tile_id, j")
 def attn_patch_vector_no_token(s, d):
-    mean = attention.head_mean(attention.softmax_rows(views.attention_scores(s, d, 9)))
-    return rounded(attention.patch_vector(mean, 9))
+    return rounded(_patch_vector(s, d, 9))
 
 
 @query("SELECT tile_id, pix, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8), 6) AS v FROM patch_vec WINDOW w AS (PARTITION BY tile_id)")
 def attn_normalize(s, d):
-    return rounded(attention.normalise(attention.patch_vector(_head_mean(s, d), 10)))
+    return rounded(attention.normalise(_patch_vector(s, d)))
 
 
 @query("""SELECT n, CAST(side AS INTEGER) AS side, CAST(n - side * side AS INTEGER) AS special FROM (SELECT n, CASE WHEN floor(sqrt(n)) * floor(sqrt(n)) = n THEN floor(sqrt(n)) ELSE floor(sqrt(n - 1)) END AS side FROM
@@ -594,7 +593,7 @@ def token_layout(s, d):
           SELECT c, least(x0 + 1, 2), fx FROM (SELECT c, x0, place - x0 AS fx FROM (SELECT c, place, floor(place) AS x0 FROM (SELECT range AS c, least(greatest((range + 0.5::DOUBLE) * 3 / 7 - 0.5, 0), 2) AS place FROM range(7))))) cc ON cc.x = pix % 3
     GROUP BY tile_id, r, c""")
 def bilinear_resize(s, d):
-    return rounded(attention.bilinear(attention.patch_vector(_head_mean(s, d), 10), 3, 7))
+    return rounded(attention.bilinear(_patch_vector(s, d), 3, 7))
 
 
 # Models and samples: no SQL gives the training's result

@@ -84,13 +84,10 @@ def maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return long(a), long(b)
 
 
-def attention_scores(spark: SparkSession, sf_dir: str, tokens: int = 10) -> DataFrame:
-    """Scores of two heads: products of the vector's parts, for tokens i and j."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = e.selectExpr("CAST(vec_id AS INT) AS tile_id", "embedding AS e").withColumn("head", F.explode(F.array(F.lit(0), F.lit(1))))
-    span = F.explode(F.sequence(F.lit(0), F.lit(tokens - 1)))
-    rows = rows.withColumn("i", span).withColumn("j", span)
-    return rows.selectExpr("tile_id", "head", "i", "j", "CAST(e[32 * head + i] AS DOUBLE) * CAST(e[32 * head + 10 + j] AS DOUBLE) AS s")
+def attention_heads(spark: SparkSession, sf_dir: str, tokens: int = 10) -> DataFrame:
+    """Queries and keys of two heads, one number for each token: parts of the vector."""
+    part = lambda at: ", ".join(f"slice(embedding, {32 * h + at + 1}, {tokens})" for h in (0, 1))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("CAST(vec_id AS INT) AS tile_id", f"concat({part(0)}) AS q", f"concat({part(10)}) AS k")
 
 
 #: Width and height of the made-up slide pictures.
