@@ -18,30 +18,37 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.byte_bpe import Encoder
+from tessera.llm.byte_bpe import byte_pairs
 from tessera.llm.common import map_rows, small_batches, table, text_or_empty, written
-from tessera.llm.packing import BLOCK_CHARS, ID_BYTES, ChunkIds
-from tessera.llm.token_counts import vocabulary_path
+from tessera.llm.packing import BLOCK_CHARS, ChunkIds
+from tessera.llm.token_counts import PRE_TOKEN, SOLID, SPACE, vocabulary_path
 
 #: Bytes and documents of a block, blocks of a task's links, and first ids of a stripe: a stripe's matrix has so many rows.
 BLOCK_BYTES, BLOCK_DOCS, GROUP_BLOCKS, STRIPE_IDS = 4_000_000, 1_000, 256, 512
 #: Bits of a document's number in its block.
 DOC_BITS = 16
 SPACE_MARK = "▁"
-#: The vocabulary takes the mark itself for a space.
-SPACED = re.compile(f"[ {SPACE_MARK}]*[^ {SPACE_MARK}]+|[ {SPACE_MARK}]+")
+#: A word and the white space before it, and white space at the end. Words part only before a space or line feed: pieces hold other white space behind marks. SPACE_MARK is a letter here.
+OTHER = r"[^\S\x1c-\x1f \n]"
+SPACED = re.compile(f"{SPACE}*{SOLID}+(?:{OTHER}{SPACE}*{SOLID}*)*|{SPACE}+")
+#: What is added to ids of the second vocabulary, and the mark of a chunk that it doesn't give back.
+SECOND, INEXACT = 1 << 31, (1 << 32) - 1
+#: Pre-tokens whose ids a worker remembers beside its chunks.
+REMEMBERED_WORDS = 250_000
 
 
 class Pieces:
-    """A vocabulary of pieces with byte fallback, the bytes of each, and whether a text may be cut before the spaces behind a word."""
+    """A vocabulary of pieces with byte fallback, the bytes of each, and whether a text may be cut behind a word: no piece holds a space or line feed behind anything else."""
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,7 +57,7 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(names)]
         self.lengths = np.fromiter(map(len, self.bytes), dtype=np.int64, count=self.size)
         self.space = self.model.piece_to_id(SPACE_MARK)
-        self.cut = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in names)
+        self.cut = not any(re.search(f"[^ \n{SPACE_MARK}][ \n{SPACE_MARK}]", p) for p in names)
 
 
 @lru_cache(maxsize=4)
@@ -58,17 +65,21 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class PieceIds(ChunkIds):
-    """Ids of whole texts, to whose front the vocabulary adds a space, as little-endian 32-bit integers; each distinct chunk, a word and the spaces before it, is encoded once."""
+class PairIds(ChunkIds):
+    """Ids of a space and a text under both vocabularies, as little-endian 32-bit integers: the second's have SECOND added.
 
-    def __init__(self, vocab: str):
-        self.pieces = pieces(vocabulary_path(vocab))
+    Each distinct chunk, a word and the white space before it, is encoded once. A chunk that the second vocabulary doesn't give back byte by byte has INEXACT among its ids.
+    """
+
+    def __init__(self, vocab_a: str, vocab_b: str):
+        self.bpe, self.pattern, self.pieces = byte_pairs(vocabulary_path(vocab_a)), regex.compile(PRE_TOKEN), pieces(vocabulary_path(vocab_b))
         self.forget()
 
+    def forget(self) -> None:
+        super().forget()
+        self.words: dict[str, list[int]] = {}
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if not self.pieces.cut:
-            yield from map(self.whole, texts)
-            return
         held, chars = [], 0
         for text in texts:
             held.append(SPACED.findall(" " + text) if text else [])
@@ -79,22 +90,41 @@ class PieceIds(ChunkIds):
         if held:
             yield from self.block(held)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.pieces.model.encode(text), dtype="<u4").tobytes()
+    def first(self, chunk: str) -> list[int]:
+        words, out = self.words, []
+        for word in self.pattern.findall(chunk):
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self.bpe.encode(word)
+            out += ids
+        return out
+
+    def second(self, chunks: list[str]) -> Iterator[list[int]]:
+        """The model puts a space before what it is given: that of a chunk, or one that goes again."""
+        model, space, bytes_of = self.pieces.model, self.pieces.space, self.pieces.bytes
+        found = model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for chunk, ids in zip(chunks, found, strict=True):
+            if chunk[0] != " ":
+                ids = ids[1:] if ids and ids[0] == space else [INEXACT]
+            elif chunk == " ":
+                ids = [space]
+            exact = ids != [INEXACT] and b"".join([bytes_of[i] for i in ids]) == chunk.encode()
+            yield [SECOND + i for i in ids] if exact else [INEXACT]
 
     def learn(self, new: set[str]) -> None:
         chunks = list(new)
-        found = self.pieces.model.encode([c[1:] for c in chunks], num_threads=1)
-        found = [[self.pieces.space] if len(c) == 1 and c in " " + SPACE_MARK else ids for c, ids in zip(chunks, found, strict=True)]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        found = [a + b for a, b in zip(map(self.first, chunks), self.second(chunks), strict=True)] if chunks else []
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.add(chunks, np.fromiter((i for ids in found for i in ids), dtype="<u4", count=int(sizes.sum())), sizes)
+        self.add(chunks, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum())), sizes)
 
 
 class Aligned:
     """The tokens of a block of texts, one after another, and what their ends say. ``sizes``: the bytes of each text with its space, 0 for one without tokens."""
 
-    def __init__(self, a: list[bytes], b: list[bytes], lengths_a: np.ndarray, lengths_b: np.ndarray, sizes: list[int]):
-        self.a, self.b = (np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64) for ids in (a, b))
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], lengths_a: np.ndarray, lengths_b: np.ndarray, sizes: list[int]):
+        self.a, self.b = (np.concatenate(ids).astype(np.int64) for ids in (a, b))
         ends_a, ends_b, doc_ends = np.cumsum(lengths_a[self.a]), np.cumsum(lengths_b[self.b]), np.cumsum(sizes)
         at_a, at_b = (np.zeros(sum(sizes) + 1, dtype=bool) for _ in range(2))
         at_a[ends_a] = at_b[ends_b] = True
@@ -149,32 +179,31 @@ class Aligner:
     """Aligns texts under two vocabularies: a byte-level one, given a space and the text, and one of pieces, which adds the space itself."""
 
     def __init__(self, vocab_a: str, vocab_b: str):
-        self.encoder, self.pieces = Encoder(vocab_a), PieceIds(vocab_b)
-        self.size_a, self.size_b = self.encoder.bpe.size, self.pieces.pieces.size
-        self.lengths_a = np.array(self.encoder.bpe.lengths, dtype=np.int64)
+        self.ids = PairIds(vocab_a, vocab_b)
+        self.size_a, self.size_b = self.ids.bpe.size, self.ids.pieces.size
+        self.lengths_a = np.array(self.ids.bpe.lengths, dtype=np.int64)
         self.stripes = -(-self.size_a // STRIPE_IDS)
 
-    def tokens_of_pieces(self, texts: list[str]) -> Iterator[bytes | None]:
-        """The second vocabulary's ids of each text; None where their bytes aren't the text's."""
-        model, bytes_of = self.pieces, self.pieces.pieces.bytes
-        for text, ids in zip(texts, model(texts), strict=True):
-            want = b" " + text.encode()
-            for found in (lambda ids=ids: ids, lambda text=text: model.whole(text)):  # the second: as one text, should cutting it have changed anything
-                ids = found()
-                if b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) == want:
-                    yield ids
-                    break
-            else:
-                yield None
+    def whole(self, text: str) -> np.ndarray:
+        """The second vocabulary's ids of a text that it wasn't given in chunks; none if their bytes aren't the text's."""
+        ids = self.ids.pieces.model.encode(text)
+        exact = b"".join([self.ids.pieces.bytes[i] for i in ids]) == b" " + text.encode()
+        return np.array(ids if exact else [], dtype="<u4")
 
     def __call__(self, texts: list[str]) -> Aligned:
-        b = list(self.tokens_of_pieces(texts))
-        a = list(self.encoder([" " + t if ids else "" for t, ids in zip(texts, b, strict=True)]))
-        sizes = [len(t.encode()) + 1 if ids else 0 for t, ids in zip(texts, b, strict=True)]
-        for k, (ids, size) in enumerate(zip(a, sizes, strict=True)):
-            if self.lengths_a[np.frombuffer(ids, dtype="<u4")].sum() != size:
-                raise ValueError(f"byte-level tokens of text {k} don't give its bytes")
-        return Aligned(a, [ids or b"" for ids in b], self.lengths_a, self.pieces.pieces.lengths, sizes)
+        a, b, sizes = [], [], []
+        for text, packed in zip(texts, self.ids(texts), strict=True):
+            ids = np.frombuffer(packed, dtype="<u4")
+            first = ids < SECOND
+            one, two = ids[first], ids[~first]
+            two = two - np.uint32(SECOND) if self.ids.pieces.cut and not (two == INEXACT).any() else self.whole(text)
+            size = len(text.encode()) + 1 if len(two) else 0
+            if size and self.lengths_a[one].sum() != size:
+                raise ValueError("byte-level tokens don't give back a text's bytes")
+            a.append(one if size else two)
+            b.append(two)
+            sizes.append(size)
+        return Aligned(a, b, self.lengths_a, self.ids.pieces.lengths, sizes)
 
 
 def blocks_of(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -221,8 +250,7 @@ def encoded(docs: DataFrame, vocab_a: str, vocab_b: str, id_col: str = "doc_id",
                 if rows:
                     yield frame({"block": number, **{n: [r[k] for r in rows] for k, n in enumerate(("stripe", "cells", "docs", "times"))}}, len(rows))
                 number += 1
-        align.encoder.forget()
-        align.pieces.forget()
+        align.ids.forget()
 
     kinds = {"block": "long", "at": "int", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "stripe": "int", "cells": "binary", "docs": "binary", "times": "binary"}
 

@@ -121,12 +121,10 @@ class BytePairs:
                 j += 1
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a * self.size + b
-        known = self.may.get(key)
-        if known is None:
-            if len(self.may) >= REMEMBERED_PAIRS:
-                self.may.clear()
-            known = self.may[key] = self.side_by_side(a, b)
+        """``side_by_side``, remembered in ``may``."""
+        if len(self.may) >= REMEMBERED_PAIRS:
+            self.may.clear()
+        known = self.may[a * self.size + b] = self.side_by_side(a, b)
         return known
 
     def encode(self, word: str) -> list[int]:
@@ -139,14 +137,17 @@ class BytePairs:
         size, may, last = self.size, self.may, tokens[0]
         for k in range(1, len(tokens)):
             token = tokens[k]
-            if not (may.get(last * size + token) or self.compatible(last, token)):
+            fits = may.get(last * size + token)
+            if fits is None:
+                fits = self.compatible(last, token)
+            if not fits:
                 return self.backtrack(word, tokens[:k], token)
             last = token
         return tokens
 
     def backtrack(self, word: str, tokens: list[int], refused: int) -> list[int]:
         """The ids of a pre-token, as Latin-1, of which ``tokens`` agree with each other and the longest behind them, ``refused``, doesn't."""
-        lengths, shorter, compatible, longest = self.lengths, self.shorter, self.compatible, self.automaton.iter_long
+        lengths, shorter, may, size, longest, whole = self.lengths, self.shorter, self.may, self.size, self.automaton.iter_long, len(word)
         at, dead, token = sum(map(lengths.__getitem__, tokens)), set(), shorter[refused]
         while True:
             while token < 0:  # nothing may begin here: the token before must be another
@@ -155,11 +156,18 @@ class BytePairs:
                 at -= lengths[last]
                 token = shorter[last]
             end = at + lengths[token]
-            if end in dead or tokens and not compatible(tokens[-1], token):
+            if end in dead:
                 token = shorter[token]
                 continue
+            if tokens:
+                fits = may.get(tokens[-1] * size + token)
+                if fits is None:
+                    fits = self.compatible(tokens[-1], token)
+                if not fits:
+                    token = shorter[token]
+                    continue
             tokens.append(token)
-            if end == len(word):
+            if end == whole:
                 return tokens
             at, token = end, next(longest(word, end))[1]
 

@@ -100,9 +100,21 @@ def random_docs(n, seed=0):
     return [(k, "".join(r.choices(MARKS, k=r.randint(0, 40)))) for k in range(n)]
 
 
-def test_cut_texts_give_the_library_s_pieces():
-    texts = [t for _, t in random_docs(3000, 4)] + ["", " ", "   ", "a", "a ", " a", "\n", "x  y ", "a" * 3000]
-    assert [alignment.np.frombuffer(x, "<u4").tolist() for x in alignment.PieceIds("piece_bpe_32k.model")(texts)] == [B.encode(t) for t in texts]
+def second(align, texts):
+    found = align(texts)
+    cuts = found.n_b.cumsum()[:-1]
+    return [x.tolist() for x in alignment.np.split(found.b, cuts)]
+
+
+def test_cut_texts_give_the_library_s_pieces(monkeypatch):
+    texts = [t for _, t in random_docs(3000, 4)] + ["", " ", "   ", "a", "a ", " a", "\n", "x  y ", "a" * 3000, "a\n b", "\n\n  c", "\u3000d \u3000", "e\x1c f", "a;\r\n b);\r", "\t  a\r\r b\r \r"]
+    align = alignment.Aligner("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
+    want = [[i for i, _, _ in plain(t)[1]] for t in texts]
+    assert align.ids.pieces.cut and second(align, texts) == want
+    chunks = alignment.np.concatenate([alignment.np.frombuffer(x, "<u4") for x in align.ids([t for t, w in zip(texts, want, strict=True) if w])])
+    assert (chunks != alignment.INEXACT).all()  # whole texts are encoded only where bytes are lost
+    monkeypatch.setattr(align.ids.pieces, "cut", False)
+    assert second(align, texts) == want
 
 
 def test_groups_links_and_counts_of_random_texts(make, monkeypatch):
@@ -139,11 +151,12 @@ def test_odd_rows(odd, none):
     assert {r["n_links"] for r in alignment.alignment(nothing).collect()} == {0}
 
 
-def test_a_vocabulary_whose_pieces_cross_spaces_isn_t_cut(monkeypatch):
-    model = alignment.PieceIds("piece_bpe_32k.model")
-    monkeypatch.setattr(model.pieces, "cut", False)
-    texts = [t for _, t in random_docs(50, 9)]
-    assert [alignment.np.frombuffer(x, "<u4").tolist() for x in model(texts)] == [B.encode(t) for t in texts]
+def test_forgotten_chunks_are_learnt_again(monkeypatch):
+    monkeypatch.setattr("tessera.llm.packing.REMEMBERED", 50)
+    monkeypatch.setattr(alignment, "REMEMBERED_WORDS", 20)
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", 200)
+    texts = [t for _, t in random_docs(300, 9)]
+    assert second(alignment.Aligner("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"), texts) == [[i for i, _, _ in plain(t)[1]] for t in texts]
 
 
 @pytest.mark.parametrize("name", ["op12_token_alignment"])
