@@ -50,6 +50,9 @@ ASIDE_WORDS = frozenset(
 )
 STRONG_WORDS = frozenset("comment comments cookie cookies newsletter promo promos promotion related replies respond share sharing sidebar sidebars sponsor sponsored sponsors".split())
 ARTICLE_WORDS = frozenset("article articles body content entry hentry main page post story text".split())
+#: Words that make a name that ends in them one of reader comments, and those before a header that is the article's own.
+COMMENT_ENDS = frozenset("discussion discussions reviews reply response responses feedback".split())
+OWN_HEADERS = frozenset("entry post article story hentry".split())
 #: "has-sidebar" says what else a page has.
 ABOUT_OTHERS = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "without_")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -65,6 +68,18 @@ def words_of(names: str) -> set[str]:
     return {w.lower() for name in names.split() if not name.lower().startswith(ABOUT_OTHERS) for w in WORD.findall(name)}
 
 
+def roles_of(names: str) -> tuple[bool, bool]:
+    """Whether a name says that its element is apart though it may have an article's word too, as the last of several words does ("main-menu"), and whether it says so of comments."""
+    apart = comments = False
+    for name in names.split():
+        if name.lower().startswith(ABOUT_OTHERS):
+            continue
+        words = [w.lower() for w in WORD.findall(name)]
+        comments |= bool(words) and words[-1] in COMMENT_ENDS or any(w.startswith("comment") and not w.startswith("commentar") for w in words)
+        apart |= len(words) > 1 and words[-1] in ASIDE_WORDS and not (words[-1] == "header" and words[-2] in OWN_HEADERS)
+    return apart, comments
+
+
 class Page:
     """The tree of one page: block elements as parallel lists, and blocks of text in page order."""
 
@@ -163,10 +178,11 @@ class Page:
         if attributes:
             if attributes.get("role", "").lower() in ROLES_APART or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or UNSEEN.search(attributes.get("style", "")):
                 own |= ITSELF
-            words = words_of(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-            like_article = not words.isdisjoint(ARTICLE_WORDS)
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+            words, (ends_apart, comments) = words_of(names), roles_of(names)
+            like_article = not words.isdisjoint(ARTICLE_WORDS) and (name == "article" or not ends_apart)
             if name not in ("body", "html", "main"):
-                if not words.isdisjoint(STRONG_WORDS) and (name != "article" or not like_article):
+                if (comments or not words.isdisjoint(STRONG_WORDS)) and (name != "article" or not like_article):
                     own |= BY_CLASS | STRONGLY
                 elif name != "article" and not like_article and not words.isdisjoint(ASIDE_WORDS):
                     own |= BY_CLASS

@@ -129,3 +129,28 @@ def test_pages_of_the_small_table(spark, sf):
         inner = p["html"].split("<article>", 1)[1].split("</article>", 1)[0]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", inner))
         assert rows[p["page_id"]].replace("\n", " ") == " ".join(b for b in blocks if b)
+
+
+#: Names whose last word says what an element is, beside words that containers of articles have too, and names that only look like it.
+APART_NAMES = ["main-menu", "main-nav", "page-header", "page-footer", "content-ad", "main-banner", "mainBanner", "story-newsletter", "commentlist", "comment-list", "discussion", "user-reviews", "post-responses", "body_toolbar", "page-breadcrumbs", "post-share", "text-legal"]
+KEPT_NAMES = ["menu-page", "footer-content", "entry-header", "post-header", "navy", "film-review", "commentary", "has-sidebar", "article-body", "banner-story-text"]
+
+
+def test_the_last_word_of_a_name_decides():
+    r = random.Random(8)
+    compound = [f"{a}{s}{b}" for a in ("main", "page", "post", "content", "body", "story", "text") for s in "-_" for b in r.sample(sorted(html_text.ASIDE_WORDS - {"header"}), 6)]
+    for name in APART_NAMES + compound:
+        for attribute in (f'class="{name}"', f'id="{name}"', f'class="x1 {name} wide"'):
+            aside = f"<div {attribute}><p>{LONG}</p><p>{LONG}</p></div>"
+            article = f"<p>One. {LONG}</p>{{}}<p>Two. {LONG}</p>"
+            want = f"One. {LONG}\nTwo. {LONG}"
+            for opening, closing in (("<article>", "</article>"), ("<div id=content>", "</div>"), ("<div>", "</div>")):
+                places = (f"{opening}{article.format(aside)}{closing}", f"{aside}{opening}{article.format('')}{closing}", f"{opening}{article.format('')}{closing}{aside}")
+                for body in places[0 if opening != "<div>" else 1 :]:
+                    assert html_text.main_text(f"<html><body>{body}</body></html>") == want, body
+
+
+def test_names_that_begin_with_an_aside_word_stay():
+    for name in KEPT_NAMES:
+        page = f'<html><body><article><p>One. {LONG}</p><div class="{name}"><p>{LONG}</p></div></article></body></html>'
+        assert html_text.main_text(page) == f"One. {LONG}\n{LONG}", name
