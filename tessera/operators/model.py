@@ -1,16 +1,16 @@
-"""Multilayer perceptrons over feature arrays: scoring by Arrow batches, and one training task for each source.
+"""Multilayer perceptrons over feature arrays: scoring by Arrow batches, and training over shards of each source whose parameters are averaged once an epoch.
 
 A network is linear layers with ReLU between them; batch normalisation is folded into the layer before it, and dropout is there in training alone.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ from tessera.operators.split import shuffled_rank
 HIDDEN = (512, 512, 256)
 #: Units that training leaves out of each of these layers.
 DROPOUT = (0.3, 0.3, 0.2)
-#: Rows of a source that its network learns from at most.
-MOST_ROWS = 1_000_000
+#: Rows of a shard at most, and partitions whose sums one task adds up.
+SHARD_ROWS, MANY = 16_384, 64
 #: Rows that are scored at a time when a network is validated.
 BLOCK = 4096
 
@@ -86,29 +86,104 @@ def score(df: DataFrame, network: Network, features: str = "features", name: str
     return rows.withColumns({f"pred{name}": F.col("__s.pred"), f"prob{name}": F.col("__s.prob")}).drop("__s")
 
 
-@dataclass
-class Rows:
-    """Some rows of a matrix on disk, in a given order, which are read as they are asked for."""
+def folded(weights: list[np.ndarray], biases: list[np.ndarray], norms: list[dict[str, np.ndarray]]) -> Network:
+    """A network with each layer's normalisation, by its running mean and variance, folded into it."""
+    pairs = [fold_batch_norm(w, b, n["mean"], n["var"], n["gain"], n["shift"]) if n else (w.copy(), b.copy()) for w, b, n in zip(weights, biases, norms, strict=True)]
+    return Network([w for w, _ in pairs], [b for _, b in pairs])
 
-    stored: np.ndarray
-    places: np.ndarray
 
-    @property
-    def shape(self) -> tuple[int, int]:
-        return len(self.places), self.stored.shape[1]
+class Trainer:
+    """A network in training by Adam on weighted cross-entropy: its parameters, their moments and the running statistics of its normalisation, which all go into one vector."""
 
-    def __getitem__(self, i) -> np.ndarray:
-        return np.asarray(self.stored[self.places[i]])
+    def __init__(self, width: int, hidden: Sequence[int] = (32,), classes: int = 2, weights: np.ndarray | None = None, batch: int = 128, rate: float = 1e-3, seed: int = 42, norm: bool = False, dropout: Sequence[float] = (), drop_last: bool = False):
+        self.net, self.batch, self.rate, self.drop_last, self.step = initial(width, hidden, classes, seed), batch, rate, drop_last, 0
+        self.last = len(self.net.weights) - 1
+        self.norms = [{"gain": np.ones(n), "shift": np.zeros(n), "mean": np.zeros(n), "var": np.ones(n)} if norm and k < self.last else {} for k, n in enumerate([*hidden, classes])]
+        self.params = [*self.net.weights, *self.net.biases, *[n[p] for p in ("gain", "shift") for n in self.norms if n]]
+        self.m, self.v = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+        self.weights = np.ones(classes) if weights is None else weights
+        self.drops = [*dropout, *[0.0] * (self.last - len(dropout))]
 
+    def _all(self) -> list[np.ndarray]:
+        return [*self.params, *self.m, *self.v, *[n[p] for p in ("mean", "var") for n in self.norms if n]]
 
-def folded(weights: list[np.ndarray], biases: list[np.ndarray], norms: list[dict[str, np.ndarray]]) -> Network:
-    """A network with each layer's normalisation, by its running mean and variance, folded into it."""
-    pairs = [fold_batch_norm(w, b, n["mean"], n["var"], n["gain"], n["shift"]) if n else (w.copy(), b.copy()) for w, b, n in zip(weights, biases, norms, strict=True)]
-    return Network([w for w, _ in pairs], [b for _, b in pairs])
+    def vector(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self._all()])
+
+    def load(self, vector: np.ndarray, step: int) -> None:
+        at, self.step = 0, step
+        for a in self._all():
+            a[...] = vector[at : at + a.size].reshape(a.shape)
+            at += a.size
+
+    def folded(self) -> Network:
+        return folded(self.net.weights, self.net.biases, self.norms)
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, random: np.random.Generator) -> list[float]:
+        """Goes once over the rows in batches of a random order; the loss of each batch."""
+        order, losses = random.permutation(len(y)), []
+        for at in range(0, len(y), self.batch):
+            i = order[at : at + self.batch]
+            if self.drop_last and len(i) < self.batch and at:
+                break
+            losses.append(self.learn(x[i], y[i], random))
+        return losses
+
+    def learn(self, x: np.ndarray, y: np.ndarray, random: np.random.Generator) -> float:
+        """One step on a batch; its loss."""
+        net, norms, last, n = self.net, self.norms, self.last, len(y)
+        acts, seen = [x], []
+        for k, (w, b) in enumerate(zip(net.weights, net.biases, strict=True)):
+            z = acts[-1] @ w + b
+            if k == last:
+                acts.append(z)
+                break
+            unit, scale = None, None
+            if norms[k]:
+                mean, var = z.mean(axis=0), z.var(axis=0)
+                scale = 1 / np.sqrt(var + 1e-5)
+                unit = (z - mean) * scale
+                z = unit * norms[k]["gain"] + norms[k]["shift"]
+                norms[k]["mean"] += 0.1 * (mean - norms[k]["mean"])
+                norms[k]["var"] += 0.1 * (var * n / max(1, n - 1) - norms[k]["var"])
+            stays = (random.random(z.shape) >= self.drops[k]) / (1 - self.drops[k]) if self.drops[k] else 1.0
+            seen.append((z > 0, stays, unit, scale))
+            acts.append(np.maximum(z, 0) * stays)
+        z = acts[-1] - acts[-1].max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        own = self.weights[y]
+        loss = float(-(own * np.log(p[np.arange(n), y] + 1e-12)).sum() / own.sum())
+        grad = p.copy()
+        grad[np.arange(n), y] -= 1
+        grad *= (own / own.sum())[:, None]
+        gw, gb, gains, shifts = [], [], [], []
+        for k in range(last, -1, -1):
+            if k < last:
+                positive, stays, unit, scale = seen[k]
+                grad = grad * stays * positive
+                if unit is not None:
+                    gains.insert(0, (grad * unit).sum(axis=0))
+                    shifts.insert(0, grad.sum(axis=0))
+                    grad = grad * norms[k]["gain"]
+                    grad = scale * (grad - grad.mean(axis=0) - unit * (grad * unit).mean(axis=0))
+            gw.insert(0, acts[k].T @ grad)
+            gb.insert(0, grad.sum(axis=0))
+            grad = grad @ net.weights[k].T if k else grad
+        self.step += 1
+        for q, g, mm, vv in zip(self.params, [*gw, *gb, *gains, *shifts], self.m, self.v, strict=True):
+            mm += 0.1 * (g - mm)
+            vv += 0.001 * (g * g - vv)
+            q -= self.rate * (mm / (1 - 0.9**self.step)) / (np.sqrt(vv / (1 - 0.999**self.step)) + 1e-8)
+        return loss
+
+
+def right_of(network: Network, x: np.ndarray, y: np.ndarray) -> int:
+    """How many rows a network tells the class of, a block at a time."""
+    return sum(int((network.logits(x[at : at + BLOCK]).argmax(axis=1) == y[at : at + BLOCK]).sum()) for at in range(0, len(y), BLOCK))
 
 
 def fit(
-    x: np.ndarray | Rows, y: np.ndarray, validate: tuple[np.ndarray | Rows, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42,
+    x: np.ndarray, y: np.ndarray, validate: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42,
     classes: int = 2, norm: bool = False, dropout: Sequence[float] = (), drop_last: bool = False,
 ) -> tuple[Network, list[tuple[int, float, float]]]:
     """The network of the best epoch by validation accuracy (the earliest of equal ones), by Adam on weighted cross-entropy; and (epoch, loss, acc).
@@ -116,105 +191,111 @@ def fit(
     ``norm``: batch normalisation behind each hidden layer, which the result has folded in. ``dropout``: each hidden layer's share of units that a batch leaves out.
     ``drop_last``: an epoch's last batch is left out if it is short, unless it is the only one.
     """
-    random, net = np.random.default_rng(seed), initial(x.shape[1], hidden, classes, seed)
-    last = len(net.weights) - 1
-    norms = [{"gain": np.ones(n), "shift": np.zeros(n), "mean": np.zeros(n), "var": np.ones(n)} if norm and k < last else {} for k, n in enumerate([*hidden, classes])]
-    params = [*net.weights, *net.biases, *[n[p] for p in ("gain", "shift") for n in norms if n]]
-    m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    weights = np.ones(classes) if weights is None else weights
-    drops = [*dropout, *[0.0] * (last - len(dropout))]
-    best, best_acc, log = None, -1.0, []
+    trainer, best, best_acc, log = Trainer(x.shape[1], hidden, classes, weights, batch, rate, seed, norm, dropout, drop_last), None, -1.0, []
     for epoch in range(epochs):
-        order, losses = random.permutation(len(y)), []
-        for at in range(0, len(y), batch):
-            i = order[at : at + batch]
-            if drop_last and len(i) < batch and at:
-                break
-            acts, seen = [x[i]], []
-            for k, (w, b) in enumerate(zip(net.weights, net.biases, strict=True)):
-                z = acts[-1] @ w + b
-                if k == last:
-                    acts.append(z)
-                    break
-                unit, scale = None, None
-                if norms[k]:
-                    mean, var = z.mean(axis=0), z.var(axis=0)
-                    scale = 1 / np.sqrt(var + 1e-5)
-                    unit = (z - mean) * scale
-                    z = unit * norms[k]["gain"] + norms[k]["shift"]
-                    norms[k]["mean"] += 0.1 * (mean - norms[k]["mean"])
-                    norms[k]["var"] += 0.1 * (var * len(i) / max(1, len(i) - 1) - norms[k]["var"])
-                stays = (random.random(z.shape) >= drops[k]) / (1 - drops[k]) if drops[k] else 1.0
-                seen.append((z > 0, stays, unit, scale))
-                acts.append(np.maximum(z, 0) * stays)
-            z = acts[-1] - acts[-1].max(axis=1, keepdims=True)
-            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-            own = weights[y[i]]
-            losses.append(float(-(own * np.log(p[np.arange(len(i)), y[i]] + 1e-12)).sum() / own.sum()))
-            grad = p.copy()
-            grad[np.arange(len(i)), y[i]] -= 1
-            grad *= (own / own.sum())[:, None]
-            gw, gb, gains, shifts = [], [], [], []
-            for k in range(last, -1, -1):
-                if k < last:
-                    positive, stays, unit, scale = seen[k]
-                    grad = grad * stays * positive
-                    if unit is not None:
-                        gains.insert(0, (grad * unit).sum(axis=0))
-                        shifts.insert(0, grad.sum(axis=0))
-                        grad = grad * norms[k]["gain"]
-                        grad = scale * (grad - grad.mean(axis=0) - unit * (grad * unit).mean(axis=0))
-                gw.insert(0, acts[k].T @ grad)
-                gb.insert(0, grad.sum(axis=0))
-                grad = grad @ net.weights[k].T if k else grad
-            step += 1
-            for q, g, mm, vv in zip(params, [*gw, *gb, *gains, *shifts], m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.001 * (g * g - vv)
-                q -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-        now, right = folded(net.weights, net.biases, norms), 0
-        for at in range(0, len(validate[1]), BLOCK):
-            right += int((now.logits(validate[0][at : at + BLOCK]).argmax(axis=1) == validate[1][at : at + BLOCK]).sum())
-        acc = right / len(validate[1]) if len(validate[1]) else 0.0
+        losses, now = trainer.epoch(x, y, np.random.default_rng([seed, epoch, 0])), trainer.folded()
+        acc = right_of(now, *validate) / len(validate[1]) if len(validate[1]) else 0.0
         log.append((epoch, float(np.mean(losses)) if losses else 0.0, acc))
         if acc > best_acc:
             best, best_acc = now, acc
-    return best or folded(net.weights, net.biases, norms), log
+    return best or trainer.folded(), log
+
 
+SHARDS = "source_id string, shard long, x binary, y binary, val_x binary, val_y binary"
+STEPS = "source_id string, n long, step long, vector binary, loss double, batches long, correct long, checked long"
 
-def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, most: int = MOST_ROWS, **how) -> DataFrame:
-    """One model for each source_id, trained side by side, from (source_id, row_idx, split, features, label).
 
-    Rows: model, layer, inputs, outputs, w, b, best_acc. ``how``: what else ``fit`` takes. A source is one task's, as any model is that is trained in one place, so its task takes ``most`` rows
-    at most: those of lowest hash of row_idx, in a source with more. Their features stream to a temporary file of the worker, from which batches are
-    read, so memory holds a batch of them and a few numbers of each row.
+def packed_shards(rows: DataFrame, shard_rows: int, seed: int) -> DataFrame:
+    """The rows of each source, in hash order dealt to shards of ``shard_rows`` at most, as matrices: one row a shard, and rows of a shard in order of row_idx."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("row_idx", kind="stable"), {}
+        for split, names in (("train", ("x", "y")), ("validation", ("val_x", "val_y"))):
+            part = pdf[pdf["split"] == split]
+            x = np.stack(part["features"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 0))
+            out[names[0]], out[names[1]] = [x.tobytes()], [part["label"].to_numpy(np.int64).tobytes()]
+        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "shard": pdf["shard"].iloc[0]} | out)
+
+    ranked = shuffled_rank(rows.where("split IN ('train', 'validation')"), F.col("row_idx"), ["source_id"], seed)
+    shard = F.col("rank") % F.ceil(F.col("n") / shard_rows)
+    dealt = ranked.select(F.col("source_id").cast("string").alias("source_id"), shard.alias("shard"), "row_idx", "split", "features", "label")
+    return dealt.groupBy("source_id", "shard").applyInPandas(pack, SHARDS)
+
+
+def summed(steps: DataFrame) -> DataFrame:
+    """The steps of each source added up, vectors by n. A task holds one sum at a time; beyond MANY partitions sums go through lanes first."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, total, vector = None, None, None
+        done = lambda: pd.DataFrame([(source, int(total[0]), int(total[1]), (vector / max(1, total[0])).tobytes(), *total[2:])], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                one = np.frombuffer(r.vector, dtype=np.float64) * r.n
+                if r.source_id != source:
+                    if source is not None:
+                        yield done()
+                    source, total, vector = r.source_id, [0, 0, 0.0, 0, 0, 0], np.zeros_like(one)
+                vector += one
+                total = [total[0] + r.n, max(total[1], r.step), total[2] + r.loss, total[3] + r.batches, total[4] + r.correct, total[5] + r.checked]
+        if source is not None:
+            yield done()
+
+    if steps.rdd.getNumPartitions() > MANY:
+        lanes = steps.withColumn("lane", F.spark_partition_id() % MANY)
+        steps = lanes.repartition("source_id", "lane").sortWithinPartitions("source_id").drop("lane").mapInPandas(add, STEPS)
+    return steps.repartition("source_id").sortWithinPartitions("source_id").mapInPandas(add, STEPS)
+
+
+def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, shard_rows: int = SHARD_ROWS, **how) -> DataFrame:
+    """One model for each source_id from all its rows (source_id, row_idx, split, features, label), all sources and their shards side by side.
+
+    Rows: model, layer, inputs, outputs, w, b, best_acc. ``how``: what else ``Trainer`` takes. In an epoch every shard goes on from the same parameters over its own rows; what comes out is averaged by rows,
+    moments and running statistics too, and is the next epoch's start. So a source of one shard is trained as ``fit`` does it, and one of many by as many tasks. What a job tells of accuracy is that
+    of the parameters it began with. Models and their moments go through the driver, once an epoch; rows never do. A source without rows to train from has no model.
     """
-    rows = shuffled_rank(rows, F.col("row_idx"), ["source_id"], seed).where(F.col("rank") <= most).drop("rank", "n")
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with tempfile.TemporaryFile() as stored:
-            labels, splits, numbers, source, width = [], [], [], None, 0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                part = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-                stored.write(part.tobytes())
-                source, width = str(pdf["source_id"].iloc[0]), part.shape[1]
-                labels.append(pdf["label"].to_numpy(np.int64))
-                splits.append(pdf["split"].map({"train": 0, "validation": 1}).fillna(2).to_numpy(np.int8))
-                numbers.append(pdf["row_idx"].to_numpy())
-            stored.flush()
-            y, which = np.concatenate(labels), np.concatenate(splits)
-            order = np.argsort(np.concatenate(numbers), kind="stable")
-            x = np.memmap(stored, dtype=np.float64, mode="r", shape=(len(y), width))
-            train, val = order[which[order] == 0], order[which[order] == 1]
-            counts = np.maximum(1, np.bincount(y[train], minlength=2)[:2])
-            net, log = fit(Rows(x, train), y[train], (Rows(x, val), y[val]), counts.sum() / (2 * counts), hidden, epochs, batch, rate, seed, **how)
-            del x
-        table = pd.DataFrame(weights_table({source: net}), columns=["model", "layer", "inputs", "outputs", "w", "b"])
-        yield table.assign(best_acc=max(a for _, _, a in log))
-
-    return rows.groupBy("source_id").applyInPandas(one, WEIGHTS_SCHEMA + ", best_acc double")
+    spark = rows.sparkSession
+    counts = rows.where("split = 'train'").groupBy(F.col("source_id").cast("string").alias("source_id"), "label").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).collect()
+    classes, trainers = how.pop("classes", 2), {}
+    for source in sorted({r["source_id"] for r in counts}):
+        own = np.maximum(1, np.bincount([r["label"] for r in counts if r["source_id"] == source], [r["n"] for r in counts if r["source_id"] == source], minlength=classes))
+        width = max(r["width"] for r in counts if r["source_id"] == source)
+        trainers[source] = Trainer(width, hidden, classes, own.sum() / (classes * own), batch, rate, seed, **how)
+    shards, best = packed_shards(rows, shard_rows, seed).persist(StorageLevel.DISK_ONLY), {s: (t.folded(), -1.0) for s, t in trainers.items()}
+
+    def job(epoch: int) -> list:
+        shared = spark.sparkContext.broadcast({s: (t, t.folded()) for s, t in trainers.items()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    if r.source_id not in shared.value:
+                        continue
+                    trainer, before = shared.value[r.source_id]
+                    start, step, width = trainer.vector(), trainer.step, len(trainer.net.weights[0])
+                    matrix = lambda raw, w=width: np.frombuffer(raw, dtype=np.float64).reshape(-1, w)
+                    y, val_y = np.frombuffer(r.y, dtype=np.int64), np.frombuffer(r.val_y, dtype=np.int64)
+                    correct = right_of(before, matrix(r.val_x), val_y) if epoch and len(val_y) else 0
+                    losses = trainer.epoch(matrix(r.x), y, np.random.default_rng([seed, epoch, r.shard])) if epoch < epochs else []
+                    out = (r.source_id, len(y), trainer.step, trainer.vector().tobytes(), float(sum(losses)), len(losses), correct, len(val_y))
+                    trainer.load(start, step)  # the next shard of this task begins where this one did
+                    yield pd.DataFrame([out], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
+
+        found = summed(shards.mapInPandas(run, STEPS)).collect()
+        shared.unpersist()
+        return found
+
+    try:
+        for epoch in range(epochs + 1):
+            for r in job(epoch):
+                trainer = trainers[r["source_id"]]
+                acc = r["correct"] / r["checked"] if r["checked"] else 0.0
+                if epoch and acc > best[r["source_id"]][1]:
+                    best[r["source_id"]] = (trainer.folded(), acc)
+                trainer.load(np.frombuffer(r["vector"], dtype=np.float64), r["step"])
+    finally:
+        shards.unpersist()
+    table = [(*row, best[row[0]][1]) for row in weights_table({s: n for s, (n, _) in best.items()})]
+    return spark.createDataFrame(table, WEIGHTS_SCHEMA + ", best_acc double")
 
 
 def embed(df: DataFrame, encoder: Callable[[list], np.ndarray], image: str = "image") -> DataFrame:

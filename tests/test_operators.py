@@ -228,11 +228,74 @@ def test_gradients_with_normalisation():
         assert all(b < a for a, b in zip(losses, losses[1:], strict=False))
 
 
-def test_a_source_has_a_bound(spark):
-    df = spark.range(300).selectExpr("id AS row_idx", "0 AS source_id", "if(id % 5 = 0, 'validation', 'train') AS split", "array(CAST(id % 2 AS FLOAT), 1F) AS features", "CAST(id % 2 AS INT) AS label")
-    for most in (40, 1000):
-        table = model.train_by_source(df, hidden=(3,), epochs=2, most=most).collect()
-        assert [r["layer"] for r in table] == [0, 1]
+def labelled(spark, n=600, seed=5):
+    random = np.random.default_rng(seed)
+    x = random.normal(size=(n, 4)).round(3)
+    y = (x[:, 0] - x[:, 1] > 0).astype(int)
+    splits = np.where(np.arange(n) % 5 == 0, "validation", np.where(np.arange(n) % 11 == 0, "test", "train"))
+    rows = [(s, k, str(splits[k]), [float(v) for v in x[k]], int(y[k])) for s in (0, 1) for k in range(n) if s == 0 or k % 2]
+    return x, y, splits, spark.createDataFrame(rows, "source_id int, row_idx long, split string, features array<double>, label int")
+
+
+HOW = {"hidden": (16, 8), "epochs": 6, "batch": 32, "rate": 1e-2, "norm": True, "dropout": (0.1,), "drop_last": True}
+
+
+def test_a_source_of_one_shard_is_trained_as_in_one_task(spark):
+    x, y, splits, df = labelled(spark)
+    table = model.train_by_source(df, **HOW)
+    got = {k: (n, {r["best_acc"] for r in table.collect() if r["model"] == k}) for k, n in model.networks_of(table).items()}
+    for s in (0, 1):
+        train, val = ((splits == name) & ((s == 0) | (np.arange(len(y)) % 2 == 1)) for name in ("train", "validation"))
+        counts = np.bincount(y[train])
+        net, log = model.fit(x[train], y[train], (x[val], y[val]), counts.sum() / (2 * counts), **HOW)
+        assert got[str(s)][1] == {max(a for _, _, a in log)}
+        assert all(np.allclose(p, q, rtol=1e-9, atol=1e-12) for p, q in zip([*net.weights, *net.biases], [*got[str(s)][0].weights, *got[str(s)][0].biases], strict=True))
+
+
+def test_shards_are_averaged_and_learn_as_well(spark, monkeypatch):
+    monkeypatch.setattr(model, "MANY", 2)
+    x, y, splits, df = labelled(spark)
+    for shard_rows in (600, 80):
+        shards = model.packed_shards(df, shard_rows, 42).collect()
+        assert sum(len(r["y"]) + len(r["val_y"]) for r in shards) == 8 * df.where("split <> 'test'").count() and all(len(r["y"]) + len(r["val_y"]) <= 8 * shard_rows for r in shards)
+        assert len(shards) == (2 if shard_rows == 600 else 11)
+        table = model.train_by_source(df.repartition(7), **HOW | {"epochs": 15, "batch": 8}, shard_rows=shard_rows).collect()
+        assert {r["model"] for r in table} == {"0", "1"} and min(r["best_acc"] for r in table) > 0.93
+
+
+def test_one_epoch_of_two_shards_is_their_mean(spark):
+    x, y, splits, df = labelled(spark, 200)
+    df, how = df.where("source_id = 0"), {"hidden": (3,), "batch": 16, "rate": 1e-2}
+    net = model.networks_of(model.train_by_source(df, epochs=1, shard_rows=120, **how))["0"]
+    shards = model.packed_shards(df, 120, 42).orderBy("shard").collect()
+    counts = np.bincount(y[splits == "train"])
+    trained = []
+    for r in shards:
+        t, labels = model.Trainer(4, (3,), 2, counts.sum() / (2 * counts), 16, 1e-2), np.frombuffer(r["y"], np.int64)
+        t.epoch(np.frombuffer(r["x"]).reshape(-1, 4), labels, np.random.default_rng([42, 0, r["shard"]]))
+        trained.append((len(labels), t.net))
+    assert len(trained) == 2
+    for k in range(2):
+        assert np.allclose(net.weights[k], sum(n * t.weights[k] for n, t in trained) / sum(n for n, _ in trained))
+
+
+def test_gradients_against_finite_differences():
+    """A first step of Adam moves each parameter by the rate against its gradient's sign, so signs are held against differences of the loss."""
+    random = np.random.default_rng(6)
+    x, y = random.normal(size=(12, 3)), random.integers(0, 2, 12)
+    trainer, loss_of = model.Trainer(3, (4,), norm=True, rate=1e-9), lambda t: t.learn(x, y, random)
+    before = [p.copy() for p in trainer.params]
+    loss_of(trainer)
+    for p, (now, was) in enumerate(zip(trainer.params, before, strict=True)):
+        for place in list(np.ndindex(was.shape))[:6]:
+            slope = []
+            for change in (1e-5, -1e-5):
+                probe = model.Trainer(3, (4,), norm=True, rate=0.0)
+                probe.params[p][place] += change
+                slope.append(loss_of(probe))
+            gradient = (slope[0] - slope[1]) / 2e-5
+            if abs(gradient) > 1e-4:
+                assert np.sign(was[place] - now[place]) == np.sign(gradient), (p, place)
 
 
 def test_auc_over_many_ranges(spark):
