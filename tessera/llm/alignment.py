@@ -18,7 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -92,32 +92,45 @@ class PairIds(ChunkIds):
 
     def first(self, chunk: str) -> list[int]:
         words, out = self.words, []
-        for word in self.pattern.findall(chunk):
+        for word in [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else self.pattern.findall(chunk):
             ids = words.get(word)
             if ids is None:
                 ids = words[word] = self.bpe.encode(word)
             out += ids
         return out
 
-    def second(self, chunks: list[str]) -> Iterator[list[int]]:
+    def second(self, chunks: list[str]) -> list[list[int]]:
         """The model puts a space before what it is given: that of a chunk, or one that goes again."""
-        model, space, bytes_of = self.pieces.model, self.pieces.space, self.pieces.bytes
-        found = model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for chunk, ids in zip(chunks, found, strict=True):
-            if chunk[0] != " ":
-                ids = ids[1:] if ids and ids[0] == space else [INEXACT]
-            elif chunk == " ":
-                ids = [space]
-            exact = ids != [INEXACT] and b"".join([bytes_of[i] for i in ids]) == chunk.encode()
-            yield [SECOND + i for i in ids] if exact else [INEXACT]
+        space, lengths, bytes_of = self.pieces.space, self.pieces.lengths, self.pieces.bytes
+        found = self.pieces.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        lost = set()
+        for k, chunk in enumerate(chunks):
+            if chunk == " ":
+                found[k] = [space]
+            elif chunk[0] != " ":
+                lost |= {k} if found[k][:1] != [space] else set()
+                found[k] = found[k][1:]
+        # all at once, and one by one only if that isn't so
+        raw, sizes = [c.encode() for c in chunks], np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = list(chain.from_iterable(found))
+        ends = np.r_[0, np.cumsum(lengths[np.array(flat, dtype=np.int64)])][np.cumsum(sizes)]
+        if lost or b"".join(map(bytes_of.__getitem__, flat)) != b"".join(raw) or ends.tolist() != list(accumulate(map(len, raw))):
+            found = [ids if k not in lost and b"".join([bytes_of[i] for i in ids]) == want else [INEXACT - SECOND] for k, (ids, want) in enumerate(zip(found, raw, strict=True))]
+        return found
 
     def learn(self, new: set[str]) -> None:
         chunks = list(new)
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        found = [a + b for a, b in zip(map(self.first, chunks), self.second(chunks), strict=True)] if chunks else []
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.add(chunks, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum())), sizes)
+        one, two = list(map(self.first, chunks)), self.second(chunks) if chunks else []
+        sizes_one, sizes_two = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (one, two))
+        # a chunk's ids of the first vocabulary, then those of the second
+        ids = np.empty(int(sizes_one.sum() + sizes_two.sum()), dtype="<u4")
+        is_first = np.ones(len(ids), dtype=bool)
+        is_first[np.arange(int(sizes_two.sum())) + np.repeat(np.cumsum(sizes_one), sizes_two)] = False
+        ids[is_first] = np.fromiter(chain.from_iterable(one), dtype="<u4", count=int(sizes_one.sum()))
+        ids[~is_first] = np.fromiter(chain.from_iterable(two), dtype="<u4", count=int(sizes_two.sum())) + np.uint32(SECOND)
+        self.add(chunks, ids, sizes_one + sizes_two)
 
 
 class Aligned:
