@@ -128,3 +128,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def carrying(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], own: Sequence[str] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+    """``stage(docs)`` with the columns of ``docs``; those that the stage doesn't know are in one struct meanwhile, so that none of its names can be theirs."""
+    if not (others := [c for c in docs.columns if c not in own]):
+        return stage(docs)
+    whole = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    packed = docs.select(*[c for c in docs.columns if c in own], F.struct(*[whole(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("others"))
+    place = {c: f"c{k}" for k, c in enumerate(others)}
+    return stage(packed).select(*[F.col("others").getField(place[c]).alias(c) if c in place else F.col(c) for c in docs.columns])

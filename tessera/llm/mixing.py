@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import give_back, small_batches, table, written
+from tessera.llm.common import carrying, give_back, small_batches, table, written
 
 #: Words of a block at most, slots ranked in one task at a time, and rows of a bucket about.
 BLOCK_WORDS, CHUNK_SLOTS, BUCKET_ROWS = 256, 1 << 14, 2_000
@@ -189,7 +189,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
     What the mix doesn't take is left out; a document of which it takes more than the whole is there twice. n_chars, if there, follows. Rows lie in the order
     of their first slots: a stretch of slots is in one partition, where its rows are sorted, so that what reads them has the sources near their weights.
+    Other columns may have any names.
     """
+    return carrying(docs, lambda d: _passes(d, weights, share, most, block, sequence))
+
+
+def _passes(docs: DataFrame, weights: Sequence[float], share: float, most: float, block: int, sequence: Callable[[Column, int], Column]) -> DataFrame:
     ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
     columns, row = docs.columns, "doc_id"
     if ids[0] not in (None, 1) or ids[1]:  # ids that repeat or are null don't tell rows apart

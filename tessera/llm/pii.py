@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_or_empty, written
+from tessera.llm.common import carrying, table, text_or_empty, written
 
 #: The base kinds in order. Each pattern finds what the stated one does: it begins where a run begins, takes runs whole and so never backs up.
 BASE = ("email", "ip", "card", "phone")
@@ -306,8 +306,12 @@ def personal_data(docs: DataFrame, model: Model | None = None, text: str = "text
 def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets; where spans meet, the first one's. A null text becomes empty; n_chars, if there, follows.
 
-    Without a model one is fitted on ``docs``, whose proposed spans are written for it, without their texts.
+    Without a model one is fitted on ``docs``, whose proposed spans are written for it, without their texts. Other columns stay as they are, whatever their names.
     """
+    return carrying(docs, lambda d: _redacted(d, model, text), ("doc_id", "lang", "source", "n_chars", text))
+
+
+def _redacted(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
     base = ", ".join(f"'{k}'" for k in BASE)
     model = fit(written(proposals(docs, text, []), "proposals")) if model is None else model
     rows = proposals(docs, text, docs.columns)

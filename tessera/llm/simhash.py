@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean, map_rows, small_batches, table, written
+from tessera.llm.common import carrying, lean, map_rows, small_batches, table, written
 from tessera.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
@@ -342,8 +342,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BIT
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id, all columns as they are.
 
-    Where ids are null or repeat, rows are numbered first, and the first row of a component stays.
+    Where ids are null or repeat, rows are numbered first, and the first row of a component stays. Columns may have any names.
     """
+    return carrying(docs, lambda d: _one_each(d, words, bits, similarity, similar_words))
+
+
+def _one_each(docs: DataFrame, words: int, bits: int, similarity: float | None, similar_words: int) -> DataFrame:
     ids = docs.select("doc_id").groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
     if ids[0] in (None, 1) and not ids[1]:
         keep = near_duplicates(docs, words, bits, similarity=similarity, similar_words=similar_words).where("doc_id = component_id").select("doc_id")

@@ -1,10 +1,14 @@
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessera.llm import common, language_id, mixing, packing, pii, simhash
 from tessera.llm.common import table, written
 
 from .test_duplicates import plain_similar
@@ -63,3 +67,24 @@ def test_run_is_registered(spark, sf):
 
     rows = entry.queries()["pipeline"](spark, sf)
     assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+
+
+#: Names that the stages make for themselves, and some that need quoting.
+MADE = sorted({*re.findall(r"__[a-z_]+", "".join(open(m.__file__).read() for m in (pii, simhash, mixing, language_id, packing, common)))} | {"__hit_email", "others", "c0", "row", "k", "slot", "turn", "fp", "node", "a.b", "a`b", "Größe", "x y"})
+
+
+@pytest.mark.parametrize("ids", ["whole", "repeated", "null"])
+@pytest.mark.parametrize("stage", ["redact", "keep_one", "mixed_documents", "keep_languages"])
+def test_no_stage_loses_or_changes_a_column(spark, ids, stage):
+    n = 24
+    rows = [(k if ids == "whole" else k // 2 if ids == "repeated" else None, f"Write to me{k}@mail.example and see number {k} of the {k * 7919 % 97} red, {k * 31 % 89} blue and {k * 17 % 83} green words", "en", f"s{k % 2}", 5, k) for k in range(n)]
+    plain_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mark long")
+    clash = plain_.select("*", *[F.concat(F.lit(f"{c}-"), "mark").alias(c) for c in MADE]).drop("mark").repartition(3)
+    run = {"redact": pii.redact, "keep_one": lambda d: simhash.keep_one(d, similarity=0.8), "mixed_documents": mixing.mixed_documents, "keep_languages": lambda d: language_id.keep_languages(d, language_id.train(plain_.withColumn("doc_id", F.col("mark"))), 0.0)}[stage]
+    got = run(clash)
+    assert got.columns == clash.columns and got.dtypes == clash.dtypes
+    found = got.collect()
+    assert found and (stage == "mixed_documents" or len(found) == n)
+    for r in found:
+        marks = {r[c].removeprefix(f"{c}-") for c in MADE}
+        assert len(marks) == 1 and r["source"] == f"s{int(marks.pop()) % 2}"
