@@ -69,7 +69,8 @@ def with_validity(polygons: DataFrame, vertices: str = "vertices") -> DataFrame:
     shapes = rows.where(F.size("__ring") > 3).dropDuplicates(["__id"])
     ys = F.transform("__ring", lambda e: e["y1"])
     height = F.greatest((F.array_max(ys) - F.array_min(ys)) / F.ceil(F.sqrt(F.size("__ring"))), F.lit(1e-9), F.abs(F.array_max(ys)) * 1e-9)
-    each = shapes.select("__id", F.size("__ring").alias("n"), height.alias("h"), F.posexplode("__ring").alias("i", "e"))
+    # sizes first, in a step of their own: beside the edges they would be worked out for each edge again
+    each = shapes.select("__id", "__ring", F.size("__ring").alias("n"), height.alias("h")).select("__id", "n", "h", F.posexplode("__ring").alias("i", "e"))
     bands = each.withColumn("band", F.explode(_in_bands(F.col("e"), F.col("h")))).groupBy("__id", "band", "n").agg(F.collect_list(F.struct("i", "e")).alias("es"))
     crossing = bands.where(F.exists("es", lambda p: F.exists("es", lambda q: _meet(p, q, F.col("n"))))).select("__id", F.lit(True).alias("__crosses")).distinct()
     rows = rows.join(crossing, "__id", "left")

@@ -13,7 +13,7 @@ def _with_extent(patches: DataFrame) -> DataFrame:
     """``patches`` with the least and greatest coordinates of their slide, which come from partial aggregates as one row a slide."""
     of = [f(c).alias(f"__{name}_{c}") for c in ("x", "y") for name, f in (("min", F.min), ("max", F.max))]
     extents = patches.groupBy(F.col("slide_id").alias("__slide")).agg(*of)
-    return patches.join(F.broadcast(extents), F.col("slide_id").eqNullSafe(F.col("__slide"))).drop("__slide")
+    return patches.join(extents, F.col("slide_id").eqNullSafe(F.col("__slide"))).drop("__slide")
 
 
 def coordinate_mode(patches: DataFrame, tile: float) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import align, attention, dice, geometry, grid, matching, metrics, model, overlay, rank, split, votes
+from tessera.operators import align, attention, dice, geometry, grid, matching, metrics, model, overlay, rank, resize, split, votes
 from tessera.plans import views
 from tessera.plans.views import TILE
 from tessera.sources import patches
@@ -596,6 +596,19 @@ def bilinear_resize(s, d):
     return rounded(attention.bilinear(_patch_vector(s, d), 3, 7))
 
 
+_pass = lambda table, side, other: f"(SELECT tile_id, {other}, o AS {side}, least(255, greatest(0, (CAST(sum(q * k) AS BIGINT) + 2097152) >> 22)) AS q FROM {table} JOIN w ON w.i = {side} GROUP BY tile_id, {other}, o)"
+
+
+@query(f"""SELECT * FROM (WITH w AS (SELECT o, i, CAST(floor(v / sum(v) OVER (PARTITION BY o) * 4194304 + 0.5) AS BIGINT) AS k FROM (SELECT o, i, greatest(0, 1 - abs((i + 0.5::DOUBLE) - (o + 0.5::DOUBLE) * 1.6::DOUBLE) / 1.6::DOUBLE) AS v FROM range(5) a(o), range(8) b(i))),
+    bytes AS (SELECT tile_id, pix // 8 AS r, pix % 8 AS c, CAST(floor(v * 255) AS BIGINT) AS q FROM map_a)
+    SELECT tile_id, CAST(5 * r + c AS INTEGER) AS pix, round(q / 255::DOUBLE, 6) AS v FROM {_pass(_pass('bytes', 'c', 'r'), 'r', 'c')})""")
+def resize_requantised(s, d):
+    """Maps of 8 by 8 shrunk to 5 by 5 by way of bytes."""
+    maps = views.maps(s, d)[0].groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("pix", "v"))).alias("p")).select("tile_id", F.col("p.v").alias("pixels"))
+    small = resize.resized(F.col("pixels"), F.lit(8), F.lit(8), F.lit(5), F.lit(5))
+    return rounded(maps.select("tile_id", F.posexplode(small).alias("pix", "v")))
+
+
 # Models and samples: no SQL gives the training's result
 
 

@@ -49,13 +49,14 @@ def nine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "slide_id", "row_idx", "x", "y", label.alias("label"), "vec_id")
 
 
+#: Corners of the polygon of each labelled patch, and how far its vector's components move them.
+CORNERS, REACH = 5, 2000
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triangles = spark.range(20).selectExpr(
-        "concat('S', id % 10) AS slide_id", "CAST(700 * (id div 10) + 37 * (id % 10) AS DOUBLE) AS x0", "CAST(300 + 53 * (id % 10) AS DOUBLE) AS y0"
-    )
-    p = "named_struct('x', {}, 'y', {})"
-    corner = [p.format("x0", "y0"), p.format("x0 + 900", "y0 + 150"), p.format("x0 + 350", "y0 + 1100")]
-    rows = triangles.selectExpr("slide_id", f"array({', '.join(corner)}) AS vertices")
+    """A pentagon around each patch of label 1, its corners moved by the vector's components, so that some cross themselves; and the shapes below."""
+    corners = ", ".join(f"named_struct('x', x + {REACH}D * CAST(e[{2 * i}] AS DOUBLE), 'y', y + {REACH}D * CAST(e[{2 * i + 1}] AS DOUBLE))" for i in range(CORNERS))
+    rows = base(spark, sf_dir).where("label = 1").selectExpr("slide_id", f"array({corners}) AS vertices")
     fixed = [(s, [(float(a), float(b)) for a, b in v]) for s, v in SHAPES]
     return rows.unionAll(spark.createDataFrame(fixed, "slide_id string, vertices array<struct<x:double,y:double>>"))
 
@@ -75,12 +76,13 @@ SHAPES = [
 
 
 def maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two 8 by 8 maps of each tile in [0, 1]: the tile's own vector and that of 250 further on."""
+    """Two 8 by 8 maps of each tile in [0, 1]: the tile's own vector and that of 250 further on, the first after the last."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     unit = "transform(e, v -> (CAST(v AS DOUBLE) - array_min(e)) / (CAST(array_max(e) AS DOUBLE) - array_min(e) + 1e-8D))"
     long = lambda rows: rows.selectExpr("tile_id", f"posexplode({unit}) AS (pix, v)")
     a = e.selectExpr("CAST(vec_id AS INT) AS tile_id", "embedding AS e")
-    b = e.where("vec_id >= 250").selectExpr("CAST(vec_id - 250 AS INT) AS tile_id", "embedding AS e")
+    count = e.agg(F.count("*").alias("n"))
+    b = e.crossJoin(F.broadcast(count)).selectExpr("CAST((vec_id + n - 250 % n) % n AS INT) AS tile_id", "embedding AS e")  # one row: a number
     return long(a), long(b)
 
 
@@ -126,7 +128,7 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_polygons() -> str:
-    rows = [f"SELECT {20 + k} AS pid, '{s}' AS slide_id, {i} AS i, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y" for k, (s, v) in enumerate(SHAPES) for i, (a, b) in enumerate(v)]
+    rows = [f"SELECT {-1 - k} AS pid, '{s}' AS slide_id, {i} AS i, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y" for k, (s, v) in enumerate(SHAPES) for i, (a, b) in enumerate(v)]
     return " UNION ALL ".join(rows)
 
 
@@ -155,9 +157,8 @@ SQL = {
     "nine": """SELECT s.source_id, slide_id, row_idx, x, y, CASE WHEN vec_id % 11 = s.source_id THEN 1 - label ELSE label END AS label, vec_id,
         slide_id || '|' || CAST(round_even(x, 0) AS BIGINT) || ',' || CAST(round_even(y, 0) AS BIGINT) AS key
         FROM base, (SELECT CAST(range AS INTEGER) AS source_id FROM range(9)) s WHERE vec_id % 19 <> s.source_id""",
-    "vertices": f"""SELECT pid, slide_id, i, x0 + [0, 900, 350][i + 1] AS x, y0 + [0, 150, 1100][i + 1] AS y FROM
-        (SELECT range AS pid, 'S' || (range % 10) AS slide_id, CAST(700 * (range // 10) + 37 * (range % 10) AS DOUBLE) AS x0, CAST(300 + 53 * (range % 10) AS DOUBLE) AS y0 FROM range(20)),
-        (SELECT range AS i FROM range(3)) UNION ALL {_sql_polygons()}""",
+    "vertices": f"""SELECT vec_id AS pid, slide_id, i, x + {REACH}::DOUBLE * CAST(e[2 * i + 1] AS DOUBLE) AS x, y + {REACH}::DOUBLE * CAST(e[2 * i + 2] AS DOUBLE) AS y
+        FROM base, (SELECT range AS i FROM range({CORNERS})) WHERE label = 1 UNION ALL {_sql_polygons()}""",
     "edges": """SELECT v.pid, v.slide_id, v.i, n.n, v.x AS x1, v.y AS y1, w.x AS x2, w.y AS y2 FROM vertices v JOIN (SELECT pid, count(*) AS n FROM vertices GROUP BY pid) n USING (pid)
         JOIN vertices w ON w.pid = v.pid AND w.i = (v.i + 1) % n.n""",
     "crossing": """SELECT DISTINCT p.pid FROM edges p JOIN edges q ON p.pid = q.pid AND q.i > p.i + 1 AND NOT (p.i = 0 AND q.i = p.n - 1)
@@ -166,7 +167,7 @@ SQL = {
         AND ((q.x2-q.x1)*(p.y1-q.y1)-(q.y2-q.y1)*(p.x1-q.x1)) * ((q.x2-q.x1)*(p.y2-q.y1)-(q.y2-q.y1)*(p.x2-q.x1)) <= 0""",
     "polygon_valid": """SELECT pid, slide_id, count(*) AS n_vertices, count(*) >= 3 AND abs(sum(x1 * y2 - x2 * y1)) > 0 AND pid NOT IN (SELECT pid FROM crossing) AS ok FROM edges GROUP BY pid, slide_id""",
     "map_a": "SELECT CAST(vec_id AS INTEGER) AS tile_id, CAST(k - 1 AS INTEGER) AS pix, (CAST(embedding[k] AS DOUBLE) - list_min(embedding)) / (CAST(list_max(embedding) AS DOUBLE) - list_min(embedding) + 1e-8) AS v FROM embeddings, (SELECT range AS k FROM range(1, 65))",
-    "map_b": "SELECT CAST(tile_id - 250 AS INTEGER) AS tile_id, pix, v FROM map_a WHERE tile_id >= 250",
+    "map_b": "SELECT CAST((tile_id + n - 250 % n) % n AS INTEGER) AS tile_id, pix, v FROM map_a, (SELECT count(*) AS n FROM embeddings)",
     "pair": "SELECT a.tile_id, a.pix, a.v AS a, b.v AS b FROM map_a a JOIN map_b b USING (tile_id, pix)",
     "att_scores": """SELECT CAST(vec_id AS INTEGER) AS tile_id, h AS head, i, j, CAST(embedding[32 * h + i + 1] AS DOUBLE) * CAST(embedding[32 * h + 11 + j] AS DOUBLE) AS s
         FROM embeddings, (SELECT CAST(range AS INTEGER) AS h FROM range(2)), (SELECT CAST(range AS INTEGER) AS i FROM range(10)), (SELECT CAST(range AS INTEGER) AS j FROM range(10))""",
