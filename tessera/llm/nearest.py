@@ -4,8 +4,8 @@ Vectors become whole numbers. A few of them serve as pivots, and every vector be
 its own cell's vectors: the k-th best score there is a floor that its k-th best of all can't lie below. The queries of a cell are then summed up by the least
 floor, the radius, the greatest norm and the greatest product with each pivot. Cells are put together into groups of as many queries as a task
 holds, and a vector is sent, once, to a group only if a bound on its product with the queries of one of its cells reaches that cell's floor.
-There blocks of vectors meet the queries, and what reaches a query's floor is ranked once more. The bounds are safe, so results are exact
-whatever the pivots are.
+It carries the cells that need it, and there the queries of a cell are multiplied with the vectors of the block that need to meet this cell alone; what
+reaches a query's floor is ranked once more. The bounds are safe, so results are exact whatever the pivots are.
 
 Blocks have a bounded size, whatever a cell's share of the rows. On the driver are pivots and summaries, of at most MOST_PIVOTS cells.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,9 +79,9 @@ def usable(embedding: str) -> Column:
 
 
 def voronoi_join(
-    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", group_queries: int = GROUP_QUERIES, data_block: int = DATA_BLOCK, pivot_queries: int = PIVOT_QUERIES
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", group_queries: int = GROUP_QUERIES, data_block: int = DATA_BLOCK, pivot_queries: int = PIVOT_QUERIES, made: Accumulator | None = None
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the k rows with the highest integer inner product for every row that ``is_query`` names."""
+    """query_id, rank, vec_id and score of the k rows with the highest integer inner product for every row that ``is_query`` names. ``made`` adds up how many products were worked out behind the floors."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
@@ -153,16 +154,23 @@ def voronoi_join(
             lost = 1e-9 * (long * (lengths[numbers] + radius) + norm * (lengths[batch["cell"]] + batch["distance"].to_numpy())[:, None]) + 1e-3
             needed = np.minimum(by_queries, by_pivot) + lost >= floor
             at, to = np.nonzero(needed @ member)
-            yield pd.DataFrame({"part": to, "db": batch["db"].to_numpy()[at], "uid": batch["uid"].to_numpy()[at], "vec_id": batch["vec_id"].to_numpy()[at], "x": batch["x"].to_numpy()[at]})
+            cells = [r.tobytes() for r in np.packbits(needed, axis=1)]
+            yield pd.DataFrame({"part": to, "db": batch["db"].to_numpy()[at], "uid": batch["uid"].to_numpy()[at], "vec_id": batch["vec_id"].to_numpy()[at], "x": batch["x"].to_numpy()[at], "cells": [cells[i] for i in at]})
 
     block_of = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(data_blocks)).cast("int")
-    data = placed.select("cell", "distance", "uid", "vec_id", "x", block_of.alias("db")).mapInPandas(send, "part int, db int, uid long, vec_id long, x binary")
+    data = placed.select("cell", "distance", "uid", "vec_id", "x", block_of.alias("db")).mapInPandas(send, "part int, db int, uid long, vec_id long, x binary, cells binary")
     parts_of = F.element_at(F.create_map(*[y for c, own in zip(numbers, groups, strict=True) for y in (F.lit(int(c)), F.array(*map(F.lit, own)))]), F.col("cell"))
     asked = asked.withColumn("__of", parts_of).withColumn("part", F.element_at("__of", (F.pmod(F.xxhash64("uid", F.lit(2)), F.size("__of")) + 1).cast("int")))
-    asked = asked.select("part", "uid", "vec_id", "floor", "x", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"))
+    asked = asked.select("part", "cell", "uid", "vec_id", "floor", "x", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"))
 
     def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        found = [(uid, query, i, in_long(s), u) for uid, query, i, s, u in met(q, d, k, kind, width)]
+        found, octets = [], -(-len(numbers) // 8)
+        needs = np.unpackbits(np.frombuffer(b"".join(d["cells"]), dtype=np.uint8).reshape(len(d), octets), axis=1).astype(bool)
+        for cell, own in q.groupby("cell"):
+            near = d[needs[:, np.searchsorted(numbers, cell)]]
+            if made is not None:
+                made.add(len(own) * len(near))
+            found += [(uid, query, i, in_long(s), u) for uid, query, i, s, u in met(own, near, k, kind, width)]
         return pd.DataFrame(found, columns=["quid", "query_id", "vec_id", "score", "uid"], dtype="int64")
 
     found = asked.groupBy("part", "db").cogroup(data.groupBy("part", "db")).applyInPandas(meet, "quid long, query_id long, vec_id long, score long, uid long")

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,26 @@ def test_a_score_that_leaves_a_long_is_an_error(spark, x):
         nearest.voronoi_join(df, F.col("vec_id") == 0).collect()
 
 
+def test_bounds_save_products_where_vectors_cluster(spark):
+    """At most a quarter of all products of queries and vectors, with the production parameters, and the same result as all of them."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[np.arange(60_000) % 40] + 0.02 * r.normal(size=(60_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(60_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(8)
+    made = spark.sparkContext.accumulator(0)
+    got = {}
+    for row in nearest.voronoi_join(df, F.col("vec_id") % 50 == 0, made=made).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    assert 0 < made.value <= 1200 * 60_000 / 4
+    whole = np.floor(256 * x.astype(np.float64))
+    scores = (whole[::50] @ whole.T).astype(np.int64)
+    for k, q in enumerate(range(0, 60_000, 50)):
+        scores[k, q] = -(10**15)  # its own row
+        best = np.lexsort((np.arange(60_000), -scores[k]))[:5]
+        assert sorted(got[q]) == [(n + 1, int(v), int(scores[k, v])) for n, v in enumerate(best)]
+
+
 def test_groups_hold_all_queries():
     groups = nearest.grouped(np.array([3, 3, 3, 25, 1, 9, 2]), 10)
     assert groups == [[0], [0], [0], [1, 2, 3], [0], [4], [5]]
