@@ -43,8 +43,8 @@ OTHER = r"[^\S\x1c-\x1f \n]"
 SPACED = re.compile(f"{SPACE}*{SOLID}+(?:{OTHER}{SPACE}*{SOLID}*)*|{SPACE}+")
 #: What is added to ids of the second vocabulary, and the mark of a chunk that it doesn't give back.
 SECOND, INEXACT = 1 << 31, (1 << 32) - 1
-#: Pre-tokens whose ids a worker remembers beside its chunks.
-REMEMBERED_WORDS = 250_000
+#: Pre-tokens whose ids a worker remembers beside its chunks, and chunks that it keeps for its next task.
+REMEMBERED_WORDS, KEPT = 250_000, 60_000
 
 
 class Pieces:
@@ -79,6 +79,14 @@ class PairIds(ChunkIds):
         super().forget()
         self.words: dict[str, list[int]] = {}
 
+    def forget_but(self, most: int) -> None:
+        """Leaves the chunks that were used most."""
+        names, keep = list(self.known), np.sort(np.argsort(-self.uses, kind="stable")[:most])
+        ids, sizes, uses = self.ids_at(keep), self.sizes[keep], self.uses[keep] // 2
+        self.forget()
+        self.add([names[k] for k in keep.tolist()], ids, sizes)
+        self.uses = uses
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         held, chars = [], 0
         for text in texts:
@@ -219,6 +227,12 @@ class Aligner:
         return Aligned(a, b, self.lengths_a, self.ids.pieces.lengths, sizes)
 
 
+@lru_cache(maxsize=1)
+def aligner(vocab_a: str, vocab_b: str) -> Aligner:
+    """A worker's own, which tasks that follow each other share."""
+    return Aligner(vocab_a, vocab_b)
+
+
 def blocks_of(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """The batch in blocks of BLOCK_DOCS rows and, but for a longer text, BLOCK_BYTES bytes at most."""
     start, held = 0, 0
@@ -252,7 +266,7 @@ def encoded(docs: DataFrame, vocab_a: str, vocab_b: str, id_col: str = "doc_id",
     """Rows of documents (``stripe`` is null), by block and number in it, and rows of links: those of a block and stripe, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        align = Aligner(vocab_a, vocab_b)
+        align = aligner(vocab_a, vocab_b)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             for block in blocks_of(batch):
@@ -263,7 +277,7 @@ def encoded(docs: DataFrame, vocab_a: str, vocab_b: str, id_col: str = "doc_id",
                 if rows:
                     yield frame({"block": number, **{n: [r[k] for r in rows] for k, n in enumerate(("stripe", "cells", "docs", "times"))}}, len(rows))
                 number += 1
-        align.ids.forget()
+        align.ids.forget_but(KEPT)
 
     kinds = {"block": "long", "at": "int", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "stripe": "int", "cells": "binary", "docs": "binary", "times": "binary"}
 

@@ -156,7 +156,11 @@ def test_forgotten_chunks_are_learnt_again(monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED_WORDS", 20)
     monkeypatch.setattr(alignment, "BLOCK_CHARS", 200)
     texts = [t for _, t in random_docs(300, 9)]
-    assert second(alignment.Aligner("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"), texts) == [[i for i, _, _ in plain(t)[1]] for t in texts]
+    align, want = alignment.Aligner("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"), [[i for i, _, _ in plain(t)[1]] for t in texts]
+    assert second(align, texts) == want
+    for most in (30, 0):  # as between two tasks
+        align.ids.forget_but(most)
+        assert len(align.ids.known) == len(align.ids.starts) == len(align.ids.uses) <= most and second(align, texts) == want
 
 
 @pytest.mark.parametrize("name", ["op12_token_alignment"])
