@@ -5,6 +5,7 @@ A network is linear layers with ReLU between them; batch normalisation is folded
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -254,7 +255,11 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
     of the parameters it began with. Models and their moments go through the driver, once an epoch; rows never do. A source without rows to train from has no model.
     """
     spark = rows.sparkSession
-    counts = rows.where("split = 'train'").groupBy(F.col("source_id").cast("string").alias("source_id"), "label").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).collect()
+    every = rows.where("split IN ('train', 'validation')").groupBy(F.col("source_id").cast("string").alias("source_id"), "split", "label").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).collect()
+    counts, sizes = [r for r in every if r["split"] == "train"], Counter()
+    for r in every:
+        sizes[r["source_id"]] += r["n"]
+    alone = max(sizes.values(), default=0) <= shard_rows  # nothing to average
     classes, trainers = how.pop("classes", 2), {}
     for source in sorted({r["source_id"] for r in counts}):
         own = np.maximum(1, np.bincount([r["label"] for r in counts if r["source_id"] == source], [r["n"] for r in counts if r["source_id"] == source], minlength=classes))
@@ -263,15 +268,15 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
     shards, best = packed_shards(rows, shard_rows, seed).persist(StorageLevel.DISK_ONLY), {s: (t.folded(), -1.0) for s, t in trainers.items()}
 
     def job(epoch: int) -> list:
-        shared = spark.sparkContext.broadcast({s: (t, t.folded()) for s, t in trainers.items()})
+        shared = spark.sparkContext.broadcast(trainers)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples(index=False):
                     if r.source_id not in shared.value:
                         continue
-                    trainer, before = shared.value[r.source_id]
-                    start, step, width = trainer.vector(), trainer.step, len(trainer.net.weights[0])
+                    trainer = shared.value[r.source_id]
+                    before, start, step, width = trainer.folded(), trainer.vector(), trainer.step, len(trainer.net.weights[0])
                     matrix = lambda raw, w=width: np.frombuffer(raw, dtype=np.float64).reshape(-1, w)
                     y, val_y = np.frombuffer(r.y, dtype=np.int64), np.frombuffer(r.val_y, dtype=np.int64)
                     correct = right_of(before, matrix(r.val_x), val_y) if epoch and len(val_y) else 0
@@ -280,8 +285,9 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
                     trainer.load(start, step)  # the next shard of this task begins where this one did
                     yield pd.DataFrame([out], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
 
-        found = summed(shards.mapInPandas(run, STEPS)).collect()
-        shared.unpersist()
+        steps = shards.mapInPandas(run, STEPS)
+        found = (steps if alone else summed(steps)).collect()
+        shared.destroy()
         return found
 
     try:
