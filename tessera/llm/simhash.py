@@ -42,7 +42,7 @@ SHORT, LONG = 16, 4096
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 #: Bytes of a minwise signature, of a set of them that makes a list's key, and the permutations' factors and shifts.
-SIGNATURE, SET = 64, 4
+SIGNATURE, SET = 64, 3
 FACTORS, SHIFTS = (np.random.default_rng(SEED).integers(0, 2**64, SIGNATURE, dtype=np.uint64) | np.uint64(k) for k in (1, 0))
 
 
@@ -150,6 +150,10 @@ class BySignature:
         shared = (a[:, None, :] == b[None, :, :]).sum(axis=2)
         return np.where(shared >= self.least, shared, 0)
 
+    def first_lists(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of the first list that each pair (one in each place) shares; it must share one."""
+        return (a == b)[:, : SIGNATURE // SET * SET].reshape(len(a), SIGNATURE // SET, SET).all(axis=2).argmax(axis=1)
+
     width = SIGNATURE
 
 
@@ -186,7 +190,15 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
 
 
 def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int = LONG) -> DataFrame:
-    """Pairs (a, b) of nodes that are links, from an index (key, node, sig): all of lists of up to SHORT entries, a forest of longer ones."""
+    """Pairs (a, b) of nodes that are links, from an index (key, node, sig): all of lists of up to SHORT entries, a forest of longer ones.
+
+    The forest connects what the links connect. Where pairs are only candidates, and some are refused later, that isn't enough: see ``refused_apart``.
+    """
+    return links_and_longer(index, kind, long)[0]
+
+
+def links_and_longer(index: DataFrame, kind: ByFingerprint | BySignature, long: int = LONG, longer: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``listed_links`` and, if ``longer``, the entries (key, node) of the lists of which they hold a forest alone."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary())])
 
     def found_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -217,6 +229,8 @@ def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int
                 a, b = forest(nodes[part], data[part], kind)
                 left.append(a)
                 right.append(b)
+                if longer:
+                    yield pa.RecordBatch.from_arrays([batch.column("key")[part], batch.column("node")[part], batch.column("node")[part], pa.nulls(int(sizes[k]), pa.binary())], schema=schema)
             if sum(map(len, left)):
                 yield found_pairs(np.concatenate(left), np.concatenate(right))
             for k in np.flatnonzero(sizes > long):
@@ -245,9 +259,10 @@ def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int
     found = index.select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, a long, b long, sig binary")
     found = written(found, "pairs")
     near = found.where("key IS NULL").select("a", "b")
-    late = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "sig")
+    late = found.where("key IS NOT NULL AND b IS NULL").select("key", F.col("a").alias("node"), "sig")
+    entries = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
     if late.isEmpty():
-        return near
+        return near, entries
 
     def block_pair(rows: pa.Table) -> pa.Table:
         batch = rows.combine_chunks().to_batches(max_chunksize=None)[0]
@@ -255,10 +270,50 @@ def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(long)).cast("int").alias("blocks"))
-    dealt = late.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return near.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long"))
+    dealt = in_block_pairs(late.join(blocks, "key")).drop("mine", "blocks")
+    return near.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long")), entries
+
+
+def in_block_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, blocks and others) once for each two blocks i <= j of their list that one of them, ``mine``, is theirs."""
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return mine.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
+
+
+def refused_apart(entries: DataFrame, nodes: DataFrame, good: DataFrame, kind: BySignature, similarity: float, long: int = LONG) -> DataFrame:
+    """Candidates (a, b) of longer lists that a forest left out and that links found so far, ``good``, don't connect.
+
+    ``nodes`` has each node's sig and size. The pairs that meet in a shorter list have all been looked at, so a pair comes from the first list that it shares. Lists whose
+    entries are all connected, as those of copies are, go at once; of the others the pairs inside a component do.
+    """
+    roots = written(components(good), "roots")
+    labelled = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") * 2 / F.lit(long)).cast("int").alias("blocks"))
+    rows = in_block_pairs(labelled.join(mixed.where("low < high").select("key", "blocks"), "key")).join(nodes.select("node", "sig", "size"), "node")
+
+    def between(group: pa.Table) -> pa.Table:
+        node, root, mine, size = (group.column(c).to_numpy() for c in ("node", "root", "mine", "size"))
+        held, number = kind.held(group), group.column("key")[0].as_py() >> (8 * SET)
+        same_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        order = np.argsort(root, kind="stable")
+        order = order[np.argsort(np.unique(root[order], return_counts=True)[1][np.unique(root[order], return_inverse=True)[1]], kind="stable")]  # small components first
+        node, root, mine, size, held, left, right = node[order], root[order], mine[order], size[order], held[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = np.r_[np.flatnonzero(np.r_[True, root[1:] != root[:-1]]), len(root)]
+        for begin, end in zip(edges[:-2], edges[1:-1], strict=True):
+            step = max(1, 1_000_000 // ((len(root) - end) * SIGNATURE))
+            for at in range(begin, end, step):
+                a, b = np.nonzero(kind.closeness(held[at : min(end, at + step)], held[end:]))
+                a, b = a + at, b + end
+                keep = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+                keep &= same_block | (mine[a] != mine[b])
+                a, b = a[keep], b[keep]
+                keep = kind.first_lists(held[a], held[b]) == number
+                left.append(node[a[keep]])
+                right.append(node[b[keep]])
+        return pa.table({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(between, "a long, b long")
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -282,40 +337,50 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, similarity: fl
     """Pairs (a, b) of fingerprints that connect texts of a Jaccard similarity of word shingles from ``similarity`` on. ``docs`` has unique ids; ``marked`` their fingerprints.
 
     At this similarity 64-bit SimHashes differ in some ten bits and need not share a byte, so the positional bytes are those of minwise hashes: each is shared with the chance of the
-    similarity. The index has a list for every set of SET bytes; a pair is tallied over all SIGNATURE bytes and retained from four standard deviations below the
-    expected number on; what is retained is verified by the shingles themselves. A pair meets in no list with a chance of (1 - similarity^4)^16, 2 in 10,000 at 0.8.
+    similarity. The index has a list for every set of SET bytes; a pair is tallied over all SIGNATURE bytes and retained from five standard deviations below the
+    expected number on; what is retained is verified by the shingles themselves, and where that refuses a forest's candidates, the others of its list are verified too, unless links connect them already.
+    A pair meets in no list with a chance of (1 - similarity^3)^21, 3 in 10,000,000 at 0.8. Texts of the same set of shingles are one node.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["sig"] = [signature(h) if len(h) else None for h in (shingle_hashes(t, words) for t in batch.pop("text").tolist())]
+            hashes = [shingle_hashes(t, words) for t in batch.pop("text").tolist()]
+            batch["sig"] = [signature(h) if len(h) else None for h in hashes]
+            batch["whole"] = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]
+            batch["size"] = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
             yield batch
 
     expected = SIGNATURE * (similarity + (1 - similarity) / 256)
-    least = max(1, math.floor(expected - 4 * math.sqrt(expected * (1 - expected / SIGNATURE))))
+    kind = BySignature(max(1, math.floor(expected - 5 * math.sqrt(expected * (1 - expected / SIGNATURE)))))
     given = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    signed = written(map_rows(given, run, "sig binary").where("sig IS NOT NULL").join(marked, "doc_id"), "signatures")
-    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
+    signed = written(map_rows(given, run, "sig binary, whole binary, size long").where("sig IS NOT NULL").join(marked, "doc_id"), "signatures")
+    classes = signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("size").alias("size"))
     classes = written(classes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), "classes")
     keys = F.array(*[F.substring("sig", 1 + SET * k, SET) for k in range(SIGNATURE // SET)])
     index = classes.select(F.posexplode(keys).alias("nth", "part"), "node", "sig")
     index = index.select((F.conv(F.hex("part"), 16, 10).cast("long") + F.col("nth") * F.lit(1 << (8 * SET))).alias("key"), "node", "sig")
-    found = listed_links(index, BySignature(least), long).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    found = written(found, "candidates")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["hashes"] = [shingle_hashes(t, words).view(np.int64) for t in batch.pop("text").tolist()]
             yield batch
 
-    asked = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-    sets = written(map_rows(given.join(asked, "doc_id", "left_semi"), hashed, "hashes array<long>"), "shingles")
-    both = found.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    good = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = written(map_rows(given.join(asked, "doc_id", "left_semi"), hashed, "hashes array<long>"), "shingles")
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+
+    found, entries = links_and_longer(index, kind, long, longer=True)
+    good = verified(written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates"))
+    if not entries.isEmpty():
+        more = written(refused_apart(entries, classes, good, kind, similarity, long), "refused")
+        if not more.isEmpty():
+            good = good.unionAll(verified(more))
     of = lambda side: classes.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"))
     apart = good.join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    alike = signed.select("fp", "sig").distinct().join(classes.select("sig", F.col("fp").alias("least")), "sig").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    alike = signed.select("fp", "whole").distinct().join(classes.select("whole", F.col("fp").alias("least")), "whole").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     return apart.unionAll(alike.where("a <> b"))
 
 

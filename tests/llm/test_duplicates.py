@@ -133,6 +133,34 @@ def test_similar_texts_are_linked(make):
     assert kept == {k for k, v in got.items() if k == v}
 
 
+@pytest.mark.parametrize("long", [40, 4096])
+def test_refused_candidates_hide_no_link(make, long):
+    """Large families whose texts are similar to some of the others only: a forest's candidates are mostly refused, and links between its leaves count all the same."""
+    r, texts = random.Random(11), []
+    for _ in range(3):
+        own = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
+        for _ in range(120):
+            copy = own[:]
+            for k in r.sample(range(0, 300, 10), 4 + r.randint(0, 4)):
+                copy[k] = f"x{r.randint(0, 1)}"
+            texts.append(" ".join(copy))
+    docs = make(list(enumerate(texts)), clash=False)
+    marked = simhash.fingerprints(docs).withColumn("fp", F.col("doc_id"))  # no fingerprint joins them
+    got = {x["node"]: x["root"] for x in components.components(simhash.similar_links(docs, marked, 5, 0.8, long)).collect()}
+    want = plain_similar(texts, bits=-1)
+    assert got == {k: w for k, w in enumerate(want) if want.count(w) > 1}
+    assert 10 < len(set(want)) < len(texts)  # neither all apart nor all together
+
+
+def test_first_shared_list():
+    a = np.zeros((3, simhash.SIGNATURE), dtype=np.uint8)
+    b = a.copy()
+    b[1, [0, simhash.SET + 1]] = b[2, :-simhash.SET - 1] = 1
+    kind = simhash.BySignature(1)
+    assert kind.first_lists(a, b).tolist() == [0, 2, simhash.SIGNATURE // simhash.SET - 1]
+    assert kind.first_lists(a[:0], b[:0]).tolist() == []
+
+
 def test_long_lists_of_signatures(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 256, (3, simhash.SIGNATURE), dtype=np.uint8)
