@@ -5,7 +5,7 @@ A network is linear layers with ReLU between them; batch normalisation is folded
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -202,70 +202,100 @@ def fit(
     return best or trainer.folded(), log
 
 
-SHARDS = "source_id string, shard long, x binary, y binary, val_x binary, val_y binary"
+SHARDS = "source_id string, shard long, x binary, y binary, val_x binary, val_y binary, width int, labels array<long>"
 STEPS = "source_id string, n long, step long, vector binary, loss double, batches long, correct long, checked long"
 
 
-def packed_shards(rows: DataFrame, shard_rows: int, seed: int) -> DataFrame:
-    """The rows of each source, in hash order dealt to shards of ``shard_rows`` at most, as matrices: one row a shard, and rows of a shard in order of row_idx."""
+def matrix_type(rows: DataFrame) -> type:
+    """How a shard holds features: floats as they are, anything else as doubles."""
+    return np.float32 if rows.schema["features"].dataType.simpleString() == "array<float>" else np.float64
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("row_idx", kind="stable"), {}
+
+def packed_shards(rows: DataFrame, shard_rows: int, seed: int, lanes: int | None = None) -> DataFrame:
+    """The rows of each source, in hash order dealt to shards of ``shard_rows`` at most, as matrices: one row a shard, and rows of a shard in order of row_idx.
+
+    A source's shards are dealt to ``lanes`` partitions, each shard's rows together and a source's shards one after another; a task holds one shard at a time. ``width`` is 0
+    and ``labels``, the count of each, is empty where a shard has no row to train from.
+    """
+    kind = matrix_type(rows)
+
+    def pack(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf, out, held = pd.concat(parts), {}, {}
         for split, names in (("train", ("x", "y")), ("validation", ("val_x", "val_y"))):
             part = pdf[pdf["split"] == split]
-            x = np.stack(part["features"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 0))
-            out[names[0]], out[names[1]] = [x.tobytes()], [part["label"].to_numpy(np.int64).tobytes()]
-        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "shard": pdf["shard"].iloc[0]} | out)
+            x, held[split] = np.stack(part["features"].to_numpy()).astype(kind) if len(part) else np.zeros((0, 0)), part["label"].to_numpy(np.int64)
+            out[names[0]], out[names[1]] = [x.tobytes()], [held[split].tobytes()]
+            out.setdefault("width", [x.shape[1]])
+        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "shard": [pdf["shard"].iloc[0]]} | out | {"labels": [np.bincount(held["train"])]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, at = [], None
+        for batch in batches:
+            new = (batch["source_id"] != batch["source_id"].shift()) | (batch["shard"] != batch["shard"].shift())
+            for _, part in batch.groupby(new.cumsum(), sort=False):
+                name = (part["source_id"].iloc[0], part["shard"].iloc[0])
+                if parts and name != at:
+                    yield pack(parts)
+                    parts = []
+                parts.append(part)
+                at = name
+        if parts:
+            yield pack(parts)
 
     ranked = shuffled_rank(rows.where("split IN ('train', 'validation')"), F.col("row_idx"), ["source_id"], seed)
     shard = F.col("rank") % F.ceil(F.col("n") / shard_rows)
     dealt = ranked.select(F.col("source_id").cast("string").alias("source_id"), shard.alias("shard"), "row_idx", "split", "features", "label")
-    return dealt.groupBy("source_id", "shard").applyInPandas(pack, SHARDS)
+    dealt = dealt.repartition("source_id", F.col("shard") % lanes) if lanes else dealt.repartition("source_id", "shard")
+    return dealt.sortWithinPartitions("source_id", "shard", "row_idx").mapInPandas(run, SHARDS)
+
+
+def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps of sources, each source's one after another, added up: one a source, vectors by n. It holds one sum at a time."""
+    source, total, vector = None, None, None
+    done = lambda: pd.DataFrame([(source, int(total[0]), int(total[1]), (vector / max(1, total[0])).tobytes(), *total[2:])], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            one = np.frombuffer(r.vector, dtype=np.float64) * r.n
+            if r.source_id != source:
+                if source is not None:
+                    yield done()
+                source, total, vector = r.source_id, [0, 0, 0.0, 0, 0, 0], np.zeros_like(one)
+            vector += one
+            total = [total[0] + r.n, max(total[1], r.step), total[2] + r.loss, total[3] + r.batches, total[4] + r.correct, total[5] + r.checked]
+    if source is not None:
+        yield done()
 
 
 def summed(steps: DataFrame) -> DataFrame:
-    """The steps of each source added up, vectors by n. A task holds one sum at a time; beyond MANY partitions sums go through lanes first."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, total, vector = None, None, None
-        done = lambda: pd.DataFrame([(source, int(total[0]), int(total[1]), (vector / max(1, total[0])).tobytes(), *total[2:])], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                one = np.frombuffer(r.vector, dtype=np.float64) * r.n
-                if r.source_id != source:
-                    if source is not None:
-                        yield done()
-                    source, total, vector = r.source_id, [0, 0, 0.0, 0, 0, 0], np.zeros_like(one)
-                vector += one
-                total = [total[0] + r.n, max(total[1], r.step), total[2] + r.loss, total[3] + r.batches, total[4] + r.correct, total[5] + r.checked]
-        if source is not None:
-            yield done()
-
+    """The steps of each source added up, vectors by n. Beyond MANY partitions sums go through lanes first."""
     if steps.rdd.getNumPartitions() > MANY:
         lanes = steps.withColumn("lane", F.spark_partition_id() % MANY)
-        steps = lanes.repartition("source_id", "lane").sortWithinPartitions("source_id").drop("lane").mapInPandas(add, STEPS)
-    return steps.repartition("source_id").sortWithinPartitions("source_id").mapInPandas(add, STEPS)
+        steps = lanes.repartition("source_id", "lane").sortWithinPartitions("source_id").drop("lane").mapInPandas(added, STEPS)
+    return steps.repartition("source_id").sortWithinPartitions("source_id").mapInPandas(added, STEPS)
 
 
 def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int = 10, batch: int = 128, rate: float = 1e-3, seed: int = 42, shard_rows: int = SHARD_ROWS, **how) -> DataFrame:
     """One model for each source_id from all its rows (source_id, row_idx, split, features, label), all sources and their shards side by side.
 
     Rows: model, layer, inputs, outputs, w, b, best_acc. ``how``: what else ``Trainer`` takes. In an epoch every shard goes on from the same parameters over its own rows; what comes out is averaged by rows,
-    moments and running statistics too, and is the next epoch's start. So a source of one shard is trained as ``fit`` does it, and one of many by as many tasks. What a job tells of accuracy is that
+    moments and running statistics too, and is the next epoch's start. A task adds up its shards of a source itself, so what is shuffled in an epoch grows with the tasks, two a core, and not with the rows. So a source of one shard is trained as ``fit`` does it, and one of many by as many tasks. What a job tells of accuracy is that
     of the parameters it began with. Models and their moments go through the driver, once an epoch; rows never do. A source without rows to train from has no model.
     """
     spark = rows.sparkSession
-    every = rows.where("split IN ('train', 'validation')").groupBy(F.col("source_id").cast("string").alias("source_id"), "split", "label").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).collect()
-    counts, sizes = [r for r in every if r["split"] == "train"], Counter()
-    for r in every:
-        sizes[r["source_id"]] += r["n"]
-    alone = max(sizes.values(), default=0) <= shard_rows  # nothing to average
+    counted = rows.where("split IN ('train', 'validation')").groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.count("*").alias("n")).collect()
+    most = max((r["n"] for r in counted), default=0)
+    alone = most <= shard_rows  # nothing to average
+    lanes = max(1, min(-(-most // shard_rows), -(-2 * spark.sparkContext.defaultParallelism // max(1, len(counted)))))
+    shards, kind = packed_shards(rows, shard_rows, seed, lanes).persist(StorageLevel.DISK_ONLY), matrix_type(rows)
+    widths, labels = Counter(), defaultdict(Counter)
+    for r in shards.where("width > 0").select("source_id", "width", F.posexplode("labels").alias("label", "n")).groupBy("source_id", "label").agg(F.max("width").alias("width"), F.sum("n").alias("n")).collect():
+        widths[r["source_id"]] = max(widths[r["source_id"]], r["width"])
+        labels[r["source_id"]][r["label"]] += r["n"]
     classes, trainers = how.pop("classes", 2), {}
-    for source in sorted({r["source_id"] for r in counts}):
-        own = np.maximum(1, np.bincount([r["label"] for r in counts if r["source_id"] == source], [r["n"] for r in counts if r["source_id"] == source], minlength=classes))
-        width = max(r["width"] for r in counts if r["source_id"] == source)
-        trainers[source] = Trainer(width, hidden, classes, own.sum() / (classes * own), batch, rate, seed, **how)
-    shards, best = packed_shards(rows, shard_rows, seed).persist(StorageLevel.DISK_ONLY), {s: (t.folded(), -1.0) for s, t in trainers.items()}
+    for source in sorted(labels):
+        own = np.maximum(1, np.bincount(list(labels[source]), list(labels[source].values()), minlength=classes))
+        trainers[source] = Trainer(widths[source], hidden, classes, own.sum() / (classes * own), batch, rate, seed, **how)
+    best = {s: (t.folded(), -1.0) for s, t in trainers.items()}
 
     def job(epoch: int) -> list:
         shared = spark.sparkContext.broadcast(trainers)
@@ -277,7 +307,7 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
                         continue
                     trainer = shared.value[r.source_id]
                     before, start, step, width = trainer.folded(), trainer.vector(), trainer.step, len(trainer.net.weights[0])
-                    matrix = lambda raw, w=width: np.frombuffer(raw, dtype=np.float64).reshape(-1, w)
+                    matrix = lambda raw, w=width: np.frombuffer(raw, dtype=kind).astype(np.float64).reshape(-1, w)
                     y, val_y = np.frombuffer(r.y, dtype=np.int64), np.frombuffer(r.val_y, dtype=np.int64)
                     correct = right_of(before, matrix(r.val_x), val_y) if epoch and len(val_y) else 0
                     losses = trainer.epoch(matrix(r.x), y, np.random.default_rng([seed, epoch, r.shard])) if epoch < epochs else []
@@ -285,8 +315,7 @@ def train_by_source(rows: DataFrame, hidden: Sequence[int] = (32,), epochs: int
                     trainer.load(start, step)  # the next shard of this task begins where this one did
                     yield pd.DataFrame([out], columns=["source_id", "n", "step", "vector", "loss", "batches", "correct", "checked"])
 
-        steps = shards.mapInPandas(run, STEPS)
-        found = (steps if alone else summed(steps)).collect()
+        found = (shards.mapInPandas(run, STEPS) if alone else summed(shards.mapInPandas(lambda batches: added(run(batches)), STEPS))).collect()
         shared.destroy()
         return found
 

@@ -618,7 +618,7 @@ def train_and_vote(s, d):
     rows = align.align_keys(keyed(s, d), 9, ("label", "row_idx", "vec_id"))
     rows = rows.select("key", "label", F.explode("parts").alias("p")).select("key", "label", "p.source_id", "p.row_idx", "p.vec_id")
     features = views.base(s, d).select("vec_id", F.col("e").alias("features"))
-    rows = split.three_way(rows.join(features, "vec_id"), F.col("vec_id"), ["source_id", "label"])
+    rows = split.three_way(rows, F.col("vec_id"), ["source_id", "label"]).join(features, "vec_id")  # features are shuffled behind the ranks
     networks = model.networks_of(model.train_by_source(rows, hidden=model.HIDDEN, epochs=30, batch=256, norm=True, dropout=model.DROPOUT, drop_last=True).select("model", "layer", "inputs", "outputs", "w", "b"))
     out = rows.where("split = 'test'").where("source_id = 0").select("key", "label", "features")
     for name, net in sorted(networks.items()):

@@ -1,6 +1,7 @@
 """Hand-computed cases of the patch operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,27 @@ def test_otsu_of_a_constant_map_and_two_levels(spark):
     assert found["c"] == 0.5 / 256 and found["d"] == 25.5 / 256
 
 
+def test_memory_of_thresholds_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    random = np.random.default_rng(1)
+    bins = pd.Series([random.choice(dice.BINS, 8, replace=False).astype(np.int32) for _ in range(4000)])
+    counts = pd.Series([random.integers(1, 9, 8).astype(float) for _ in range(4000)])
+    peaks = []
+    for n in (1000, 4000):
+        tracemalloc.start()
+        found = dice.bin_centres(bins[:n], counts[:n], dice.BINS)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] < 20_000_000
+    one = np.zeros((1, dice.BINS))
+    for k in range(0, 4000, 97):
+        one[:] = 0
+        one[0, bins[k]] = counts[k]
+        assert found[k] == (dice.best_bin(one)[0] + 0.5) / dice.BINS
+    assert len(found) == 4000 and len(dice.bin_centres(bins[:0], counts[:0], dice.BINS)) == 0
+
+
 def test_empty_mask(spark):
     a = spark.createDataFrame([(1, k, 0.2) for k in range(4)], "tile_id int, pix int, v double")
     r = dice.compare(a, a, dice.parse_threshold("0.9"), dice.parse_threshold("p50")).first()
@@ -263,6 +285,30 @@ def test_shards_are_averaged_and_learn_as_well(spark, monkeypatch):
         assert {r["model"] for r in table} == {"0", "1"} and min(r["best_acc"] for r in table) > 0.93
 
 
+def test_what_is_added_up_grows_with_tasks_and_not_with_shards(spark, monkeypatch):
+    """Each task hands on one vector a source and epoch, however many shards it has; sums are those of all shards."""
+    seen, summed = [], model.summed
+
+    def counting(steps):
+        seen.append((steps.count(), steps.selectExpr("sum(n)").first()[0]))
+        return summed(steps)
+
+    monkeypatch.setattr(model, "summed", counting)
+    _, _, _, df = labelled(spark)
+    assert model.packed_shards(df, 10, 42).count() > 60
+    model.train_by_source(df, hidden=(4,), epochs=1, batch=8, shard_rows=10).collect()
+    assert len(seen) == 2 and all(count <= 2 * (spark.sparkContext.defaultParallelism + 1) for count, _ in seen)
+    assert seen[0][1] == df.where("split = 'train'").count()
+
+
+def test_floats_are_packed_as_they_are(spark):
+    df = labelled(spark, 60)[3].withColumn("features", F.col("features").cast("array<float>"))
+    row = model.packed_shards(df.where("source_id = 0"), 100, 42).first()
+    own = [r["features"] for r in df.where("source_id = 0 AND split = 'train'").orderBy("row_idx").collect()]
+    assert row["width"] == 4 and np.frombuffer(row["x"], np.float32).reshape(-1, 4).tolist() == own
+    assert row["labels"] == np.bincount(np.frombuffer(row["y"], np.int64)).tolist()
+
+
 def test_one_epoch_of_two_shards_is_their_mean(spark):
     x, y, splits, df = labelled(spark, 200)
     df, how = df.where("source_id = 0"), {"hidden": (3,), "batch": 16, "rate": 1e-2}
