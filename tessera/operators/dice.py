@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BINS, SMALL = 256, 1e-8
+#: Maps whose bins a worker holds densely at a time.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -55,16 +57,23 @@ def best_bin(counts: np.ndarray) -> np.ndarray:
     return np.argmax(np.round(between, 6), axis=1)
 
 
+def bin_centres(found: pd.Series, numbers: pd.Series, bins: int) -> np.ndarray:
+    """The centre of each row's best bin, from the bins that it has and their counts. ROWS rows are dense at a time, however many a batch has."""
+    out = np.zeros(len(found))
+    for at in range(0, len(found), ROWS):
+        some, counted = found.iloc[at : at + ROWS].to_list(), numbers.iloc[at : at + ROWS].to_list()
+        dense = np.zeros((len(some), bins))
+        dense[np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some).astype(np.int64)] = np.concatenate(counted)
+        out[at : at + ROWS] = (best_bin(dense) + 0.5) / bins
+    return out
+
+
 def otsu_of(counts: Column, bins: int = BINS) -> Column:
     """The centre of the bin that maximises the variance between the two sides, the first of equal ones, from a map of bins to counts; maps come in Arrow batches."""
 
     @F.pandas_udf("double")
     def centres(found: pd.Series, numbers: pd.Series) -> pd.Series:
-        dense = np.zeros((len(found), bins))
-        rows = np.repeat(np.arange(len(found)), found.map(len))
-        if len(rows):
-            dense[rows, np.concatenate(found.to_list()).astype(np.int64)] = np.concatenate(numbers.to_list())
-        return pd.Series((best_bin(dense) + 0.5) / bins)
+        return pd.Series(bin_centres(found, numbers, bins))
 
     return centres(F.map_keys(counts), F.map_values(counts))
 
