@@ -13,7 +13,9 @@ an empty table gives an empty result; other columns of the input are ignored, wh
 from __future__ import annotations
 
 import base64
+import gc
 import json
+import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +35,8 @@ from tessera.llm.token_counts import CHUNK, PRE_TOKEN, byte_characters, vocabula
 #: Pairs of tokens that a worker remembers.
 REMEMBERED_PAIRS = 2_000_000
 NEVER = 2**31 - 1
+#: ASCII marks: neither letters, nor numbers, nor white space. No pre-token parts two of them.
+MARKS = string.punctuation
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -202,10 +206,17 @@ class Encoder(ChunkIds):
         if held:
             yield from self.block(held)
 
+    def cut(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk. Letters, with or without a space before them, and ASCII marks behind them, as most chunks are, needn't go through the pattern."""
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+            return [chunk] if len(word) == len(chunk) else [word, chunk[len(word) :]]
+        return self.pattern.findall(chunk)
+
     def learn(self, new: set[str]) -> None:
         """Takes in chunks: first their pre-tokens, each by itself, and then those of several."""
         chunks = list(new)
-        cut = list(map(self.pattern.findall, chunks))
+        cut = list(map(self.cut, chunks))
         alone = list(set(chain.from_iterable(cut)).difference(self.known))
         found = list(map(self.bpe.encode, alone))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
@@ -225,7 +236,11 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", id_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocab)
         for batch in batches:
-            found = list(encoder(batch.pop("text").tolist()))
+            gc.disable()  # millions of short lists and no cycles among them: the collector would go over all that is remembered
+            try:
+                found = list(encoder(batch.pop("text").tolist()))
+            finally:
+                gc.enable()
             batch["n_tokens"] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // ID_BYTES
             batch["ids"] = found
             if decoded:

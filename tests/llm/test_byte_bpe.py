@@ -39,6 +39,22 @@ def test_ids_equal_the_library_and_decode_to_the_text(vocab):
     assert [encoder.bpe.decode(ids).decode() for ids in found] == given
 
 
+def test_plain_chunks_skip_the_pattern_and_are_cut_as_by_it():
+    r, encoder = random.Random(9), byte_bpe.Encoder(VOCABS[0])
+    pieces = ["don't", "it's", "'s", "'", "''t", "a'll", "x", "é", "ß", "\u0130", "\u02b0", "\u0301", "4", "²", "Ⅷ", "_", "...", "!?", "###", "\u2014", "\u00a0", "\n", "\x1c", " ", "日本", "🙂"]
+    chunks = {c for _ in range(20_000) for c in byte_bpe.CHUNK.findall("".join(r.choices(pieces, k=r.randint(1, 5))))} | {" ", "\n", " a", "...", " ..."}
+    assert all(encoder.cut(c) == encoder.pattern.findall(c) for c in chunks)
+
+    class Never:
+        def findall(self, chunk):
+            raise AssertionError(chunk)
+
+    encoder.pattern = Never()
+    lib = library(VOCABS[0])
+    text = " heeaon. Adoll### Stesth, über-\tx"[:-2]
+    assert as_list(next(iter(encoder([text])))) == lib.encode_ordinary(text)
+
+
 def test_the_two_files_of_a_vocabulary_are_the_same():
     assert byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.json")) == byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
