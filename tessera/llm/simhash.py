@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import carrying, lean, map_rows, small_batches, table, written
+from tessera.llm.common import carrying, lean, map_rows, only, small_batches, table, without, written
 from tessera.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
@@ -41,6 +41,8 @@ SHINGLE_WORDS, SEED, BITS, BYTES = 4, 42, 4, 8
 SHORT, LONG = 16, 4096
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Shingles, of all texts of a group, up to which a task verifies the group whole.
+HASHES = 1 << 20
 #: Bytes of a minwise signature, of a set of them that makes a list's key, and the permutations' factors and shifts.
 SIGNATURE, SET = 64, 3
 FACTORS, SHIFTS = (np.random.default_rng(SEED).integers(0, 2**64, SIGNATURE, dtype=np.uint64) | np.uint64(k) for k in (1, 0))
@@ -192,7 +194,7 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
 def listed_links(index: DataFrame, kind: ByFingerprint | BySignature, long: int = LONG) -> DataFrame:
     """Pairs (a, b) of nodes that are links, from an index (key, node, sig): all of lists of up to SHORT entries, a forest of longer ones.
 
-    The forest connects what the links connect. Where pairs are only candidates, and some are refused later, that isn't enough: see ``refused_apart``.
+    The forest connects what the links connect. Where pairs are only candidates, and some are refused later, that isn't enough: see ``refused_links``.
     """
     return links_and_longer(index, kind, long)[0]
 
@@ -281,39 +283,71 @@ def in_block_pairs(rows: DataFrame) -> DataFrame:
     return mine.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
 
 
-def refused_apart(entries: DataFrame, nodes: DataFrame, good: DataFrame, kind: BySignature, similarity: float, long: int = LONG) -> DataFrame:
-    """Candidates (a, b) of longer lists that a forest left out and that links found so far, ``good``, don't connect.
+def verified_forest(group: pa.Table, kind: BySignature, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of this similarity that connect whatever such links between the group's candidates connect: less than it has nodes.
 
-    ``nodes`` has each node's sig and size. The pairs that meet in a shorter list have all been looked at, so a pair comes from the first list that it shares. Lists whose
-    entries are all connected, as those of copies are, go at once; of the others the pairs inside a component do.
+    Columns: ``in_block_pairs``', node, root (what links found before connect to), sig, hashes, and nth, the number of the list that the group is, or null. Pairs of a list count if it is the first that
+    they share, pairs inside a block if the group is of that block alone.
+    """
+    node, mine = (group.column(c).to_numpy() for c in ("node", "mine"))
+    label, held, nth = np.unique(group.column("root").to_numpy(), return_inverse=True)[1], kind.held(group), group.column("nth")[0].as_py()
+    lists = group.column("hashes").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    begin, (known, places) = np.cumsum(size) - size, np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    same_block, own, left, right = group.column("i")[0].as_py() == group.column("j")[0].as_py(), np.zeros(len(known), dtype=bool), [], []
+    for a in range(len(node) - 1):
+        b = a + 1 + np.flatnonzero(label[a + 1 :] != label[a])
+        b = b[np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])]
+        b = b if same_block else b[mine[b] != mine[a]]
+        b = b[kind.closeness(held[a : a + 1], held[b])[0] > 0]
+        if nth is not None:
+            b = b[kind.first_lists(held[[a]].repeat(len(b), axis=0), held[b]) == nth]
+        if not len(b):
+            continue
+        mark = places[begin[a] : begin[a] + size[a]]
+        own[mark] = True
+        until = np.cumsum(size[b])
+        theirs = own[places[np.arange(until[-1]) + np.repeat(begin[b] - until + size[b], size[b])]]
+        shared = np.add.reduceat(theirs, until - size[b], dtype=np.int64)
+        own[mark] = False
+        b = b[shared >= similarity * (size[a] + size[b] - shared)]
+        joined, first = np.unique(label[b], return_index=True)
+        left += [node[a]] * len(first)
+        right += node[b[first]].tolist()
+        label[np.isin(label, joined)] = label[a]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def refused_links(entries: DataFrame, candidates: DataFrame, nodes: DataFrame, sets: DataFrame, good: DataFrame, kind: BySignature, similarity: float, long: int = LONG) -> DataFrame:
+    """Links (a, b) that connect what links between nodes of a longer list connect, where a forest left them out and links found so far, ``good``, don't connect them.
+
+    ``nodes`` has each node's sig and size, ``sets`` the shingles of the nodes that have ``candidates``. The pairs that meet in a shorter list have all been looked at. Candidates, refused ones included, connect nodes to
+    families. A family is verified as one group, which gets each text once, or in pairs of blocks; one of so many blocks that its lists take fewer copies of a text goes by these.
+    What a task gives are links alone, less than it has nodes, however many candidates it refuses. Lists whose entries are all connected, as those of copies are, go at once.
     """
     roots = written(components(good), "roots")
     labelled = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") * 2 / F.lit(long)).cast("int").alias("blocks"))
-    rows = in_block_pairs(labelled.join(mixed.where("low < high").select("key", "blocks"), "key")).join(nodes.select("node", "sig", "size"), "node")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    labelled = written(labelled.join(mixed, "key"), "mixed")
+    ends = candidates
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    families = components(ends).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    members = written(labelled.select("node", "root").distinct().join(families, "root").join(nodes.select("node", "sig", "size"), "node"), "members")
+    blocks = F.ceil(F.greatest(F.count("*") * 4 / F.lit(long), F.sum("size") * 2 / F.lit(HASHES))).cast("int").alias("blocks")
+    counted = members.groupBy("family").agg(blocks)
+    whole = members.join(counted.where(F.col("blocks") <= SIGNATURE // SET), "family").select(F.col("family").alias("key"), F.lit(None).cast("long").alias("nth"), "node", "root", "sig", "blocks")
+    large = members.join(counted.where(F.col("blocks") > SIGNATURE // SET).select("family"), "family")
+    listed = labelled.select("key", "node").join(large, "node")
+    listed = listed.join(listed.groupBy("key").agg(blocks), "key").select("key", F.shiftright("key", 8 * SET).alias("nth"), "node", "root", "sig", "blocks")
+    rows = in_block_pairs(whole.unionAll(listed)).join(only(sets, members.select("node")).select(F.col("doc_id").alias("node"), "hashes"), "node")
 
     def between(group: pa.Table) -> pa.Table:
-        node, root, mine, size = (group.column(c).to_numpy() for c in ("node", "root", "mine", "size"))
-        held, number = kind.held(group), group.column("key")[0].as_py() >> (8 * SET)
-        same_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        order = np.argsort(root, kind="stable")
-        order = order[np.argsort(np.unique(root[order], return_counts=True)[1][np.unique(root[order], return_inverse=True)[1]], kind="stable")]  # small components first
-        node, root, mine, size, held, left, right = node[order], root[order], mine[order], size[order], held[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        edges = np.r_[np.flatnonzero(np.r_[True, root[1:] != root[:-1]]), len(root)]
-        for begin, end in zip(edges[:-2], edges[1:-1], strict=True):
-            step = max(1, 1_000_000 // ((len(root) - end) * SIGNATURE))
-            for at in range(begin, end, step):
-                a, b = np.nonzero(kind.closeness(held[at : min(end, at + step)], held[end:]))
-                a, b = a + at, b + end
-                keep = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-                keep &= same_block | (mine[a] != mine[b])
-                a, b = a[keep], b[keep]
-                keep = kind.first_lists(held[a], held[b]) == number
-                left.append(node[a[keep]])
-                right.append(node[b[keep]])
-        return pa.table({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(between, "a long, b long")
+        a, b = verified_forest(group, kind, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("nth", "key", "i", "j").applyInArrow(between, "a long, b long")
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -338,7 +372,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, similarity: fl
 
     At this similarity 64-bit SimHashes differ in some ten bits and need not share a byte, so the positional bytes are those of minwise hashes: each is shared with the chance of the
     similarity. The index has a list for every set of SET bytes; a pair is tallied over all SIGNATURE bytes and retained from five standard deviations below the
-    expected number on; what is retained is verified by the shingles themselves, and where that refuses a forest's candidates, the others of its list are verified too, unless links connect them already.
+    expected number on; what is retained is verified by the shingles themselves, and where that refuses a forest's candidates, the others are verified too, unless links connect them already: see ``refused_links``. Of the texts only those that have candidates are shuffled.
     A pair meets in no list with a chance of (1 - similarity^3)^21, 3 in 10,000,000 at 0.8. Texts of the same set of shingles are one node.
     """
 
@@ -365,19 +399,15 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, similarity: fl
             batch["hashes"] = [shingle_hashes(t, words).view(np.int64) for t in batch.pop("text").tolist()]
             yield batch
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = written(map_rows(given.join(asked, "doc_id", "left_semi"), hashed, "hashes array<long>"), "shingles")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
-
     found, entries = links_and_longer(index, kind, long, longer=True)
-    good = verified(written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates"))
+    candidates = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+    asked = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
+    sets = written(map_rows(only(given, asked), hashed, "hashes array<long>"), "shingles")
+    both = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
     if not entries.isEmpty():
-        more = written(refused_apart(entries, classes, good, kind, similarity, long), "refused")
-        if not more.isEmpty():
-            good = good.unionAll(verified(more))
+        good = good.unionAll(written(refused_links(entries, candidates, classes, sets, good, kind, similarity, long), "refused"))
     of = lambda side: classes.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"))
     apart = good.join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     alike = signed.select("fp", "whole").distinct().join(classes.select("whole", F.col("fp").alias("least")), "whole").select(F.col("fp").alias("a"), F.col("least").alias("b"))
@@ -415,11 +445,10 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS, simi
 def _one_each(docs: DataFrame, words: int, bits: int, similarity: float | None, similar_words: int) -> DataFrame:
     ids = docs.select("doc_id").groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
     if ids[0] in (None, 1) and not ids[1]:
-        keep = near_duplicates(docs, words, bits, similarity=similarity, similar_words=similar_words).where("doc_id = component_id").select("doc_id")
-        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+        return without(docs, written(near_duplicates(docs, words, bits, similarity=similarity, similar_words=similar_words).where("doc_id <> component_id").select("doc_id"), "duplicates"))
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keep = near_duplicates(numbered, words, bits, id_col="__row", similarity=similarity, similar_words=similar_words).where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").drop("__row").select(*docs.columns)
+    gone = written(near_duplicates(numbered, words, bits, id_col="__row", similarity=similarity, similar_words=similar_words).where("doc_id <> component_id").select("doc_id"), "duplicates")
+    return without(numbered, gone, "__row").select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

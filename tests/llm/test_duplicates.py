@@ -9,8 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, fingerprints, simhash
-from tessera.llm.common import table
+from tessera.llm import common, components, fingerprints, simhash
+from tessera.llm.common import table, written
 
 
 def plain_fingerprint(text):
@@ -152,6 +152,65 @@ def test_refused_candidates_hide_no_link(make, long):
     assert 10 < len(set(want)) < len(texts)  # neither all apart nor all together
 
 
+@pytest.mark.parametrize("long", [4096, 100, 8])
+def test_refused_candidates_leave_no_rows(make, monkeypatch, long):
+    """A family of texts of some 0.7 that no link joins, and a few links hidden in it: what the tasks give is links, not pairs; with families whole, in blocks, and by lists."""
+    r = random.Random(7)
+    own, texts = [f"w{k}" for k in range(400)], []
+    for n in range(90):
+        copy = own[:]
+        for k in r.sample(range(0, 400, 8), 8):
+            copy[k] = f"x{n}"
+        texts.append(" ".join(copy))
+    for n in range(3):
+        texts.append(texts[n].replace("w399", f"y{n}"))
+    docs = make(list(enumerate(texts)), clash=False)
+    tables, plain = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, label: tables.setdefault(label, plain(df, label)))
+    marked = simhash.fingerprints(docs).withColumn("fp", F.col("doc_id"))
+    got = {x["node"]: x["root"] for x in components.components(simhash.similar_links(docs, marked, 5, 0.8, long)).collect()}
+    want = plain_similar(texts, bits=-1)
+    assert got == {k: w for k, w in enumerate(want) if want.count(w) > 1}
+    assert len(set(want)) >= 80 and tables["candidates"].count() > 60
+    assert tables["refused"].count() <= len(texts)
+
+
+def test_only_texts_with_candidates_are_shuffled(spark, make):
+    """Of 1,200 texts of 11 kB that hardly compress, 40 are near copies: the stage shuffles their texts and not all, where no side is small enough to be broadcast."""
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(1000)) for _ in range(1200)]
+    for n in range(20):
+        texts[2 * n] = texts[2 * n + 1] + f" and {n}"
+    docs = written(make(list(enumerate(texts)), clash=False), "test")
+    before, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set(key, "-1")
+    try:
+        at_first = shuffled()
+        kept = simhash.keep_one(docs, similarity=0.8).collect()
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        moved = shuffled() - at_first
+    finally:
+        spark.conf.set(key, before)
+    assert {x["doc_id"] for x in kept} == set(range(1200)) - {2 * n + 1 for n in range(20)}
+    assert all(x["text"] == texts[x["doc_id"]] for x in kept)
+    assert moved < 0.5 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_told_apart_by_a_map_of_ids(spark, monkeypatch, kind):
+    for bits in (common.MAP_BITS, 64):  # a map that is full tells none apart, and the result is the same
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        rows = spark.range(-500, 3000).selectExpr(f"cast(id AS {kind}) AS doc_id", "id AS mark")
+        ids = spark.range(0, 6000, 7).selectExpr(f"cast(id AS {kind}) AS gone")
+        have = set(range(0, 3000, 7))
+        assert {x["mark"] for x in common.only(rows, ids).collect()} == have
+        assert {x["mark"] for x in common.without(rows, ids).collect()} == set(range(-500, 3000)) - have
+        assert common.without(rows, ids.limit(0)).count() == 3500 and common.only(rows, ids.limit(0)).count() == 0
+        told = common.may_have(rows, ids, "doc_id", "may").where("may").count()
+        assert told < 500 if bits > 64 else told >= 429
+
+
 def test_first_shared_list():
     a = np.zeros((3, simhash.SIGNATURE), dtype=np.uint8)
     b = a.copy()
